@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from meridial.llm._work import table
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, and how near edited and next texts come."""
+    from meridial.llm.fingerprint import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items searched in all documents."""
     from meridial.llm.decontaminate import find_contamination
@@ -17,6 +24,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprint": op1_fingerprint,
     "op9_decontaminate": op9_decontaminate,
 }
 
