@@ -17,6 +17,13 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of 85 % 4-word Jaccard similarity."""
+    from meridial.llm.set_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in all documents; the base spans as a digest."""
     from meridial.llm.secrets import scan_secrets
@@ -44,6 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_jaccard_join": op2_jaccard_join,
     "op6_secrets": op6_secrets,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
