@@ -24,6 +24,14 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix by source weights takes."""
+    from meridial.llm.mixture import draw
+
+    drawn = draw(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in all documents; the base spans as a digest."""
     from meridial.llm.secrets import scan_secrets
@@ -52,6 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_mixture": op3_mixture,
     "op6_secrets": op6_secrets,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
@@ -68,7 +77,29 @@ def _shingles_sql(source: str, key: str, k: int) -> str:
             FROM (SELECT {key}, {words} AS w FROM {source}) WHERE len(w) > 0))"""
 
 
+_MIXTURE_SQL = """
+      WITH r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+                        md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+           s AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY 1),
+           w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+           l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                           / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+           t AS (SELECT source, source_size, CASE WHEN level * weight >= cap THEN cap
+                        ELSE weight * (SELECT arg_min(level, cap / weight) FROM l WHERE level * weight < cap) END AS target FROM l),
+           g AS (SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(target / source_size + 1e-9)) ELSE 0 END AS passes FROM t),
+           h AS (SELECT *, CASE WHEN passes < 2 THEN greatest(target - passes * source_size, 0) ELSE 0 END AS rest FROM g),
+           c AS (SELECT r.*, h.source_size, h.target, h.passes, h.rest, sum(size) OVER (PARTITION BY r.source ORDER BY place) AS "end"
+                 FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source),
+           gap AS (SELECT source, max(rest) - coalesce(max("end") FILTER ("end" <= rest), 0) AS gap FROM c WHERE rest > 0 GROUP BY 1),
+           f AS (SELECT c.source, min(place) AS filler FROM
+                 (SELECT c.source, c.place, c.size, gap.gap, row_number() OVER (PARTITION BY c.source ORDER BY abs(size - gap), place) AS n
+                  FROM c JOIN gap ON c.source IS NOT DISTINCT FROM gap.source WHERE "end" > rest AND size > 0 AND abs(size - gap) < gap) c WHERE n = 1 GROUP BY 1)
+      SELECT doc_id, size, source_size, round(target, 6) AS target,
+             (size * (passes + CASE WHEN rest > 0 AND ("end" <= rest OR place = filler) THEN 1 ELSE 0 END))::BIGINT AS taken
+      FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source"""
+
 ORACLES: dict[str, str] = {
+    "op3_mixture": _MIXTURE_SQL,
     "op9_decontaminate": f"""
       WITH item AS {_shingles_sql("benchmark", "item_id", 5)},
            doc AS {_shingles_sql("documents", "doc_id", 5)},
