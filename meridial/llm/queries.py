@@ -32,6 +32,13 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of all documents."""
+    from meridial.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in all documents; the base spans as a digest."""
     from meridial.llm.secrets import scan_secrets
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_mixture": op3_mixture,
+    "op4_licenses": op4_licenses,
     "op6_secrets": op6_secrets,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
