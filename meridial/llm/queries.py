@@ -39,6 +39,16 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and their digests read back from the output."""
+    from meridial.llm.chat import format_chats, read_back
+
+    text = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return read_back(format_chats(turns))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in all documents; the base spans as a digest."""
     from meridial.llm.secrets import scan_secrets
@@ -69,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_mixture": op3_mixture,
     "op4_licenses": op4_licenses,
+    "op5_chat": op5_chat,
     "op6_secrets": op6_secrets,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
@@ -106,6 +117,14 @@ _MIXTURE_SQL = """
              (size * (passes + CASE WHEN rest > 0 AND ("end" <= rest OR place = filler) THEN 1 ELSE 0 END))::BIGINT AS taken
       FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source"""
 
+_CHAT_SQL = """
+      WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                 UNION ALL SELECT -7, i, r, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r))
+      SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+             sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
+      FROM t GROUP BY conv_id"""
+
 ORACLES: dict[str, str] = {
     "op3_mixture": _MIXTURE_SQL,
     "op9_decontaminate": f"""
