@@ -57,6 +57,13 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_novel")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    from meridial.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items searched in all documents."""
     from meridial.llm.decontaminate import find_contamination
@@ -81,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_licenses": op4_licenses,
     "op5_chat": op5_chat,
     "op6_secrets": op6_secrets,
+    "op7_html": op7_html,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
 }
