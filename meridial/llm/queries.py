@@ -64,6 +64,15 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learned from nine tenths of them."""
+    from meridial.llm.language_model import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs.where(~held_out("doc_id"))))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items searched in all documents."""
     from meridial.llm.decontaminate import find_contamination
@@ -89,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat": op5_chat,
     "op6_secrets": op6_secrets,
     "op7_html": op7_html,
+    "op8_language_model": op8_language_model,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
 }
