@@ -1,6 +1,6 @@
 """Queries over the driver's tables; importing the modules registers them."""
 
-from meridial.plans import profiles
+from meridial.plans import profiles, programs
 from meridial.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "profiles"]
+__all__ = ["ORACLES", "QUERIES", "profiles", "programs"]
