@@ -1,6 +1,6 @@
 """Queries over the driver's tables; importing the modules registers them."""
 
-from meridial.plans import profiles, programs, recommend
+from meridial.plans import analytics, profiles, programs, recommend
 from meridial.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "profiles", "programs", "recommend"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "profiles", "programs", "recommend"]

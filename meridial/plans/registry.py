@@ -41,4 +41,4 @@ def r4(x: Column | str) -> Column:
 
 def R4(x: str) -> str:
     """``r4`` in SQL."""
-    return f"round(({x})::DOUBLE + 1e-9, 4)"
+    return f"(round(({x})::DOUBLE + 1e-9, 4) + 0.0)"
