@@ -105,7 +105,7 @@ def shingles_of(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray,
     n = len(words)
     factor = mix(np.arange(1, k + 1, dtype=U) * U(_BASE)) | U(1)
     total = np.zeros(n, U)
-    for j in range(k):
+    for j in range(min(k, n)):
         total[: n - j] += words[j:] * factor[j]
     first = np.repeat(at[:-1] - to[:-1], have) + np.arange(to[-1])
     out = total[first]
