@@ -135,14 +135,6 @@ _MIXTURE_SQL = """
              (size * (passes + CASE WHEN rest > 0 AND ("end" <= rest OR place = filler) THEN 1 ELSE 0 END))::BIGINT AS taken
       FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source"""
 
-_CHAT_SQL = """
-      WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-                 UNION ALL SELECT -7, i, r, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r))
-      SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-             sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
-             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
-      FROM t GROUP BY conv_id"""
-
 ORACLES: dict[str, str] = {
     "op3_mixture": _MIXTURE_SQL,
     "op9_decontaminate": f"""
