@@ -135,7 +135,55 @@ _MIXTURE_SQL = """
              (size * (passes + CASE WHEN rest > 0 AND ("end" <= rest OR place = filler) THEN 1 ELSE 0 END))::BIGINT AS taken
       FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source"""
 
+
+
+def _licenses_sql() -> str:
+    """Places of phrases by comparing slices at every word; templates by the same weights."""
+    from meridial.llm.licenses import PHRASES, TEMPLATES, WORD, Template
+
+    every = [*(Template(label, p, p) for p, label in PHRASES.items()), *TEMPLATES]
+    vocabulary = sorted({w for t in every for w in t.words})
+    weight = lambda w: f"(SELECT ln((n + 1)::DOUBLE / (n_{w} + 1)) FROM df)"
+    counts = ", ".join(f"count(*) FILTER (list_contains(w, '{w}')) AS n_{w}" for w in vocabulary)
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    places = []
+    for i, t in enumerate(every):
+        phrase = t.mandatory.split()
+        # starts of the template, from 0; they may lie before the text
+        places.append(f"CASE WHEN may THEN list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(phrase) - 1}] = {listed(phrase)}), lambda i: i - 1 - {t.offset}) ELSE []::BIGINT[] END AS at{i}")
+    own = range(len(PHRASES))
+    labels, shares = [], []
+    for i, t in enumerate(every):
+        if i in own:
+            labels.append(f"CASE WHEN len(at{i}) > 0 THEN '{t.label}' END")
+            shares.append(f"CASE WHEN len(at{i}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
+            continue
+        agree = " + ".join(f"CASE WHEN s + {j} >= 0 AND w[s + {j} + 1] = '{x}' THEN w_{x} ELSE 0 END" for j, x in enumerate(t.words))
+        best = f"coalesce(list_max(list_transform(at{i}, lambda s: ({agree}) / nullif({' + '.join(f'w_{x}' for x in t.words)}, 0))), 0)"
+        shares.append(best)
+        labels.append(f"CASE WHEN {best} >= 0.6 - 1e-9 THEN '{t.label}' END")
+    joined = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{', '.join(x)}], lambda v: v IS NOT NULL))), ','), '')"
+    rare = " OR ".join(f"contains(low, '{t.mandatory.split()[0]}')" for t in every)
+    starts = "list_concat(" * (len(PHRASES) - 1) + "at0" + "".join(f", at{i})" for i in own if i)
+    return f"""
+      WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS low FROM documents),
+           d AS (SELECT doc_id, regexp_extract_all(low, '{WORD.replace(chr(92), chr(92))}') AS w, {rare} AS may FROM low),
+           df AS (SELECT count(*) AS n, {counts} FROM d), wt AS (SELECT {', '.join(f'{weight(w)} AS w_{w}' for w in vocabulary)}),
+           p AS (SELECT doc_id, w, {', '.join(places)} FROM d)
+      SELECT doc_id, len(w)::BIGINT AS n_words, len({starts})::BIGINT AS n_base, list_min({starts})::BIGINT AS first_word, list_max({starts})::BIGINT AS last_word,
+             {joined([labels[i] for i in own])} AS base_labels, {joined(labels)} AS labels, least(1.0, round(greatest({', '.join(shares)}), 9))::DOUBLE AS score
+      FROM p, wt"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_jaccard_join": f"""
+      WITH RECURSIVE sh AS {_shingles_sql("documents", "doc_id", 4)}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+           met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+           link AS (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+           edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+           reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, edge.y FROM reach JOIN edge ON reach.r = edge.x)
+      SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY 1, 2""",
+    "op4_licenses": _licenses_sql(),
     "op3_mixture": _MIXTURE_SQL,
     "op9_decontaminate": f"""
       WITH item AS {_shingles_sql("benchmark", "item_id", 5)},
