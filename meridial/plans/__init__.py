@@ -1,6 +1,6 @@
 """Queries over the driver's tables; importing the modules registers them."""
 
-from meridial.plans import analytics, profiles, programs, recommend, tables
+from meridial.plans import analytics, profiles, programs, recommend, selection, tables
 from meridial.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "profiles", "programs", "recommend", "tables"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "profiles", "programs", "recommend", "selection", "tables"]
