@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from meridial.functions.text import loose
+from meridial.functions.text import clean, loose, pattern_rules
 from meridial.operators.norms import top
 
 
@@ -31,6 +31,20 @@ def scorer(kind: str):
     return {"difflib": text_ratio, "levenshtein": edit_ratio}[kind]
 
 
+def classify_names(names: DataFrame, name: str, rules: list[tuple[str, list[str]]] | None = None, *, out: str = "pattern") -> DataFrame:
+    """Distinct names with the label of the first rule that has a keyword in them.
+
+    The same labels as ``functions.text.classify`` gives, for plans in which its
+    chain of conditions would be repeated: keywords are rows of a literal table.
+    """
+    words = [F.struct(F.lit(i).alias("i"), F.lit(label).alias("label"), F.lit(w).alias("w")) for i, (label, keys) in enumerate(rules or pattern_rules()) for w in keys]
+    # the empty keyword, last, is in every name
+    words.append(F.struct(F.lit(1 << 30).alias("i"), F.lit("unclassified").alias("label"), F.lit("").alias("w")))
+    asked = names.select(F.col(name)).distinct().withColumn("_clean", F.coalesce(clean(name), F.lit("")))
+    hits = asked.withColumn("_k", F.explode(F.array(*words))).where(F.contains("_clean", F.col("_k.w")))
+    return hits.groupBy(name).agg(F.min(F.struct("_k.i", "_k.label")).getField("label").alias(out))
+
+
 def _scored(residue: DataFrame, catalogue: DataFrame, kind: str) -> DataFrame:
     """Residue x candidates of the same first token; names whose token no candidate has see all of them."""
     first = lambda c: F.split(c, " ").getItem(0)

@@ -318,7 +318,8 @@ def comparison_items(t: Tables) -> DataFrame:
 
 
 def _patterned(t: Tables) -> DataFrame:
-    names = t.part.select("p_name").distinct().withColumn("pattern", T.classify(T.without_group(_item())))
+    names = t.part.select("p_name").distinct().withColumn("item", T.without_group(_item()))
+    names = names.join(S.classify_names(names, "item"), "item").select("p_name", "pattern")
     return C.item_flags(*_sides(t), ["o_custkey"], "p_name").join(names, "p_name")
 
 
