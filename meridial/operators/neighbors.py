@@ -42,13 +42,13 @@ def anchor_neighbors(targets: DataFrame, target: str, anchors: DataFrame, family
 
     An anchor (family, anchor) names the entity with the least id whose name
     contains it in any case. ``distance`` is over the columns of a target and of
-    ``anchor_*`` entity columns. The anchors are named in templates, so they are
-    few; Spark broadcasts them by size.
+    ``anchor_*`` entity columns. Anchors are named in templates, so they are few and
+    Spark broadcasts them if their size allows it.
     """
     said = anchors.join(entities, F.contains(F.lower(name), F.lower("anchor")))
     found = top(said, [family, "anchor"], 1, entity)
     named = found.select(family, *(F.col(c).alias(f"anchor_{c}") for c in entities.columns))
-    near = targets.crossJoin(F.broadcast(named)).where(F.col(target) != F.col(f"anchor_{entity}")).withColumn("distance", F.round(distance + 1e-9, 3))
+    near = targets.crossJoin(named).where(F.col(target) != F.col(f"anchor_{entity}")).withColumn("distance", F.round(distance + 1e-9, 3))
     # the nearest anchor stands for its family
     best = near.groupBy(target, family).agg(F.min(F.struct("distance", F.col(f"anchor_{entity}").alias("anchor"))).alias("_m")).select(target, family, "_m.distance", "_m.anchor")
     return top(best, [target], k, "distance", family, rank="place")

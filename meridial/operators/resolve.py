@@ -80,7 +80,7 @@ def nearest_names(names: DataFrame, catalogue: DataFrame, *, name: str = "name",
     asked = names.select(F.col(name).alias("name")).distinct().withColumn("_loose", loose("name"))
     items = catalogue.select("id", F.col("name").alias("matched_name"), loose("name").alias("_c"))
     # names that found no match, against a catalogue that is small by nature
-    every = asked.join(F.broadcast(items)).withColumn("similarity", F.round(scorer(kind)("_loose", "_c"), 3))
+    every = asked.crossJoin(items).withColumn("similarity", F.round(scorer(kind)("_loose", "_c"), 3))
     return top(every, ["name"], top_n, F.col("similarity").desc(), "id", rank="place").select("name", "id", "matched_name", "similarity", "place")
 
 
@@ -106,7 +106,7 @@ def search_names(queries: DataFrame, users: DataFrame, columns: Sequence[str], *
     where = F.contains(F.col("_all"), F.col("query"))
     for c in columns:
         where = where | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.col("query"))
-    hits = u.join(F.broadcast(queries), where).withColumn("ratio", edit_ratio("query", "_all"))
+    hits = u.join(queries, where).withColumn("ratio", edit_ratio("query", "_all"))
     w = Window.partitionBy("query")
     hits = hits.withColumn("_best", F.max("ratio").over(w))
     return hits.withColumn("ambiguous", F.sum((F.col("ratio") >= F.col("_best") - gap).cast("int")).over(w) >= 2).drop("_best", "_all")
