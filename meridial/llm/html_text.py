@@ -44,7 +44,9 @@ _CLOSES = {
 _P_ENDS = frozenset(BLOCK_TAGS - {"option", "optgroup", "legend", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "head", "title"})
 
 _TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[!?][^>]*(?:>|\Z)|/[^A-Za-z][^>]*(?:>|\Z))""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|aria-hidden|hidden|style|data-[\w-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: One attribute: its name, and its value in double, single or no quotes. Every
+#: character but space and ``/`` belongs to one, so matches never start in a value.
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 
 #: What containers of boilerplate and of content are called.
 BAD_TAGS = frozenset("nav header footer aside form menu button fieldset dialog label input legend".split())
@@ -84,7 +86,7 @@ class _Element:
             self.bad = max(self.bad, 6.0)
         elif name in ("article", "main") and self.bad < 6:
             self.good += 3.0
-        if attributes and ("=" in attributes or "hidden" in attributes):
+        if attributes:
             names, roles = [], []
             for m in _ATTRIBUTE.finditer(attributes):
                 what, value = m[1].lower(), m[2] or m[3] or m[4] or ""

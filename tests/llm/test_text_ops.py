@@ -199,6 +199,15 @@ def test_page_text():
     assert main_text("<p>a<script>x</p>") == "a" and main_text("<p>" * 3000 + "deep.") == "deep."
 
 
+def test_attributes_act_by_their_exact_names():
+    said = "This paragraph of the article is long enough to be taken for content, surely."
+    for a in ('title="A hidden gem"', "title='some hidden=1 gem'", 'href="/the-hidden-cost"', "href=/the-hidden-cost", 'alt="hidden"', "data-hidden", 'x-hidden="1"', 'title=\'say style="display:none"\'', 'title="class=sidebar"', 'aria-hidden="false"', 'data-class="nav"'):
+        assert main_text(f"<article><p {a}>{said}</p></article>") == said, a
+        assert main_text(f"<article><p>{said[:20]}<a {a}>{said[20:]}</a></p></article>") == said, a
+    for a in ("hidden", "HIDDEN", "hidden=''", 'hidden="until-found"', 'title="x"hidden', "title=x hidden", "aria-hidden=true", 'style="display: none"', 'title="a > b" hidden/'):
+        assert main_text(f"<article><p {a}>{said}</p><p>{said}</p></article>") == said, a
+
+
 def brute_cut(source, sink, edges):
     n, best = len(source), None
     for bits in range(1 << n):
