@@ -4,12 +4,16 @@ Besides three fixed patterns, strings next to sensitive words are judged by
 how little is known about them: a candidate's marginal size is what zstandard
 needs for its surroundings with it, less what it needs for them without it, with
 a compressor primed by a dictionary of identifiers and by the surrounding text.
-Prose, paths and names shrink to little; keys do not. Incompressible candidates
-in a sensitive context are reported as ``novel``.
+Prose, paths and names shrink to little; keys do not. No text shrinks below the
+entropy of its alphabet, and a long key comes near to it (0.75 bytes a character
+in base64, 0.5 in hexadecimal digits), so the size is held against the
+candidate's own alphabet if its pairs of characters are not those of words.
+Incompressible candidates in a sensitive context are reported as ``novel``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -47,13 +51,33 @@ http:// https:// www. .com/ .org/ .net/ /usr/local/bin /etc/ /home/ /var/log/ .j
 ABCDEFGHIJKLMNOPQRSTUVWXYZ the and that with from this which would there their about other these
 """
 
+#: Pairs of letters that make up most of words and few of random letters.
+PAIRS = frozenset(
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ro ri li ne me el io ic ll "
+    "co ta ce ch om ma ns la be di ac ee ec us ss il ho ow tr no em ot sh ol ge pe un ut pr ad su ul id po so ap ct lo fi ei ie qu ue os do da ca ai".split()
+)
+
+
+def unlike_words(value: str, most: float = 0.36) -> bool:
+    """Whether at most ``most`` of the neighbouring letters and digits are pairs of ``PAIRS``.
+
+    Values of fewer than 8 pairs, and those of digits alone without 16 in a row, do not count.
+    """
+    runs = re.findall(r"[a-z0-9]+", value.lower())
+    pairs = [r[i : i + 2] for r in runs for i in range(len(r) - 1)]
+    if len(pairs) < 8 or not (re.search(r"[A-Za-z]", value) or re.search(r"[0-9]{16}", value)):
+        return False
+    return sum(p in PAIRS for p in pairs) <= most * len(pairs)
+
 
 class NoveltyScanner:
     """Finds secrets in one text at a time.
 
     A candidate stands within ``reach`` characters behind a sensitive word. It
     is reported if its marginal compressed size is ``least_ratio`` bytes a
-    character or more, and it mixes letters with digits or other signs.
+    character or more and it has letters and digits, or if that size is
+    ``least_ratio`` of the entropy of its own characters, were they drawn alike,
+    or more, and it is unlike words.
     """
 
     def __init__(self, reach: int = 64, around: int = 512, least_ratio: float = 0.8, identifiers: str = IDENTIFIERS):
@@ -68,6 +92,15 @@ class NoveltyScanner:
         """Bytes that the candidate adds to its surroundings."""
         return self._size(before + after + candidate) - self._size(before + after)
 
+    def is_novel(self, before: str, candidate: str, after: str = "") -> bool:
+        """Whether the candidate is incompressible."""
+        mixed, unlike = re.search(r"[0-9]", candidate) and re.search(r"[A-Za-z]", candidate), unlike_words(candidate)
+        if not mixed and not unlike:
+            return False
+        size = self.marginal_bytes(before, candidate, after)
+        own = len(candidate) * math.log2(len(set(candidate))) / 8
+        return bool(mixed and size >= self.least_ratio * len(candidate)) or (unlike and size >= self.least_ratio * own > 0)
+
     def base_spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the fixed patterns: leftmost, non-overlapping within a kind."""
         lower = text.lower()
@@ -96,10 +129,9 @@ class NoveltyScanner:
                     end = CANDIDATE.match(text, start).end()
                 done = end
                 value = text[start:end]
-                if any(start < z and a < end for a, z, _ in known) or not (re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value)):
+                if any(start < z and a < end for a, z, _ in known):
                     continue
-                around = self.marginal_bytes(text[max(0, start - self.around) : start], value, text[end : end + self.around])
-                if around >= self.least_ratio * len(value):
+                if self.is_novel(text[max(0, start - self.around) : start], value, text[end : end + self.around]):
                     out.append((start, end, "novel"))
         return out
 

@@ -115,6 +115,27 @@ def test_novelty_tells_keys_from_words():
     assert key > 0.9 > 0.5 > name
 
 
+def test_long_keys_of_several_alphabets_are_novel():
+    s, rng = NoveltyScanner(), random.Random(6)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [upper + upper.lower() + digits + "+/", upper + "234567", digits + "ABCDEF", upper.lower() + digits, upper + upper.lower(), digits]
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") + rng.choice("  nrst").strip() for _ in range(rng.randrange(1, 4)))
+    for reach in (5, 90):
+        for letters in alphabets:
+            for n in (24, 32, 64, 96, 128, 256, 800, 1200, 1600, 4000):
+                before, after = (" ".join(word() for _ in range(reach)) for _ in range(2))
+                value = "".join(rng.choices(letters, k=n))
+                text = f"{before} the client secret is {value} {after}"
+                at = text.index(value)
+                assert s.novel_spans(text, []) == [(at, at + n, "novel")], (reach, letters, n)
+
+
+def test_words_and_repeats_in_a_sensitive_context_are_not_novel():
+    s = NoveltyScanner()
+    for value in ("internationalization", "characteristically", "/usr/share/documentation/examples/password/reset", "com.example.application.SecretServiceFactory", "abc123" * 40, "0" * 64, "-" * 40, "=-" * 30, "2024-05-06-12-30-15", "how-to-reset-a-forgotten-account-password-in-2024-and-keep-the-old-settings-of-all-users"):
+        assert s.novel_spans(f"the client secret of this service is {value} as they said", []) == [], value
+
+
 def test_redaction_keeps_columns_and_nulls(spark):
     df = spark.createDataFrame([(1, "a token = 24be64439e3e49cf46b2 b", 33, "z"), (2, None, None, "z"), (3, "clean", 99, None)], "doc_id long, text string, n_chars long, spans string")
     got = redact_secrets(df)
