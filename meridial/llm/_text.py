@@ -115,12 +115,31 @@ def shingles_of(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(out), to
 
 
-def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of every text of a string column."""
+def windows_of(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``n`` words of each text, and their ranges.
+
+    A window has the hash that ``shingles_of`` gives a whole text of its words
+    if these are fewer than a shingle.
+    """
+    have = np.maximum(np.diff(at) - n + 1, 0)
+    to = np.concatenate(([0], np.cumsum(have)))
+    factor = mix(np.arange(1, n + 1, dtype=U) * U(_BASE)) | U(1)
+    first = np.repeat(at[:-1] - to[:-1], have) + np.arange(to[-1])
+    total = np.full(len(first), n, U)
+    for j in range(n):
+        total += words[first + j] * factor[j]
+    return mix(total), to
+
+
+def shingle_sets(column: pa.Array, k: int, short: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of every text of a string column.
+
+    ``short`` are further lengths, less than ``k``, of which all windows are in the sets.
+    """
     data, at = utf8_buffers(column)
     for a, z in slices(at):
         words, ends = words_of(data, at[a : z + 1])
-        found, to = shingles_of(words, ends, k)
+        found = [shingles_of(words, ends, k), *(windows_of(words, ends, n) for n in short)]
         for i in range(z - a):
-            s = np.sort(found[to[i] : to[i + 1]])
+            s = np.sort(np.concatenate([h[to[i] : to[i + 1]] for h, to in found]))
             yield s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s

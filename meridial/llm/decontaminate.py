@@ -9,6 +9,10 @@ of an item of ``n`` shingles has ``floor((1 - threshold) * n) + 1`` values: a
 document that holds the threshold's share of the shingles misses fewer than
 that, so it always meets the sketch and none is lost. Candidates are verified by
 exact containment over all shingles.
+
+An item of fewer words than a shingle is looked for as it is: of each such
+length that occurs among the items, all windows of the documents are hashed too,
+and a document that has the item's words in a row anywhere holds all of it.
 """
 
 from __future__ import annotations
@@ -27,18 +31,24 @@ from meridial.llm import _text
 MAX_BROADCAST_HASHES = 1_000_000
 
 
-def _hash_rows(key: str, text: str, shingle: int):
+def _item_rows(text: str, shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [s.view(np.int64) for s in _text.shingle_sets(b.column(text), shingle)]
-            yield pa.record_batch({key: b.column(key).cast(pa.int64()), "hashes": pa.array(sets, pa.list_(pa.int64()))})
+            data, at = _text.utf8_buffers(b.column(text))
+            words = [np.diff(_text.words_of(data, at[a : z + 1])[1]) for a, z in _text.slices(at)]
+            words = np.concatenate(words) if words else np.zeros(0, np.int64)
+            yield pa.record_batch({"item_id": b.column("item_id").cast(pa.int64()), "hashes": pa.array(sets, pa.list_(pa.int64())), "short": pa.array(np.where(words < shingle, words, 0), pa.int32())})
 
     return rows
 
 
-def shingle_hashes(df: DataFrame, key: str, text: str = "text", shingle: int = 5) -> DataFrame:
-    """``key`` and the distinct shingle hashes of each text (null or without words: none)."""
-    return df.select(key, text).mapInArrow(_hash_rows(key, text, shingle), f"{key} bigint, hashes array<bigint>")
+def item_hashes(items: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """item and the distinct shingle hashes of its text (null or without words: none).
+
+    ``short`` is the number of words of an item of fewer than a shingle, else 0.
+    """
+    return items.select("item_id", text).mapInArrow(_item_rows(text, shingle), "item_id bigint, hashes array<bigint>, short int")
 
 
 def item_sketches(items: DataFrame, threshold: float) -> DataFrame:
@@ -57,13 +67,13 @@ def item_sketches(items: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _search(index, shingle: int, threshold: float, key: str, text: str):
+def _search(index, shingle: int, short: tuple[int, ...], threshold: float, key: str, text: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, owner, ids, sets = index.value
         for b in batches:
             keys = b.column(key).cast(pa.int64()).to_pylist()
             out: list[tuple] = []
-            for doc, s in zip(keys, _text.shingle_sets(b.column(text), shingle), strict=True):
+            for doc, s in zip(keys, _text.shingle_sets(b.column(text), shingle, short), strict=True):
                 at = np.searchsorted(sketch, s)
                 met = at[(at < len(sketch)) & (sketch[np.minimum(at, len(sketch) - 1)] == s)] if len(sketch) else at[:0]
                 if not len(met):
@@ -86,22 +96,27 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, shingle: int = 5, t
     """One row for each document and test item of which it holds ``threshold`` or more.
 
     Returns ``doc_id, item_id, n_shingles`` (of the item), ``n_shared,
-    containment``. Null, empty and wordless texts and items never match. Rows
+    containment``. An item of fewer than ``shingle`` words counts as one shingle
+    and is found wherever a document has its words in a row, so one of a single
+    common word is found in most. Null, empty and wordless texts and items never match. Rows
     that repeat an id count as rows of their own on the document side; items
     with the same ``item_id`` and text give one row each. Other columns of the
     inputs are not read.
     """
     spark = docs.sparkSession
-    sketches = item_sketches(shingle_hashes(items, "item_id", text, shingle), threshold)
-    size = sketches.agg(F.sum("n_shingles")).first()[0] or 0
+    hashed = item_hashes(items, text, shingle)
+    sketches = item_sketches(hashed, threshold)
+    # at most one length for each number of words below a shingle's
+    size, lengths = hashed.agg(F.sum(F.size("hashes")), F.collect_set("short")).first()
+    size, short = size or 0, tuple(sorted(n for n in lengths if n > 0))
     if size <= max_broadcast:
         found = sketches.collect()
         sets = [np.array(r["hashes"], np.int64).view(np.uint64) for r in found]
         pairs = sorted((h, i) for i, r in enumerate(found) for h in np.array(r["sketch"], np.int64).view(np.uint64).tolist())
         index = spark.sparkContext.broadcast((np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64), [r["item_id"] for r in found], sets))
-        return docs.select(key, text).mapInArrow(_search(index, shingle, threshold, key, text), f"{key} bigint, item_id bigint, n_shingles bigint, n_shared bigint, containment double")
+        return docs.select(key, text).mapInArrow(_search(index, shingle, short, threshold, key, text), f"{key} bigint, item_id bigint, n_shingles bigint, n_shared bigint, containment double")
     # Larger sets of items: both sides are dealt by hash, nothing is broadcast.
-    ours = docs.select(key, text, F.monotonically_increasing_id().alias("row")).mapInArrow(_rowed(key, text, shingle), f"row bigint, {key} bigint, hashes array<bigint>")
+    ours = docs.select(key, text, F.monotonically_increasing_id().alias("row")).mapInArrow(_rowed(key, text, shingle, short), f"row bigint, {key} bigint, hashes array<bigint>")
     ours = ours.select("row", key, F.explode("hashes").alias("hash"))
     items_ = sketches.select(F.monotonically_increasing_id().alias("item"), "item_id", "n_shingles", "sketch", "hashes")
     met = ours.join(items_.select("item", F.explode("sketch").alias("hash")), "hash").select("row", "item").distinct()
@@ -110,10 +125,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, shingle: int = 5, t
     return shared.where(F.col("n_shared") >= threshold * F.col("n_shingles") - 1e-9).select(key, "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
-def _rowed(key: str, text: str, shingle: int):
+def _rowed(key: str, text: str, shingle: int, short: tuple[int, ...]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.view(np.int64) for s in _text.shingle_sets(b.column(text), shingle)]
+            sets = [s.view(np.int64) for s in _text.shingle_sets(b.column(text), shingle, short)]
             yield pa.record_batch({"row": b.column("row"), key: b.column(key).cast(pa.int64()), "hashes": pa.array(sets, pa.list_(pa.int64()))})
 
     return rows

@@ -161,6 +161,19 @@ def test_contamination_edges(spark, most):
     assert find_contamination(docs, items.where("false"), max_broadcast=most).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_short_items_are_found_inside_long_texts(spark, most):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abcde", k=rng.choice([0, 1, 2, 3, 4, 5, 6, 40]))) for _ in range(60)] + [None, "x " * 3000 + "Short  ONE" + " y" * 3000, "shortone one short"]
+    asked = ["short one", "a", "b c", "a b c", "d d e a", "c a b d e", "", None, "b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    low = [(t or "").lower().split() for t in texts]
+    want = sorted((d, i, 1, 1) for d, t in enumerate(low) for i, q in enumerate(asked) if q and any(t[j : j + len(q.split())] == q.split() for j in range(len(t))))
+    got = sorted((r["doc_id"], r["item_id"], r["n_shingles"], r["n_shared"]) for r in find_contamination(docs, items, max_broadcast=most).collect())
+    assert got == want and (61, 0, 1, 1) in want and (62, 0, 1, 1) not in want
+
+
 def test_mixture_equals_sql(spark, duck):
     assert spark_rows(queries.QUERIES["op3_mixture"](spark, SF)) == duck_rows(duck.sql(queries.ORACLES["op3_mixture"]))
 
