@@ -10,7 +10,7 @@ from meridial.operators import biomech as B
 from meridial.operators import cadence as K
 from meridial.operators import corpus as P
 from meridial.plans.profiles import rounded
-from meridial.plans.registry import R4, Tables, query, r4
+from meridial.plans.registry import ORACLES, R4, Tables, query, r4
 
 
 def _metrics(t: Tables) -> DataFrame:
@@ -97,7 +97,17 @@ def pca_2d(t: Tables) -> DataFrame:
     SELECT user_id, {R4('click')} AS click, {R4('error')} AS error, {R4('purchase')} AS purchase, {R4('click * error')} AS product, {R4('view - signup')} AS extension, {R4('purchase / nullif(view, 0)')} AS per_view, {R4('mean')} AS velocity_mean, {R4('sd')} AS velocity_sd, count AS n_pitches FROM w JOIN v USING (user_id)"""
 )
 def report_features(t: Tables) -> DataFrame:
-    scalars = t.events.where("event_id % 10 != 0").select("user_id", F.col("event_type").alias("metric"), "value")
+    return _report_features(t, t.events.where("event_id % 10 != 0"))
+
+
+@query(ORACLES["report_features"].replace(" WHERE event_id % 10 <> 0", ""))
+def report_features_all(t: Tables) -> DataFrame:
+    """``report_features`` over all events."""
+    return _report_features(t, t.events)
+
+
+def _report_features(t: Tables, events: DataFrame) -> DataFrame:
+    scalars = events.select("user_id", F.col("event_type").alias("metric"), "value")
     names = ["click", "error", "purchase", "signup", "view"]
     derived = {"product": F.col("click") * F.col("error"), "extension": F.col("view") - F.col("signup"), "per_view": B.ratio("purchase", "view")}
     f = B.report_features(B.report_means(scalars, "user_id"), "user_id", names, derived)

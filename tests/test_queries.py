@@ -17,6 +17,12 @@ def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
 
 
+def test_reports_take_every_event(spark, duck):
+    got = {r["user_id"]: r["click"] for r in plans.QUERIES["report_features_all"](spark, SF).collect()}
+    want = duck.sql("SELECT user_id, avg(value) FROM events WHERE event_type = 'click' GROUP BY 1").fetchall()
+    assert got and all(abs(got[u] - v) < 1e-4 for u, v in want if u in got)
+
+
 def test_entry(spark):
     import __spark_entry__
 
