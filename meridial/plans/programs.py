@@ -136,6 +136,12 @@ def loose_normalize_texts(t: Tables) -> DataFrame:
     return t.documents.where("lang = 'en'").select("doc_id", F.length(T.loose("text")).cast("long").alias("n"))
 
 
+@query(f"SELECT doc_id, length({_LOOSE.format('text')})::BIGINT AS n FROM documents")
+def loose_normalize_all_texts(t: Tables) -> DataFrame:
+    """``loose_normalize_texts`` over the documents of every language and of none."""
+    return t.documents.select("doc_id", F.length(T.loose("text")).cast("long").alias("n"))
+
+
 def classify_sql(name: str) -> str:
     q = lambda s: s.replace("'", "''")
     n = _CLEAN.format(name)
@@ -161,6 +167,12 @@ def pattern_classify_texts(t: Tables) -> DataFrame:
     return t.benchmark.select(T.classify("text").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH p AS (SELECT doc_id, {classify_sql('text')} AS pattern FROM documents) SELECT pattern, count(*)::BIGINT AS n FROM p GROUP BY ALL")
+def pattern_classify_all_texts(t: Tables) -> DataFrame:
+    """``pattern_classify_texts`` over all documents."""
+    return t.documents.select(T.classify("text").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
 _KINDS = "CASE p_partkey % 8 WHEN 0 THEN 'Lower Body' WHEN 1 THEN ' UB' WHEN 2 THEN 'Full Body' WHEN 3 THEN 'running' WHEN 4 THEN 'Plyo/box' WHEN 5 THEN NULL ELSE p_type || '--Mid/Set 1' END"
 
 

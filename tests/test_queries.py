@@ -23,6 +23,12 @@ def test_reports_take_every_event(spark, duck):
     assert got and all(abs(got[u] - v) < 1e-4 for u, v in want if u in got)
 
 
+def test_texts_of_every_language_are_taken(spark):
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert plans.QUERIES["loose_normalize_all_texts"](spark, SF).count() == n
+    assert plans.QUERIES["pattern_classify_all_texts"](spark, SF).groupBy().sum("n").first()[0] == n
+
+
 def test_entry(spark):
     import __spark_entry__
 
