@@ -1,25 +1,25 @@
 """LM scoring: a hierarchical Pitman-Yor model of words.
 
-A token's context is the latest very frequent word before it (one that makes up
-1/256 of the training tokens or more, so there are at most 256) or the start of
-the text. Every context has a restaurant in which the following tokens are
-customers; all of them share one parent restaurant, whose customers are their
-tables, and its parent is uniform over the known types and one unknown.
+A token's context is the word before it or the start of the text. Every context
+of the training texts has a restaurant in which the following tokens are
+customers, so restaurants grow with the corpus; all of them share one parent
+restaurant, whose customers are their tables, and its parent is uniform over the
+known types and one unknown. A context never seen leaves all to the parent.
 
 Seating is sampled by Gibbs sweeps. What a predictive probability needs of a
 restaurant are customers and tables of each dish, so a sweep draws the number of
 tables of every dish given all others: exactly, from its conditional
 distribution (generalized Stirling numbers), for up to ``EXACT`` customers, and
-beyond that by the restaurant's own seating process in blocks. Counts are dealt
-by word, so a word's restaurants meet in one task; between sweeps only the
-restaurants' total numbers of tables are summed up (at most 257 numbers). Draws
-depend on the word, context and sweep alone, so a task that is run again, or that
-replays earlier sweeps, draws the same. Predictive probabilities are averaged
-over the last sweeps.
-
-For scoring, words with a share of 1/2**18 or more (at most 2**18 of them) are
-looked up in a table that is broadcast after a check of its size; all other
-tokens are joined with their words' counts by a shuffle.
+beyond that by the restaurant's own seating process in blocks. A dish with one
+customer has one table, so only pairs that occur twice are drawn. Pairs are
+counted by a shuffle on context and word together, so no context meets in one
+task; a sweep adds up tables by context and by word. Draws depend on the word,
+context and sweep alone, so a task that is run again draws the same. Predictive
+probabilities are averaged over the last sweeps.
+
+Contexts and words with a share of 1/2**18 or more of the tokens (at most 2**18
+of each) are broadcast to the pairs; all others are joined by a shuffle. Nothing
+of a size that grows with the corpus reaches the driver.
 """
 
 from __future__ import annotations
@@ -29,18 +29,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridial.llm import _text
-from meridial.llm._work import cut, partitions
+from meridial.llm._work import cut, drop
 
 U = np.uint64
 END = int(_text.mix(np.array([0xE0F], U)).view(np.int64)[0])
 EXACT = 64
-CONTEXT_SHARE, TABLE_SHARE = 256, 1 << 18
-#: Probabilities in the broadcast table at most (8 bytes each).
-MAX_TABLE = 4_000_000
+TABLE_SHARE = 1 << 18
+#: Log probabilities are added up as whole numbers of this part, so in any order alike.
+PART = 1e-10
 
 
 def held_out(key, folds: int = 10):
@@ -56,17 +56,9 @@ def _tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.insert(words.view(np.int64), ends[1:], END), ends + np.arange(len(ends))
 
 
-def _contexts(tokens: np.ndarray, at: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """0 until a text's first frequent word, then 1 + the index of the latest one before each token."""
-    if not len(tokens):
-        return np.zeros(0, np.int64)
-    i = np.minimum(np.searchsorted(frequent, tokens), max(len(frequent) - 1, 0))
-    hit = frequent[i] == tokens if len(frequent) else np.zeros(len(tokens), bool)
-    n = np.arange(len(tokens))
-    latest = np.maximum.accumulate(np.where(hit, n, -1))
-    latest = np.concatenate(([-1], latest[:-1]))
-    first = np.repeat(at[:-1], np.diff(at))
-    return np.where(latest >= first, i[np.maximum(latest, 0)] + 1, 0)
+def _contexts(tokens: np.ndarray) -> np.ndarray:
+    """The token before each token; the end before the first, as it ends the text before."""
+    return np.concatenate(([END], tokens[:-1])).astype(np.int64)
 
 
 def _grouped(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -80,8 +72,8 @@ def _grouped(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarra
     return [k[new] for k in keys], np.add.reduceat(counts[order], np.flatnonzero(new)) if len(order) else counts
 
 
-def _count(frequent: np.ndarray | None, text: str):
-    """Counts of words, or of words in contexts, combined over 4 million tokens."""
+def _count(text: str):
+    """Counts of words in contexts, combined over 4 million of them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -90,14 +82,14 @@ def _count(frequent: np.ndarray | None, text: str):
         def flush() -> pa.RecordBatch:
             parts = [np.concatenate(x) for x in zip(*held, strict=True)]
             keys, n = _grouped(parts[:-1], parts[-1])
-            return pa.record_batch([pa.array(k) for k in [*keys, n]], names=["w", "g", "c"] if len(keys) == 2 else ["w", "c"])
+            return pa.record_batch([pa.array(k) for k in [*keys, n]], names=["g", "w", "c"])
 
         for b in batches:
-            for tokens, at in _tokens(b.column(text)):
-                keys = [tokens] if frequent is None else [tokens, _contexts(tokens, at, frequent)]
-                keys, n = _grouped(keys, np.ones(len(tokens), np.int64))
-                held.append([*keys, n])
-                size += len(n)
+            for tokens, _ in _tokens(b.column(text)):
+                if len(tokens):
+                    keys, n = _grouped([_contexts(tokens), tokens], np.ones(len(tokens), np.int64))
+                    held.append([*keys, n])
+                    size += len(n)
             if size > 1 << 22:
                 yield flush()
                 held, size = [], 0
@@ -161,82 +153,88 @@ def draw_tables(w, g, customers, tables, others, base, d: float, theta: float, s
 
 @dataclass
 class Totals:
-    """What all tasks must agree on: tables of every context, customers and tables of the parent."""
+    """Sums after a sweep: customers and tables of the parent; tables of each context in ``contexts``."""
 
-    context: np.ndarray
     parent_customers: int
     parent_tables: int
+    contexts: DataFrame = None
+    at: int = 0
+
+    @property
+    def context(self) -> np.ndarray:
+        """Tables of all contexts in the order of ``predictive``, for small models."""
+        return np.array([r["n"] for r in self.contexts.orderBy("g").select(F.get("tables", F.lit(self.at)).alias("n")).collect()], np.int64)
 
 
 @dataclass
 class Model:
-    """Fitted totals; ``counts`` (one row a word: w, gs, cs) stays distributed."""
+    """Fitted sums; the tables stay distributed.
 
-    counts: DataFrame
+    ``pairs``: g, w, c and mean tables t. ``contexts``: g, c, tables (one number
+    a used sweep). ``words``: w, c, q (the parent's probability, likewise).
+    """
+
+    pairs: DataFrame
+    contexts: DataFrame
+    words: DataFrame
     tokens: int
     types: int
-    frequent: np.ndarray
-    context_customers: np.ndarray
     d: float
     d_parent: float
     theta: float
     theta_parent: float
-    burn_in: int
     history: list[Totals] = field(default_factory=list)
 
-    def light(self) -> Model:
-        """Without the table, to be sent to tasks."""
-        return Model(None, self.tokens, self.types, self.frequent, self.context_customers, self.d, self.d_parent, self.theta, self.theta_parent, self.burn_in, self.history)
-
     def parent(self, customers, tables, at: Totals):
-        """The parent's probability of a dish."""
+        """The parent's probability of a dish (numbers or columns)."""
         return (customers - self.d_parent * tables + (self.theta_parent + self.d_parent * at.parent_tables) / (self.types + 1)) / (self.theta_parent + at.parent_customers)
 
+    @property
+    def context_customers(self) -> np.ndarray:
+        """Customers of all contexts in the order of ``predictive``, for small models."""
+        return np.array([r["c"] for r in self.contexts.orderBy("g").select("c").collect()], np.int64)
+
     def back_off(self, at: Totals) -> np.ndarray:
-        """Each context's weight of the parent."""
+        """Each context's weight of the parent, for small models."""
         return (self.theta + self.d * at.context) / (self.theta + self.context_customers)
 
     def used(self) -> list[Totals]:
-        return self.history[self.burn_in + 1 :]
+        return self.history
 
     def base(self, count):
-        """The fixed additive score, log10."""
-        return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
-
-    def sweeps(self, w: np.ndarray, at: np.ndarray, g: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Tables of all dishes, and the parent's customers and tables, after each sweep."""
-        t, tw = np.ones(len(c), np.int64), np.ones(len(w), np.int64)
-        of = np.repeat(np.arange(len(w)), np.diff(at))
-        inner, outer = log_stirling(self.d), log_stirling(self.d_parent)
-        total = np.add.reduceat(t, at[:-1])
-        zero = np.zeros(len(w), np.int64)
-        for s, before in enumerate(self.history):
-            base = self.parent(total, tw, before)
-            t = draw_tables(w[of], g + 1, c, t, before.context[g], base[of], self.d, self.theta, inner, 101 + s)
-            total = np.add.reduceat(t, at[:-1])
-            tw = draw_tables(w, zero, total, np.minimum(tw, total), np.full(len(w), before.parent_tables), np.full(len(w), 1 / (self.types + 1)), self.d_parent, self.theta_parent, outer, 50021 + s)
-            yield t, total, tw
-
-
-def _columns(b: pa.RecordBatch):
-    gs, cs = b.column("gs"), b.column("cs")
-    at = gs.offsets.to_numpy().astype(np.int64)
-    values = gs.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], cs.values.to_numpy(zero_copy_only=False)[cs.offsets[0].as_py() :][: at[-1] - at[0]]
-    return b.column("w").to_numpy(), at - at[0], values[0].astype(np.int64), values[1].astype(np.int64)
-
-
-def _sums(model: Model):
-    """Totals of one task after the last sweep: context -> tables, -1 and -2 for the parent."""
+        """The fixed additive score, log10, of a column of counts."""
+        return F.log10((count + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
+
+    def rates(self, df: DataFrame) -> DataFrame:
+        """``df`` (g, w and ``seated``, what the pair's own customers weigh) with known, base and log10 probability p."""
+        df = _attach(_attach(df, "w", self.words, self.tokens), "g", self.contexts.withColumnRenamed("c", "size"), self.tokens, "size")
+        size, n = F.coalesce("size", F.lit(0)), len(self.history)
+        p = F.col("seated") / (size + self.theta)
+        for i, h in enumerate(self.history):
+            tables = F.coalesce(F.get("tables", F.lit(i)), F.lit(0))
+            p += (tables * self.d + self.theta) / (size + self.theta) * F.coalesce(F.get("q", F.lit(i)), F.lit(self.parent(0, 0, h))) / n
+        return df.withColumns({"known": F.col("c").isNotNull(), "base": self.base(F.coalesce("c", F.lit(0))), "p": F.log10(p)}).drop("c", "q", "size", "tables", "seated")
+
+
+def _attach(df: DataFrame, key: str, table: DataFrame, tokens: int, count: str = "c") -> DataFrame:
+    """``df`` left-joined with ``table``; rows of frequent keys meet a broadcast of at most ``TABLE_SHARE`` rows."""
+    often = F.col(count) * TABLE_SHARE >= tokens
+    hot = table.where(often)
+    met = df.join(F.broadcast(hot), key)
+    return met.unionByName(df.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~often), key, "left"))
+
+
+def _draws(model: Model, salt: int, parent: bool):
+    """Tables of dishes in contexts, or of words in the parent, drawn anew."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, customers, parents = np.zeros(len(model.context_customers), np.int64), 0, 0
+        d, theta = (model.d_parent, model.theta_parent) if parent else (model.d, model.theta)
+        stirling = log_stirling(d)
         for b in batches:
-            if b.num_rows:
-                w, at, g, c = _columns(b)
-                *_, (t, total, tw) = model.sweeps(w, at, g, c)
-                tables += np.bincount(g, t, len(tables)).astype(np.int64)
-                customers, parents = customers + int(total.sum()), parents + int(tw.sum())
-        yield pa.record_batch([pa.array([*range(len(tables)), -1, -2], pa.int64()), pa.array([*tables.tolist(), customers, parents], pa.int64())], ["g", "n"])
+            g, w, c, t, others, base = (b.column(k).to_numpy(zero_copy_only=False) for k in ("g", "w", "c", "t", "others", "base"))
+            drawn = draw_tables(w, g, c, t, others, base, d, theta, stirling, salt) if len(w) else t
+            at = b.schema.get_field_index("t")
+            yield b.drop_columns(["others", "base"]).set_column(at, b.schema.field(at), pa.array(drawn, pa.int64()))
 
     return rows
 
@@ -245,90 +243,76 @@ def fit(docs: DataFrame, *, text: str = "text", sweeps: int = 4, burn_in: int =
     """A model of all rows of ``docs`` (null texts: empty; each text has one end token).
 
     Discounts are n1 / (n1 + 2 n2), n1 and n2 the numbers of counts of one and
-    two. Only sums, at most 256 contexts and 257 totals a sweep reach the driver.
+    two. Only sums reach the driver.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.coalesce(text, F.lit("")).alias(text))
-    words = cut(docs.mapInArrow(_count(None, text), "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")))
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = np.sort(np.array([r["w"] for r in words.where((F.col("c") * CONTEXT_SHARE >= n) & (F.col("w") != END)).select("w").collect()], np.int64))
-    pairs = docs.mapInArrow(_count(frequent, text), "w bigint, g bigint, c bigint")
-    counts = pairs.repartition(partitions(spark), "w").groupBy("w", "g").agg(F.sum("c").alias("c"))
-    # at most 257 contexts a word
-    counts = cut(counts.groupBy("w").agg(F.collect_list(F.struct(F.col("g").cast("int").alias("g"), "c")).alias("x")).select("w", F.col("x.g").alias("gs"), F.col("x.c").alias("cs")))
-    each = counts.select("w", F.explode(F.arrays_zip("gs", "cs")).alias("x")).select(F.col("x.gs").alias("g"), F.col("x.cs").alias("c"))
-    held = each.groupBy("g").agg(F.sum("c").alias("c"), F.count("*").alias("n"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()
-    customers, tables = np.zeros(len(frequent) + 1, np.int64), np.zeros(len(frequent) + 1, np.int64)
-    for r in held:
-        customers[r["g"]], tables[r["g"]] = r["c"], r["n"]
+    pairs = cut(docs.mapInArrow(_count(text), "g bigint, w bigint, c bigint").groupBy("g", "w").agg(F.sum("c").alias("c")))
+    sums = [F.sum("c").alias("c"), F.count("*").alias("n"), F.count_if(F.col("c") == 1).alias("n1")]
+    contexts, words = cut(pairs.groupBy("g").agg(*sums)), cut(pairs.groupBy("w").agg(*sums))
+    n, v, *sizes = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    many, *ones = pairs.agg(F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     share = lambda n1, n2: min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
-    d = share(sum(r["n1"] for r in held), sum(r["n2"] for r in held))
-    sizes = counts.agg(F.count_if(F.size("gs") == 1), F.count_if(F.size("gs") == 2)).first()
-    model = Model(counts, n, v, frequent, customers, d, share(*sizes), theta, theta_parent, burn_in, [Totals(tables, int(tables.sum()), v)])
-    for _ in range(sweeps):
-        if not v:
-            break
-        got = {r["g"]: r["n"] for r in counts.mapInArrow(_sums(model.light()), "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect()}
-        model.history.append(Totals(np.array([got[g] for g in range(len(tables))]), got[-1], got[-2]))
-    return model
-
+    bare = Model(None, None, None, n, v, share(*ones), share(*sizes), theta, theta_parent)
+    if not v:
+        return bare
+    # a pair of one customer has one table in every sweep
+    multi = pairs.where("c > 1").select("g", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("sum"))
+    inner = contexts.select("g", "c", "n1", F.col("n").alias("t"), F.expr("cast(array() as array<bigint>)").alias("tables"))
+    outer = words.select("w", F.col("c").alias("size"), "n1", F.col("n").alias("c"), F.lit(1).cast("long").alias("t"), F.expr("cast(array() as array<double>)").alias("q"))
+    now = Totals(many, v)
+    used = []
+    for s in range(sweeps):
+        asked = _attach(multi, "w", outer.select("w", F.col("size"), bare.parent(F.col("c"), F.col("t"), now).alias("base")), n, "size").drop("size")
+        asked = _attach(asked, "g", inner.select("g", F.col("c").alias("size"), F.col("t").alias("others")), n, "size").drop("size")
+        drawn = cut(asked.mapInArrow(_draws(bare, 101 + s, False), multi.schema))
+        keep = s >= burn_in
+        tables = lambda key: drawn.groupBy(key).agg(F.sum("t").alias("more"))
+        total = (F.col("n1") + F.coalesce("more", F.lit(0))).alias("t")
+        inner = inner.drop("t").join(tables("g"), "g", "left").select("g", "c", "n1", total, "tables")
+        inner = cut(inner.withColumn("tables", F.array_append("tables", F.col("t"))) if keep else inner)
+        seats = outer.drop("c").join(tables("w"), "w", "left").select("w", "size", "n1", total.alias("c"), "t", "q")
+        seats = seats.withColumns({"g": F.lit(0).cast("long"), "t": F.least("t", "c"), "others": F.lit(now.parent_tables).cast("long"), "base": F.lit(1 / (v + 1))})
+        outer = cut(seats.mapInArrow(_draws(bare, 50021 + s, True), seats.drop("others", "base").schema)).drop("g")
+        now = Totals(*outer.agg(F.sum("c"), F.sum("t")).first(), at=len(used))
+        if keep:
+            outer = outer.withColumn("q", F.array_append("q", bare.parent(F.col("c"), F.col("t"), now)))
+            used.append(now)
+        multi = drawn.withColumn("sum", F.col("sum") + F.col("t")) if keep else drawn
+    drop(words)
+    contexts = inner.select("g", "c", "tables")
+    for h in used:
+        h.contexts = contexts
+    mean = multi.select("g", "w", "c", (F.col("sum") / len(used)).alias("t")).unionByName(pairs.where("c = 1").withColumn("t", F.lit(1.0)))
+    return Model(mean, contexts, outer.select("w", F.col("size").alias("c"), "q"), n, v, bare.d, bare.d_parent, theta, theta_parent, used)
 
-def _predict(model: Model):
-    """Of every word: count, parent probabilities and the averaged ones of its contexts."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = model.used()
-        replay = Model(**{**vars(model), "history": model.history[:-1]})
-        for b in batches:
-            if not b.num_rows:
-                continue
-            w, at, g, c = _columns(b)
-            of = np.repeat(np.arange(len(w)), np.diff(at))
-            p, parents = np.zeros(len(c)), []
-            for s, (t, total, tw) in enumerate(replay.sweeps(w, at, g, c)):
-                if s < model.burn_in:
-                    continue
-                now = use[s - model.burn_in]
-                q = model.parent(total, tw, now)
-                parents.append(q)
-                p += ((c - model.d * t) / (model.theta + model.context_customers[g]) + model.back_off(now)[g] * q[of]) / len(use)
-            offsets = pa.array(at.astype(np.int32))
-            q = np.stack(parents, 1)
-            yield pa.record_batch([b.column("w"), pa.array(np.add.reduceat(c, at[:-1])), pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1, dtype=np.int32) * q.shape[1]), pa.array(q.ravel())), pa.ListArray.from_arrays(offsets, pa.array(g.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(p))], ["w", "c", "q", "gs", "ps"])
+def predictive(model: Model) -> DataFrame:
+    """Of every word: count, parent probabilities and the averaged ones of its contexts.
 
-    return rows
+    Contexts are numbered in one order, for a look at small models; scoring does not use it.
+    """
+    ids = model.contexts.select("g", (F.row_number().over(Window.orderBy("g")) - 1).alias("id"))
+    p = model.rates(model.pairs.select("g", "w", _seated(model)))
+    each = p.join(ids, "g").groupBy("w").agg(F.array_sort(F.collect_list(F.struct("id", F.pow(F.lit(10.0), "p").alias("p")))).alias("x"))
+    return model.words.join(each, "w").select("w", "c", "q", F.col("x.id").alias("gs"), F.col("x.p").alias("ps"))
 
 
-def predictive(model: Model) -> DataFrame:
-    return model.counts.mapInArrow(_predict(model.light()), "w bigint, c bigint, q array<double>, gs array<int>, ps array<double>")
+def _seated(model: Model):
+    """What a pair's own customers weigh, before the division by its context's."""
+    return (F.col("c") - F.col("t") * model.d).alias("seated")
 
 
-def _fast(model: Model, shared, text: str, common: bool):
-    """common: sums over tokens of the broadcast table; else the other tokens."""
+def _pairs_of(text: str):
+    """The distinct pairs of each row's text, and how often it has them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, table = shared.value
         for b in batches:
             ids, done = b.column("row").to_numpy(), 0
-            sums, ws, gs, rs = [], [], [], []
             for tokens, at in _tokens(b.column(text)):
-                g = _contexts(tokens, at, model.frequent)
-                i = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
-                hit = known[i] == tokens if len(known) else np.zeros(len(tokens), bool)
-                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                if common:
-                    k, n = doc[hit], len(at) - 1
-                    sums.append(np.stack([np.diff(at).astype(np.float64), np.bincount(k, minlength=n), np.bincount(k, base[i[hit]], n), np.bincount(k, table[i[hit], g[hit]], n)], 1))
-                else:
-                    ws.append(tokens[~hit])
-                    gs.append(g[~hit])
-                    rs.append(ids[done:][doc[~hit]])
+                row = np.repeat(ids[done : done + len(at) - 1], np.diff(at))
                 done += len(at) - 1
-            if common:
-                s = np.concatenate(sums) if sums else np.zeros((0, 4))
-                yield pa.record_batch([b.column("row"), b.column("key"), pa.array(s[:, 0].astype(np.int64)), pa.array(s[:, 1].astype(np.int64)), pa.array(s[:, 2]), pa.array(s[:, 3])], ["row", "key", "n_tokens", "n_common", "common_base", "common_score"])
-            elif ws:
-                yield pa.record_batch([pa.array(np.concatenate(rs), pa.int64()), pa.array(np.concatenate(ws)), pa.array(np.concatenate(gs).astype(np.int32))], ["row", "w", "g"])
+                keys, n = _grouped([row, _contexts(tokens), tokens], np.ones(len(tokens), np.int64))
+                yield pa.record_batch([*map(pa.array, keys), pa.array(n)], names=["row", "g", "w", "k"])
 
     return rows
 
@@ -340,41 +324,16 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     of smoothed word counts, ``n_known`` the tokens seen in training. A model of
     no texts gives every token the probability 1 of its only, unknown, type.
     """
-    spark = docs.sparkSession
-    words = cut(predictive(model)) if model.tokens else None
-    use, wide = model.used() if model.tokens else [], len(model.context_customers)
-    away = [model.back_off(h) / len(use) for h in use]
-    known, base, table = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, wide))
-    share = TABLE_SHARE
-    while words is not None:
-        # the table's size is checked; fewer words are in it if it would be too large
-        chosen = words.where(F.col("c") * share >= model.tokens)
-        if chosen.count() * wide <= MAX_TABLE:
-            rows = sorted(chosen.collect(), key=lambda r: r["w"])
-            known, base = np.array([r["w"] for r in rows], np.int64), model.base(np.array([r["c"] for r in rows], np.float64))
-            q = np.array([r["q"] for r in rows]).reshape(len(rows), len(use))
-            table = q @ np.array(away).reshape(len(use), wide)
-            for i, r in enumerate(rows):
-                table[i, r["gs"]] = r["ps"]
-            table = np.log10(table)
-            break
-        share //= 2
-    shared = spark.sparkContext.broadcast((known, base, table))
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias(text))
-    common = docs.mapInArrow(_fast(model.light(), shared, text, True), "row bigint, key bigint, n_tokens bigint, n_common bigint, common_base double, common_score double")
-    if words is None:
-        return common.select(F.col("key").alias(key), "n_tokens", F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    other = docs.select("row", text).mapInArrow(_fast(model.light(), shared, text, False), "row bigint, w bigint, g int")
-    rare = words.where(F.col("c") * share < model.tokens)
-    joined = other.join(rare, "w", "left")
-    literal = lambda x: F.element_at(F.array(*(F.lit(float(v)) for v in x)), F.col("g") + 1)
-    unseen = sum(a * model.parent(0, 0, h) for a, h in zip(away, use, strict=True))
-    from_parent = sum((literal(a) * F.get("q", F.lit(i)) for i, a in enumerate(away)), F.lit(0.0))
-    place = F.array_position("gs", F.col("g"))
-    p = F.when(F.col("c").isNull(), literal(unseen)).when(place > 0, F.get("ps", (place - 1).cast("int"))).otherwise(from_parent)
-    count = F.coalesce("c", F.lit(0))
-    rates = joined.select("row", F.col("c").isNotNull().cast("long").alias("known"), F.log10((count + 0.1) / (model.tokens + 0.1 * (model.types + 1))).alias("base"), F.log10(p).alias("p"))
-    sums = rates.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("p").alias("p"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    out = common.join(sums, "row", "left")
-    return out.select(F.col("key").alias(key), "n_tokens", (F.col("n_common") + zero("known")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("common_base") + zero("base")).alias("base_score"), (F.col("common_score") + zero("p")).alias("score"))
+    asked = docs.select("row", text).mapInArrow(_pairs_of(text), "row bigint, g bigint, w bigint, k bigint")
+    if not model.tokens:
+        rates = asked.select("row", "k", F.lit(False).alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("p"))
+    else:
+        seen = model.rates(model.pairs.select("g", "w", _seated(model)))
+        joined = asked.join(seen, ["g", "w"], "left")
+        # pairs that training did not have
+        new = model.rates(joined.where("p IS NULL").select("row", "k", "g", "w", F.lit(0.0).alias("seated")))
+        rates = joined.where("p IS NOT NULL").select("row", "k", "known", "base", "p").unionByName(new.select("row", "k", "known", "base", "p"))
+    added = lambda x: F.sum(F.round(F.col(x) / PART).cast("long") * F.col("k")) * PART
+    sums = rates.groupBy("row").agg(F.sum("k").alias("n_tokens"), F.sum(F.col("known").cast("long") * F.col("k")).alias("n_known"), added("base").alias("base_score"), added("p").alias("score"))
+    return docs.select("row", "key").join(sums, "row").select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

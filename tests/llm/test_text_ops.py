@@ -341,6 +341,20 @@ def test_scoring_without_the_broadcast_table_agrees(spark, monkeypatch):
     assert score(df.where("false"), model).count() == 0
 
 
+def test_every_preceding_word_is_a_context(spark):
+    # a flat vocabulary: no word makes up 1/256 of the tokens
+    rng = random.Random(5)
+    follows = [f"w{i}" for i in range(600)]
+    rng.shuffle(follows)
+    texts = [" ".join((follows * 2)[i : i + 60]) for i in range(0, 600, 7)]
+    model = fit(docs(spark, texts))
+    assert model.contexts.count() == 601 and model.pairs.where("g != w").count() > 600
+    words = texts[0].split()
+    rng.shuffle(words)
+    a, b = (r["score"] for r in score(docs(spark, [texts[0], " ".join(words)]), model).orderBy("doc_id").collect())
+    assert a > b + 60
+
+
 # ---- quality --------------------------------------------------------------
 
 
