@@ -1,20 +1,27 @@
-"""HTML extraction by minimum-cut labelling of text blocks.
-
-A page is read into blocks of text. A classifier on a block's containers, tag
-and text gives it a cost of being called content and one of being called
-boilerplate; these are the capacities of its edges to the two terminals of a
-graph. Neighbours in page order and blocks of the same container are joined by
-smoothness edges: cutting them costs too, and the more the nearer they stand in
-the tree. The minimum cut is the labelling with the least total cost. Blocks
-whose terminal edges outweigh all their smoothness edges are settled first
-(which loses nothing); the rest is solved by augmenting paths.
+"""HTML extraction by minimum-cut labelling of text blocks and their containers.
+
+A page is read into blocks of text in a tree of elements. A classifier looks at
+a block's own text, links and tag, and gives it a cost of being called content
+and one of being called boilerplate; these are the capacities of its edges to
+the two terminals of a graph. Containers whose tag or name says what they hold
+(an article, a menu) are nodes as well, tied to their terminal. Smoothness edges
+join every block to the nearest such container around it, and to the blocks
+before and behind it, the more strongly the nearer they stand in the tree. The
+minimum cut is the labelling with the least total cost: a short line or a list
+of links is boilerplate by its text, but content between the paragraphs of an
+article. Nodes whose terminal edges outweigh all their smoothness edges are
+settled first (which loses nothing); the rest is solved by Dinic's algorithm.
+
+Pages are read once from start to end. Elements know their parent only, and at
+most ``DEEPEST`` are open at once (of deeper ones some are left out), so time
+and memory grow with the length of a page, however it is nested or broken.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,10 +50,13 @@ _CLOSES = {
 }
 _P_ENDS = frozenset(BLOCK_TAGS - {"option", "optgroup", "legend", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "head", "title"})
 
-_TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[!?][^>]*(?:>|\Z)|/[^A-Za-z][^>]*(?:>|\Z))""", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_SPACE = re.compile(r"\s*")
 #: One attribute: its name, and its value in double, single or no quotes. Every
 #: character but space and ``/`` belongs to one, so matches never start in a value.
 _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+#: Elements open at once.
+DEEPEST = 256
 
 #: What containers of boilerplate and of content are called.
 BAD_TAGS = frozenset("nav header footer aside form menu button fieldset dialog label input legend".split())
@@ -56,62 +66,103 @@ BAD_NAMES = re.compile(
     r"copyright|legal|disclaimer|pagination|pager|tags?|toolbar|skip|hidden|author-bio|byline-box|contentinfo|navigation|complementary|dialog)(?:$|[\s_\-0-9])",
     re.I,
 )
+#: Names that say so even of a single paragraph or heading of an article.
+BAD_LINES = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice\w*|newsletter|subscri\w*|comments?|copyright)(?:$|[\s_\-0-9])", re.I)
+BAD_ARTICLES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|comment\w*|replies|reply|related|recommend\w*)(?:$|[\s_\-0-9])", re.I)
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|entry|post|story|body|text|page-content|articlebody|maincontent)(?:$|[\s_\-0-9])", re.I)
+#: Names of a head: of an article it holds the title.
+HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_\-0-9])", re.I)
+#: Tags of lines of text; in an article their names say little.
+LINE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figure figcaption table tbody thead tr td th caption a b i em strong span small code sub sup u s q cite abbr time mark br img".split())
 _NOTICE = re.compile(r"\b(?:cookies?|all rights reserved|subscribe|newsletter|sign (?:up|in)|log in|privacy policy|terms of (?:use|service)|advertisement|sponsored)\b|©", re.I)
 
+#: Edges of a block to a container that is tagged or only named as what it is.
+TAGGED, NAMED = 6.0, 5.0
+CERTAIN = 1e9
 
-class Block:
-    """A piece of text with the tags and names around it."""
-
-    __slots__ = ("bad", "good", "inner", "linked", "path", "text")
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], inner: str, bad: float, good: float):
-        self.text, self.linked, self.path, self.inner, self.bad, self.good = text, linked, path, inner, bad, good
+class Element:
+    """An open tag: what is around it, and the nearest container that says what it holds."""
 
+    __slots__ = ("block", "depth", "good", "hidden", "link", "name", "parent", "region", "tie")
 
-class _Element:
-    __slots__ = ("bad", "good", "hidden", "link", "name", "number")
-
-    def __init__(self, name: str, number: int, above: _Element | None, attributes: str):
-        self.name, self.number = name, number
-        self.bad = above.bad if above else 0.0
-        self.good = above.good if above else 0.0
-        self.hidden = above.hidden if above else False
-        self.link = name == "a" or (above is not None and above.link)
+    def __init__(self, name: str, above: Element | None, attributes: str):
+        self.name = name
+        #: ``good`` is whether the region holds content (None without a region).
+        self.region, self.good, self.tie, self.hidden, self.link = (above.region, above.good, above.tie, above.hidden, above.link) if above else (None, None, 0.0, False, False)
+        #: The tree of blocks: the nearest element around this one that is a block.
+        self.parent = above.block if above else None
+        self.block = self if above is None or name in BLOCK_TAGS else above.block
+        self.depth = self.parent.depth + 1 if self.parent and self.block is self else 0 if self.parent is None else self.parent.depth
+        if name == "a":
+            self.link = True
         if name in HIDDEN_TAGS:
             self.hidden = True
-        if name == "header" and self.good >= 3:
-            self.bad += 1.0  # the head of an article, with its title
+        said = []
+        for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+            what, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if what == "hidden" or (what == "aria-hidden" and value == "true") or (what == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+                self.hidden = True
+            elif what in ("class", "id", "role", "itemprop"):
+                said.append(value)
+        self._judge(" ".join(said))
+
+    def _judge(self, said: str) -> None:
+        name = self.name
+        if self.good is False or name in ("html", "body"):
+            return  # all that boilerplate holds is boilerplate
+        if name in ("article", "main"):
+            self._hold(not (said and name == "article" and BAD_ARTICLES.search(said)), TAGGED)
         elif name in BAD_TAGS:
-            self.bad = max(self.bad, 6.0)
-        elif name in ("article", "main") and self.bad < 6:
-            self.good += 3.0
-        if attributes:
-            names, roles = [], []
-            for m in _ATTRIBUTE.finditer(attributes):
-                what, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if what == "hidden" or (what == "aria-hidden" and value == "true") or (what == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-                    self.hidden = True
-                elif what in ("class", "id", "role", "itemprop"):
-                    names.append(value)
-                elif what == "aria-label":
-                    roles.append(value)
-            said = " ".join(names)
-            if said and name not in ("html", "body", "main", "article"):
-                if BAD_NAMES.search(said):
-                    self.bad = max(self.bad, 6.0)
-                elif GOOD_NAMES.search(said) and self.bad < 6:
-                    self.good += 1.5
-        if self.bad >= 6:
-            self.good = 0.0  # whatever stands around it
+            if not (name == "header" and self.good):
+                self._hold(False, TAGGED)
+        elif said:
+            bad = BAD_LINES if self.good and name in LINE_TAGS else BAD_NAMES
+            if bad.search(said) and not (self.good and HEADS.search(said)):
+                self._hold(False, TAGGED if self.good else NAMED)
+            elif not self.good and name not in LINE_TAGS and GOOD_NAMES.search(said):
+                self._hold(True, NAMED)
+
+    def _hold(self, good: bool, tie: float) -> None:
+        self.region, self.good, self.tie = self, good, tie
+
+
+class Block:
+    """A piece of text, how many of its characters are links, and the element around it."""
+
+    __slots__ = ("at", "linked", "text")
+
+    def __init__(self, text: str, linked: int, at: Element):
+        self.text, self.linked, self.at = text, linked, at
+
+
+def _tag_end(source: str, at: int) -> int:
+    """Where the ``>`` of a tag stands that is open at ``at``; -1 if the page ends before."""
+    end = source.find(">", at)
+    while end >= 0:
+        equals = source.find("=", at, end)
+        if equals < 0:
+            return end
+        at = _SPACE.match(source, equals + 1).end()
+        if source[at : at + 1] in ('"', "'"):
+            close = source.find(source[at], at + 1)
+            if close < 0:
+                return -1
+            at = close + 1
+            if at > end:
+                end = source.find(">", at)
+        elif at > end:
+            end = source.find(">", at)
+    return -1
 
 
 def blocks_of(source: str) -> list[Block]:
     """The page's blocks in page order, white space collapsed, references decoded."""
     out: list[Block] = []
-    stack = [_Element("", 0, None, "")]
+    stack = [Element("", None, "")]
+    open_ = Counter()
     pieces: list[str] = []
-    linked, number, at, size = 0, 0, 0, len(source)
+    linked, at, size = 0, 0, len(source)
 
     def flush() -> None:
         nonlocal linked
@@ -119,9 +170,7 @@ def blocks_of(source: str) -> list[Block]:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                top = stack[-1]
-                held = [e for e in stack if e.name in BLOCK_TAGS]
-                out.append(Block(text, linked, tuple(e.number for e in held), held[-1].name if held else "", top.bad, top.good))
+                out.append(Block(text, linked, stack[-1]))
         linked = 0
 
     def say(raw: str) -> None:
@@ -136,31 +185,49 @@ def blocks_of(source: str) -> list[Block]:
     def close(depth: int) -> None:
         if any(e.name in BLOCK_TAGS for e in stack[depth:]):
             flush()
+        for e in stack[depth:]:
+            open_[e.name] -= 1
         del stack[depth:]
 
     while at < size:
-        m = _TAG.search(source, at)
-        if not m:
+        start = source.find("<", at)
+        if start < 0:
             say(source[at:])
             break
-        say(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        after = source[start + 1 : start + 2]
+        ending = after == "/"
+        named = _NAME.match(source, start + 1 + ending)
+        if not named and not (ending and start + 2 < size) and after not in ("!", "?"):
+            say(source[at : start + 1])  # a bare sign
+            at = start + 1
+            continue
+        say(source[at:start])
+        if not named:  # a comment, a declaration or a broken end tag
+            if source.startswith("<!--", start):
+                closed = re.compile(r"-?>|.*?--!?>", re.S).match(source, start + 4)
+                at = closed.end() if closed else size
+            else:
+                end = source.find(">", start)
+                at = end + 1 if end >= 0 else size
             continue
-        name = m[2].lower()
-        if m[1]:
+        end = _tag_end(source, named.end())
+        if end < 0:
+            break
+        at, name = end + 1, named[0].lower()
+        if ending:
             if name == "br":
                 say(" ")
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    close(depth)
-                    break
-                # an end tag of running text does not reach over blocks
-                if name not in BLOCK_TAGS and stack[depth].name in BLOCK_TAGS:
-                    break
+            elif open_[name]:
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].name == name:
+                        close(depth)
+                        break
+                    # an end tag of running text does not reach over blocks
+                    if name not in BLOCK_TAGS and stack[depth].name in BLOCK_TAGS:
+                        break
             continue
-        if name in _P_ENDS:
+        attributes = source[named.end() : end]
+        if name in _P_ENDS and open_["p"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name == "p":
                     close(depth)
@@ -169,49 +236,55 @@ def blocks_of(source: str) -> list[Block]:
                     break
         if name in _CLOSES:
             closed, until = _CLOSES[name]
-            for depth in range(len(stack) - 1, 0, -1):
-                if until and stack[depth].name in until:
-                    break
-                if stack[depth].name in closed:
-                    close(depth)
-                    if name != "tr":
+            if any(open_[c] for c in closed):
+                for depth in range(len(stack) - 1, 0, -1):
+                    if until and stack[depth].name in until:
+                        break
+                    if stack[depth].name in closed:
+                        close(depth)
+                        if name != "tr":
+                            break
+                    elif stack[depth].name in BLOCK_TAGS and not until:
                         break
-                elif stack[depth].name in BLOCK_TAGS and not until:
-                    break
         if name in BLOCK_TAGS:
             flush()
         if name in VOID_TAGS:
-            if name in ("br", "wbr", "img", "hr", "input"):
-                say(" " if name != "wbr" else "")
+            if name in ("br", "img", "hr", "input"):
+                say(" ")
             continue
-        number += 1
-        stack.append(_Element(name, number, stack[-1], m[3]))
+        if len(stack) >= DEEPEST:
+            # the innermost element that is no region gives way
+            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].region is not stack[d]), len(stack) - 1)
+            if stack[depth].name in BLOCK_TAGS:
+                flush()
+            open_[stack[depth].name] -= 1
+            del stack[depth]
         if name in _RAW_TAGS:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            close(len(stack) - 1)
-            at = end.end() if end else size
-        elif m[3].endswith("/") and name not in BLOCK_TAGS:
-            stack.pop()
+            raw = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            at = raw.end() if raw else size
+        elif not (attributes.endswith("/") and name not in BLOCK_TAGS):
+            stack.append(Element(name, stack[-1], attributes))
+            open_[name] += 1
     flush()
     return out
 
 
-def costs(b: Block, page_has_article: bool) -> tuple[float, float]:
-    """(cost of calling the block boilerplate, cost of calling it content)."""
-    content, boilerplate = 0.6 + b.good, b.bad
+def costs(b: Block) -> tuple[float, float]:
+    """(cost of calling the block boilerplate, cost of calling it content), by its own text, links and tag."""
+    content, boilerplate = 0.6, 0.4
     words = b.text.count(" ") + 1
     density = min(1.0, b.linked / max(1, len(b.text)))
     if density > 0.5:
         boilerplate += 2.0 * density
-    if b.inner in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "figcaption"):
+    if words < 5:
+        boilerplate += 0.5
+    if b.at.block.name in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "figcaption"):
         content += 0.8
     content += min(1.5, words / 30)
     if b.text[-1] in ".!?:;\"'”»…":
         content += 0.3
-    if b.good == 0:
-        boilerplate += 4.0 if page_has_article else 0.4
-        if _NOTICE.search(b.text):
-            boilerplate += 1.2
+    if words < 40 and _NOTICE.search(b.text):
+        boilerplate += 1.2
     return content, boilerplate
 
 
@@ -227,67 +300,121 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
         near[a][b] = near[a].get(b, 0.0) + c
         near[b][a] = near[b].get(a, 0.0) + c
     source, sink = list(source), list(sink)
+    total = [sum(x.values()) for x in near]
     label: list[bool | None] = [None] * n
     todo = deque(range(n))
     while todo:
         i = todo.popleft()
-        if label[i] is not None or abs(source[i] - sink[i]) < sum(near[i].values()):
+        if label[i] is not None or abs(source[i] - sink[i]) < total[i] - 1e-12:
             continue
         label[i] = keep = source[i] > sink[i]
         for j, c in near[i].items():
             (source if keep else sink)[j] += c
+            total[j] -= c
             del near[j][i]
             todo.append(j)
         near[i] = {}
     free = [i for i in range(n) if label[i] is None]
     if free:
-        s, t = n, n + 1
-        room: dict[int, dict[int, float]] = {i: dict(near[i]) for i in free}
-        room[s], room[t] = {}, {}
-        for i in free:
-            both = min(source[i], sink[i])  # flow that needs no other node
-            room[s][i], room[i][s] = source[i] - both, 0.0
-            room[i][t], room[t][i] = sink[i] - both, 0.0
-        while True:
-            came, queue = {s: s}, deque([s])
-            while queue and t not in came:
-                u = queue.popleft()
-                for v, c in room[u].items():
-                    if c > 1e-12 and v not in came:
-                        came[v] = u
-                        queue.append(v)
-            if t not in came:
-                break
-            path, v = [], t
-            while v != s:
-                path.append((came[v], v))
-                v = came[v]
-            flow = min(room[u][v] for u, v in path)
-            for u, v in path:
-                room[u][v] -= flow
-                room[v][u] += flow
-        for i in free:
-            label[i] = i in came
+        kept = _dinic([source[i] - sink[i] for i in free], near, free)
+        for i, k in zip(free, kept, strict=True):
+            label[i] = k
     return [bool(x) for x in label]
 
 
-def smoothness(blocks: list[Block], weight: float = 0.5) -> list[tuple[int, int, float]]:
-    """Edges between neighbours, stronger with every container that both share, and between next blocks of a container."""
-    edges, last = [], {}
+def _dinic(surplus: list[float], near: list[dict[int, float]], free: list[int]) -> list[bool]:
+    """Who can be reached from the source when no more flows; ``surplus`` is what the source gives (negative: the sink takes)."""
+    place = {i: k for k, i in enumerate(free)}
+    n = len(free)
+    s, t, small = n, n + 1, 1e-12
+    to: list[int] = []
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def join(a: int, b: int, there: float, back: float) -> None:
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((there, back))
+
+    for k, i in enumerate(free):
+        if surplus[k] > 0:
+            join(s, k, surplus[k], 0.0)
+        elif surplus[k] < 0:
+            join(k, t, -surplus[k], 0.0)
+        for j, c in near[i].items():
+            if place[j] > k:
+                join(k, place[j], c, c)
+    while True:
+        level = [-1] * (n + 2)
+        level[s] = 0
+        queue = deque([s])
+        while queue:
+            u = queue.popleft()
+            for e in out[u]:
+                if room[e] > small and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if level[t] < 0:
+            return [level[k] >= 0 for k in range(n)]
+        following = [0] * (n + 2)
+        path: list[int] = []
+        u = s
+        while True:
+            if u == t:
+                flow = min(room[e] for e in path)
+                first = None
+                for k, e in enumerate(path):
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                    if first is None and room[e] <= small:
+                        first = k
+                u = to[path[first] ^ 1]
+                del path[first:]
+                continue
+            while following[u] < len(out[u]):
+                e = out[u][following[u]]
+                if room[e] > small and level[to[e]] == level[u] + 1:
+                    break
+                following[u] += 1
+            else:
+                if u == s:
+                    break
+                level[u] = -1
+                u = to[path.pop() ^ 1]
+                continue
+            path.append(e)
+            u = to[e]
+
+
+def distance(a: Element, b: Element) -> int:
+    """Steps from the farther of two elements to the nearest block around both."""
+    a, b, steps = a.block, b.block, 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a, b = b, a
+        b = b.parent
+        steps += a.depth <= b.depth or a is b
+    return steps
+
+
+def graph(blocks: list[Block]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
+    """Capacities to both terminals and the edges of the page: its blocks, then its containers."""
+    source, sink = map(list, zip(*(costs(b) for b in blocks), strict=True))
+    edges, nodes = [], {}
+    # on a page that says where its content is, whatever stands outside is none
+    outside = max((b.at.tie for b in blocks if b.at.good), default=0.0)
     for i, b in enumerate(blocks):
+        tie = b.at.tie if b.at.region else outside
+        if tie:
+            if b.at.region not in nodes:
+                nodes[b.at.region] = len(source)
+                source.append(CERTAIN if b.at.good else 0.0)
+                sink.append(0.0 if b.at.good else CERTAIN)
+            edges.append((i, nodes[b.at.region], tie))
         if i:
-            a = blocks[i - 1]
-            shared = 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            edges.append((i - 1, i, weight * shared / max(len(a.path), len(b.path), 1)))
-        holder = b.path[:-1]
-        if holder in last and last[holder] < i - 1:
-            edges.append((last[holder], i, weight / 2))
-        last[holder] = i
-    return edges
+            edges.append((i - 1, i, 1.5 / (1 + distance(blocks[i - 1].at, b.at))))
+    return source, sink, edges
 
 
 def main_text(source: str) -> str:
@@ -295,14 +422,16 @@ def main_text(source: str) -> str:
     blocks = blocks_of(source)
     if not blocks:
         return ""
-    article = any(b.good >= 3 for b in blocks)
-    cost = [costs(b, article) for b in blocks]
-    keep = minimum_cut([c for c, _ in cost], [c for _, c in cost], smoothness(blocks))
-    return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    keep = minimum_cut(*graph(blocks))
+    return " ".join(b.text for b, k in zip(blocks, keep, strict=False) if k)
 
 
 def extract_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
-    """``page_id, url, text, n_chars`` of every page, from the whole html (null: empty). No shuffle."""
+    """``page_id, url, text, n_chars`` of every page, from the whole html.
+
+    A null or empty page has an empty text; repeated pages are read again; null
+    keys and urls stay null; other columns are not read. No shuffle.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
