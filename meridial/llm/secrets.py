@@ -7,7 +7,10 @@ a compressor primed by a dictionary of identifiers and by the surrounding text.
 Prose, paths and names shrink to little; keys do not. No text shrinks below the
 entropy of its alphabet, and a long key comes near to it (0.75 bytes a character
 in base64, 0.5 in hexadecimal digits), so the size is held against the
-candidate's own alphabet if its pairs of characters are not those of words.
+candidate's own alphabet. Names of things are short and new to any dictionary,
+so they do not always shrink: a candidate whose letters stand mostly in parts
+like words (between separators, changes of case and digits), or that has the
+form of a UUID, is a name and not reported, however it compresses.
 Incompressible candidates in a sensitive context are reported as ``novel``.
 """
 
@@ -58,30 +61,47 @@ PAIRS = frozenset(
 )
 
 
-def unlike_words(value: str, most: float = 0.36) -> bool:
-    """Whether at most ``most`` of the neighbouring letters and digits are pairs of ``PAIRS``.
+#: Parts of a name: a capital with small letters, a run of capitals, small letters, digits.
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 
-    Values of fewer than 8 pairs, and those of digits alone without 16 in a row, do not count.
+
+_CONSONANTS = re.compile(r"[^aeiouy]{3}")
+
+
+def like_word(part: str, least: float = 0.36) -> bool:
+    """Whether three letters or more have ``least`` of their pairs common, or four or more can be spoken.
+
+    To be spoken, a fifth to two thirds must be vowels, no three consonants may
+    stand in a row, and half as many pairs must be common.
     """
-    runs = re.findall(r"[a-z0-9]+", value.lower())
-    pairs = [r[i : i + 2] for r in runs for i in range(len(r) - 1)]
-    if len(pairs) < 8 or not (re.search(r"[A-Za-z]", value) or re.search(r"[0-9]{16}", value)):
+    low = part.lower()
+    if not low.isalpha() or len(low) < 3:
         return False
-    return sum(p in PAIRS for p in pairs) <= most * len(pairs)
+    common = sum(low[i : i + 2] in PAIRS for i in range(len(low) - 1)) / (len(low) - 1)
+    vowels = sum(c in "aeiouy" for c in low) / len(low)
+    return common >= least or (len(low) > 3 and 0.2 <= vowels <= 0.67 and common >= least / 2 and not _CONSONANTS.search(low))
+
+
+def word_share(value: str) -> float:
+    """Share of the letters and digits of ``value`` in parts like words, or in numbers of up to 8 digits if those are nearly half."""
+    parts = _PART.findall(value)
+    letters, words = sum(map(len, parts)), sum(len(p) for p in parts if like_word(p))
+    numbers = sum(len(p) for p in parts if p[0].isdigit() and len(p) <= 8) if words > 0.45 * letters else 0
+    return (words + numbers) / max(1, letters)
 
 
 class NoveltyScanner:
     """Finds secrets in one text at a time.
 
     A candidate stands within ``reach`` characters behind a sensitive word. It
-    is reported if its marginal compressed size is ``least_ratio`` bytes a
-    character or more and it has letters and digits, or if that size is
-    ``least_ratio`` of the entropy of its own characters, were they drawn alike,
-    or more, and it is unlike words.
+    is reported if its marginal compressed size is ``least_ratio`` of the
+    entropy of its own characters, were they drawn alike, or more, and less than
+    ``most_words`` of it is like words. Without letters it needs 16 digits in a row.
     """
 
-    def __init__(self, reach: int = 64, around: int = 512, least_ratio: float = 0.8, identifiers: str = IDENTIFIERS):
-        self.reach, self.around, self.least_ratio = reach, around, least_ratio
+    def __init__(self, reach: int = 64, around: int = 512, least_ratio: float = 0.8, most_words: float = 0.6, identifiers: str = IDENTIFIERS):
+        self.reach, self.around, self.least_ratio, self.most_words = reach, around, least_ratio, most_words
         self._dictionary = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self._compressor = zstandard.ZstdCompressor(level=9, dict_data=self._dictionary, write_content_size=False, write_checksum=False)
 
@@ -94,12 +114,12 @@ class NoveltyScanner:
 
     def is_novel(self, before: str, candidate: str, after: str = "") -> bool:
         """Whether the candidate is incompressible."""
-        mixed, unlike = re.search(r"[0-9]", candidate) and re.search(r"[A-Za-z]", candidate), unlike_words(candidate)
-        if not mixed and not unlike:
+        if not (re.search(r"[A-Za-z]", candidate) or re.search(r"[0-9]{16}", candidate)) or _UUID.fullmatch(candidate):
+            return False
+        if word_share(candidate) >= self.most_words:
             return False
-        size = self.marginal_bytes(before, candidate, after)
         own = len(candidate) * math.log2(len(set(candidate))) / 8
-        return bool(mixed and size >= self.least_ratio * len(candidate)) or (unlike and size >= self.least_ratio * own > 0)
+        return self.marginal_bytes(before, candidate, after) >= self.least_ratio * own > 0
 
     def base_spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the fixed patterns: leftmost, non-overlapping within a kind."""
