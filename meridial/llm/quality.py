@@ -7,9 +7,10 @@ byte run over the whole text; their rectified responses are max-pooled over
 overlapping chunks of 512 bytes (a new chunk each 384), a hidden layer looks at
 each chunk, and the mean over all chunks of a document gives one probability.
 
-The network is fitted on at most ``sample_rows`` labelled documents (those with
-the least hash of their id; of each at most ``sample_chunks`` chunks), so its
-size and the time of fitting do not grow. Scoring covers all bytes of all texts.
+The network is fitted on whole texts of a sample of labelled documents: those
+with the least hash of their id, at most ``sample_rows`` of them and together at
+most ``sample_bytes``, so the time of fitting does not grow. Scoring covers all
+bytes of all texts.
 """
 
 from __future__ import annotations
@@ -102,9 +103,12 @@ class ByteNetwork:
         """b, repeated: chunks x (CHUNK + BLOCK), read as positions of the first CHUNK bytes."""
         w, n = self.w, len(b)
         filters = w["conv"].shape[1]
-        r = self.responses(b.ravel(), repeated.ravel()).reshape(n, -1, filters)[:, : CHUNK // STRIDE]
-        where = r.argmax(1)
-        pooled = np.take_along_axis(r, where[:, None], 1)[:, 0]
+        pooled, where = np.empty((n, filters), w["conv"].dtype), np.empty((n, filters), np.int64)
+        for i in range(0, n, 256):  # of each chunk only the largest responses are kept
+            part = slice(i, i + 256)
+            r = self.responses(b[part].ravel(), repeated[part].ravel()).reshape(-1, (CHUNK + BLOCK) // STRIDE, filters)[:, : CHUNK // STRIDE]
+            where[part] = r.argmax(1)
+            pooled[part] = np.take_along_axis(r, where[part][:, None], 1)[:, 0]
         z = pooled @ w["dense"] + w["dense_bias"]
         h = np.maximum(z, 0)
         count = np.diff(np.append(first, n))
@@ -126,8 +130,8 @@ class ByteNetwork:
         g["embed"] = np.stack([np.bincount(seen.ravel(), back[..., c].ravel(), 256) for c in range(back.shape[-1])], 1)
         return g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, *, sample_chunks: int = 8, epochs: int = 8, least_steps: int = 800, rate: float = 0.01, batch: int = 32, seed: int = 7) -> ByteNetwork:
-        """Adam on the cross entropy; both classes weigh alike up to a factor of 3."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, *, epochs: int = 8, least_steps: int = 800, rate: float = 0.01, batch: int = 32, seed: int = 7) -> ByteNetwork:
+        """Adam on the cross entropy over all chunks of whole texts; both classes weigh alike up to a factor of 3."""
         rng = np.random.default_rng(seed)
         chunks, flags, owner = [], [], []
         for i, t in enumerate(texts):
@@ -135,7 +139,7 @@ class ByteNetwork:
             b = np.zeros(STEP * (count - 1) + CHUNK + BLOCK, np.uint8)
             b[: len(t)] = np.frombuffer(t, np.uint8)
             f = repeats(b)
-            for j in np.sort(rng.permutation(count)[:sample_chunks]):
+            for j in range(count):
                 chunks.append(b[j * STEP : j * STEP + CHUNK + BLOCK])
                 flags.append(f[j * STEP : j * STEP + CHUNK + BLOCK])
                 owner.append(i)
@@ -171,15 +175,27 @@ def training_rows(labels: DataFrame, *, key: str = "doc_id", folds: int = 5) ->
     return labels.where(F.col("quality").isin(0, 1) & (F.crc32(F.col(key).cast("string").cast("binary")) % folds != 0)).select(key, F.col("quality").cast("int").alias("quality"))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", sample_rows: int = 4000, sample_bytes: int = 1 << 16, **options) -> ByteNetwork:
-    """A network fitted on at most ``sample_rows`` rows of ``labels`` that have a document.
+def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", sample_rows: int = 4000, sample_bytes: int = 16 << 20, **options) -> ByteNetwork:
+    """A network fitted on whole texts of rows of ``labels`` that have a document.
 
-    Of each at most ``sample_bytes`` are learned from. Rows without a label of
-    0 or 1 are passed over; without both labels every score is the same.
+    Rows are taken by the hash of their key until there are ``sample_rows`` or
+    the next would pass ``sample_bytes`` bytes of text together; a longer text
+    than that is passed over. Rows with a null key, or without a label of 0 or
+    1, are not learned from; without both labels every score is the same.
     """
     chosen = training_rows(labels, key=key).orderBy(F.xxhash64(key), key, "quality").limit(sample_rows)
-    # the sample is bounded by its parameter, so it may be sent to all tasks
-    rows = docs.select(key, F.coalesce(text, F.lit("")).alias(text)).join(F.broadcast(chosen), key).select(key, "quality", F.substring(F.encode(F.col(text), "UTF-8"), 1, sample_bytes).alias("b")).orderBy(F.xxhash64(key), key, "quality", F.xxhash64("b")).limit(sample_rows).collect()
+    # the sample is bounded by its parameters, so it may be sent to all tasks
+    met = docs.select(key, F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("b")).join(F.broadcast(chosen), key)
+    met = met.where(F.length("b") <= sample_bytes).withColumns({"order": F.xxhash64(key), "digest": F.xxhash64("b")})
+    # lengths first: at most ``sample_rows`` of them are added up in one place
+    sizes = met.select("order", key, "quality", "digest", F.length("b").alias("n")).orderBy("order", key, "quality", "digest").limit(sample_rows).collect()
+    total, count = 0, 0
+    for r in sizes:
+        total += r["n"]
+        if total > sample_bytes:
+            break
+        count += 1
+    rows = met.orderBy("order", key, "quality", "digest").limit(count).select("b", "quality").collect() if count else []
     return ByteNetwork().fit([bytes(r["b"]) for r in rows], np.array([r["quality"] for r in rows], np.float64), **options)
 
 
