@@ -7,10 +7,11 @@ among the output shards by a binary tree: at each node the blocks are put in a
 random order and the first half goes left, so the sources' counts on the left
 are a multivariate hypergeometric draw from the node's quotas. The leaves'
 quotas are exact; each shard takes its next blocks of each source's permutation
-and shuffles locally.
+and shuffles locally. A document is taken as often as shards have drawn it.
 
-Only DataFrame operations are used. What is sorted in one place are sources and
-blocks of sources (256 a pass), never documents.
+Only DataFrame operations are used. Neither documents nor sources nor blocks are
+sorted in one place: ranks and running sums are taken within groups by range or
+hash, and added to those of the groups before.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridial.llm._work import cut
+from meridial.llm._work import cut, drop
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -27,6 +28,21 @@ def _hash(*columns) -> F.Column:
     return F.md5(F.concat_ws("|", *columns).cast("binary"))
 
 
+def running(df: DataFrame, order: list, **sums) -> DataFrame:
+    """``df`` with running totals of expressions over ``order``, the row's own included, and ``of_all`` the whole ones.
+
+    Rows are dealt by range and written, so no task has all; one row a
+    partition is added up in one place. The sums must be exact in any order.
+    """
+    dealt = cut(df.select("*", *(x.alias(f"_{n}") for n, x in sums.items())).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy("_part").agg(*(F.sum(f"_{n}").alias(f"_t_{n}") for n in sums))
+    before, every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    parts = parts.select("_part", *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums), *(F.sum(f"_t_{n}").over(every).alias(f"of_all_{n}") for n in sums))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = dealt.select("*", *(F.sum(f"_{n}").over(within).alias(f"_w_{n}") for n in sums)).join(parts, "_part")
+    return dealt.select(*df.columns, *((F.col(f"_b_{n}") + F.col(f"_w_{n}")).alias(n) for n in sums), *(f"of_all_{n}" for n in sums))
+
+
 def targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``sizes`` (source, source_size) with ``rank, weight, target``.
 
@@ -37,24 +53,36 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share:
     level that the rest would get reaches it.
     """
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
-    by = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before, onward = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = share * F.sum("source_size").over(Window.partitionBy())
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward)
-    levelled = ranked.withColumn("level", level).withColumn("capped", F.col("level") * F.col("weight") >= F.col("cap"))
+    ranked = running(sizes, [F.col("source").asc_nulls_last()], place=F.lit(1).cast("long")).select("source", "source_size", (F.col("place") - 1).alias("rank"))
+    ranked = ranked.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    # the caps and weights up to a row, its own included
+    by = running(ranked, [F.col("ratio"), F.col("rank")], caps=F.col("cap"), weighed=F.col("weight"))
+    level = (share * F.col("of_all_caps") / most - (F.col("caps") - F.col("cap"))) / (F.col("of_all_weighed") - F.col("weighed") + F.col("weight"))
+    levelled = cut(by.withColumn("level", level).withColumn("capped", F.col("level") * F.col("weight") >= F.col("cap")))
     # the level of the first source that is not capped holds for all after it
-    free = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), "rank", "level"))).over(Window.partitionBy()).getField("level")
-    return levelled.select("source", "source_size", "rank", "weight", F.when(F.col("capped"), F.col("cap")).otherwise(F.coalesce(free, F.lit(0.0)) * F.col("weight")).alias("target"))
+    free = levelled.where(~F.col("capped")).agg(F.min(F.struct("ratio", "rank", "level")).getField("level")).first()[0] or 0.0
+    return levelled.select("source", "source_size", "rank", "weight", F.when(F.col("capped"), F.col("cap")).otherwise(F.lit(free) * F.col("weight")).alias("target"))
 
 
 def sized(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
     """``id, source, size, place``: words of the text and the row's place in its source's permutation.
 
-    Rows with the same key share a place.
+    Places hash the key, the text and, among rows that agree in all three, the
+    row's number, so that every row has a place of its own. Which of such equal
+    rows has which number makes no difference.
     """
-    place = _hash(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), place.alias("place"))
+    base = _hash(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
+    rows = cut(docs.select(F.col(key).cast("long").alias("id"), F.col(source).alias("source"), size.alias("size"), base.alias("base"), F.spark_partition_id().alias("part")))
+    # equal rows are numbered within the part that held them, behind those of the parts before
+    parts = rows.groupBy("source", "base", "part").agg(F.count("*").alias("n"))
+    equal = Window.partitionBy("source", "base")
+    parts = parts.withColumn("first", F.coalesce(F.sum("n").over(equal.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("of", F.sum("n").over(equal))
+    parts = cut(parts.where("of > 1").select(F.col("source").alias("e_source"), F.col("base").alias("e_base"), F.col("part").alias("e_part"), "first"))
+    met = rows.join(parts, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("base") == F.col("e_base")) & (F.col("part") == F.col("e_part")), "left")
+    single = met.where("first IS NULL").withColumn("number", F.lit(0).cast("long"))
+    several = met.where("first IS NOT NULL").withColumn("number", F.col("first") + F.row_number().over(Window.partitionBy("source", "base", "part").orderBy("id")) - 1)
+    return single.unionByName(several).select("id", "source", "size", _hash(F.lit(seed), "base", "number").alias("place"))
 
 
 def _cut_points(rows: DataFrame, goals: DataFrame) -> DataFrame:
@@ -88,14 +116,30 @@ def _cut_points(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return stops.join(filler, F.col("g_source").eqNullSafe(F.col("f_source")), "left").select("g_source", "stop", "filler")
 
 
+def _halved(tree: DataFrame, level: int, seed: str) -> DataFrame:
+    """The draws (rank, turn, node) one level down: the first half of a random order of each node goes left.
+
+    The order is cut into 256 groups by the first byte of its hash.
+    """
+    drawn = tree.withColumn("order", _hash(F.lit(seed), F.lit(level), "rank", "turn")).withColumn("group", F.substring("order", 1, 2))
+    node = Window.partitionBy("node")
+    groups = drawn.groupBy("node", "group").agg(F.count("*").alias("n"))
+    groups = groups.select("node", "group", F.coalesce(F.sum("n").over(node.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(node).alias("all"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("node", "group").orderBy("order", "rank", "turn"))
+    out = cut(drawn.join(groups, ["node", "group"]).select("rank", "turn", (F.col("node") * 2 + (place > F.ceil(F.col("all") / 2)).cast("int")).alias("node")))
+    drop(tree)
+    return out
+
+
 def draw(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, levels: int = 3, seed: str = "mix") -> DataFrame:
     """What the mix takes of each row of ``docs``.
 
     Returns ``key, source, size, source_size, target, taken, shards, place``:
-    ``shards`` has the output shard (of ``2 ** levels``) of each pass that takes
+    ``shards`` has the output shard (of ``2 ** levels``) of each draw that takes
     the row, ``taken`` is ``size`` times their number, ``target`` the source's.
-    Null and empty texts have size 0; a null source is a source of its own. The
-    same input and ``seed`` give the same draws. An empty table gives no rows.
+    Null and empty texts have size 0; a null source is a source of its own; null
+    and repeated keys are rows of their own. The same input and ``seed`` give
+    the same draws. An empty table gives no rows. Other columns are not read.
     """
     rows = cut(sized(docs, key=key, text=text, source=source, seed=seed))
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, most=most)
@@ -108,17 +152,14 @@ def draw(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: st
     # a draw is a source's block in one pass, counted along its permutation
     quota = F.col("passes") * 256 + F.when(F.col("stop") == "", 0).otherwise(F.conv(F.substring("stop", 1, 2), 16, 10).cast("int") + 1)
     quota = quota.cast("int")
-    tree = plan.select("rank", quota.alias("quota")).where("quota > 0").select("rank", F.explode(F.sequence(F.lit(0), F.col("quota") - 1)).alias("turn"), F.lit(0).alias("node"))
+    tree = cut(plan.select("rank", quota.alias("quota")).where("quota > 0").select("rank", F.explode(F.sequence(F.lit(0), F.col("quota") - 1)).alias("turn"), F.lit(0).alias("node")))
     for level in range(levels):
-        order = Window.partitionBy("node").orderBy(_hash(F.lit(seed), F.lit(level), F.col("rank"), F.col("turn")), "rank", "turn")
-        half = F.ceil(F.count("*").over(Window.partitionBy("node")) / 2)
-        tree = tree.withColumn("right", (F.row_number().over(order) > half).cast("int")).select("rank", "turn", (F.col("node") * 2 + F.col("right")).alias("node"))
+        tree = _halved(tree, level, seed)
     # the leaves keep their quotas; each takes the next blocks of every permutation
     quotas = tree.groupBy("rank", "node").agg(F.count("*").cast("int").alias("quota"))
-    until = Window.partitionBy("rank").orderBy("node")
-    leaf = quotas.withColumn("to", F.sum("quota").over(until)).select("rank", F.col("node").alias("shard"), F.explode(F.sequence(F.col("to") - F.col("quota"), F.col("to") - 1)).alias("turn"))
     # at most 256 blocks in each of at most ``most`` passes
-    dealt = leaf.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("turn", "shard"))).getField("shard").alias("deal"))
+    leaves = F.array_sort(F.collect_list(F.struct("node", "quota")))
+    dealt = quotas.groupBy("rank").agg(F.flatten(F.transform(leaves, lambda x: F.array_repeat(x["node"], x["quota"]))).alias("deal"))
     plan = cut(plan.join(dealt, "rank", "left"))
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")), "left")
     # the last block, cut short, also has the document that fills the gap
@@ -126,13 +167,14 @@ def draw(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: st
     drawn = F.col("passes") + (((F.col("stop") != "") & (F.col("place") <= F.col("stop"))) | fills).cast("int")
     block = F.conv(F.substring("place", 1, 2), 16, 10).cast("int")
     turns = [F.when(drawn > i, F.element_at("deal", F.when(fills & (F.col("passes") == i), quota).otherwise(i * 256 + block + 1))) for i in range(most)]
-    return out.select(F.col("id").alias(key), "source", "size", "source_size", "target", (F.col("size") * drawn).alias("taken"), F.array_compact(F.array(*turns)).alias("shards"), "place")
+    out = out.withColumn("shards", F.array_compact(F.array(*turns)))
+    return out.select(F.col("id").alias(key), "source", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards", "place")
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", seed: str = "mix", **options) -> DataFrame:
-    """One row for each time the mix takes a row: ``key, source, size, pass, shard, position``.
+    """One row for each time the mix takes a row: ``key, source, size, pass, shard, place, position``.
 
     ``position`` is a sort key: a random order within the shard and all passes.
     """
     drawn = draw(docs, key=key, seed=seed, **options)
-    return drawn.select(key, "source", "size", "place", F.posexplode("shards").alias("pass", "shard")).select(key, "source", "size", "pass", "shard", _hash(F.lit(seed), F.col("pass"), F.col("place")).alias("position"))
+    return drawn.select(key, "source", "size", "place", F.posexplode("shards").alias("pass", "shard")).select(key, "source", "size", "pass", "shard", "place", _hash(F.lit(seed), F.col("pass"), F.col("place")).alias("position"))

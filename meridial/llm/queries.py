@@ -25,11 +25,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document a mix by source weights takes."""
+    """How many words of each document a mix by source weights takes, and for which output shards."""
     from meridial.llm.mixture import draw
 
     drawn = draw(table(spark, sf_dir, "documents"))
-    return drawn.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return drawn.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    # a row without a key is not learned from, but in no fold either
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -114,27 +115,39 @@ def _shingles_sql(source: str, key: str, k: int) -> str:
             FROM (SELECT {key}, {words} AS w FROM {source}) WHERE len(w) > 0))"""
 
 
-_MIXTURE_SQL = """
-      WITH r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-                        md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+def _level_sql(level: int) -> str:
+    """Draws one level further down the splitting tree."""
+    return f"""b{level + 1} AS (SELECT rank, turn, node * 2 + (row_number() OVER (PARTITION BY node ORDER BY md5('mix|{level}|' || rank || '|' || turn), rank, turn)
+                         > ceil(count(*) OVER (PARTITION BY node) / 2.0))::INT AS node FROM b{level})"""
+
+
+_MIXTURE_SQL = f"""
+      WITH e AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+                        md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS base FROM documents),
+           r AS (SELECT doc_id, source, size, md5('mix|' || base || '|' || (row_number() OVER (PARTITION BY source, base) - 1)) AS place FROM e),
            s AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY 1),
-           w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+           w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
            l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                            / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-           t AS (SELECT source, source_size, CASE WHEN level * weight >= cap THEN cap
+           t AS (SELECT source, source_size, rank, CASE WHEN level * weight >= cap THEN cap
                         ELSE weight * (SELECT arg_min(level, cap / weight) FROM l WHERE level * weight < cap) END AS target FROM l),
-           g AS (SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(target / source_size + 1e-9)) ELSE 0 END AS passes FROM t),
+           g AS (SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(target / source_size + 1e-9)) ELSE 0 END::INT AS passes FROM t),
            h AS (SELECT *, CASE WHEN passes < 2 THEN greatest(target - passes * source_size, 0) ELSE 0 END AS rest FROM g),
-           c AS (SELECT r.*, h.source_size, h.target, h.passes, h.rest, sum(size) OVER (PARTITION BY r.source ORDER BY place) AS "end"
+           c AS (SELECT r.*, h.source_size, h.target, h.rank, h.passes, h.rest, sum(size) OVER (PARTITION BY r.source ORDER BY place) AS "end"
                  FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source),
-           gap AS (SELECT source, max(rest) - coalesce(max("end") FILTER ("end" <= rest), 0) AS gap FROM c WHERE rest > 0 GROUP BY 1),
-           f AS (SELECT c.source, min(place) AS filler FROM
-                 (SELECT c.source, c.place, c.size, gap.gap, row_number() OVER (PARTITION BY c.source ORDER BY abs(size - gap), place) AS n
-                  FROM c JOIN gap ON c.source IS NOT DISTINCT FROM gap.source WHERE "end" > rest AND size > 0 AND abs(size - gap) < gap) c WHERE n = 1 GROUP BY 1)
-      SELECT doc_id, size, source_size, round(target, 6) AS target,
-             (size * (passes + CASE WHEN rest > 0 AND ("end" <= rest OR place = filler) THEN 1 ELSE 0 END))::BIGINT AS taken
-      FROM c LEFT JOIN f ON c.source IS NOT DISTINCT FROM f.source"""
-
+           met AS (SELECT rank, min(place) AS crossed FROM c WHERE rest > 0 AND "end" >= rest GROUP BY 1),
+           cut AS (SELECT c.rank, coalesce(max(place) FILTER ("end" <= rest AND left(place, 4) = left(crossed, 4)), any_value(left(crossed, 4))) AS stop,
+                          max(rest) - coalesce(max("end") FILTER ("end" <= rest), 0) AS gap FROM c JOIN met USING (rank) GROUP BY 1),
+           f AS (SELECT rank, arg_min(place, (abs(size - gap), place)) AS filler FROM c JOIN cut USING (rank) WHERE place > stop AND size > 0 AND abs(size - gap) < gap GROUP BY 1),
+           p AS (SELECT h.rank, h.passes * 256 + coalesce(('0x' || left(stop, 2))::INT + 1, 0) AS quota, stop, filler FROM h LEFT JOIN cut USING (rank) LEFT JOIN f USING (rank)),
+           b0 AS (SELECT rank, unnest(range(quota)) AS turn, 0 AS node FROM p), {", ".join(_level_sql(i) for i in range(3))},
+           deal AS (SELECT rank, node AS shard, row_number() OVER (PARTITION BY rank ORDER BY node) - 1 AS turn FROM b3),
+           x AS (SELECT c.*, ('0x' || left(place, 2))::INT AS block, quota, coalesce(place = filler, false) AS fills, (coalesce(place <= stop, false) OR coalesce(place = filler, false))::INT AS part FROM c JOIN p USING (rank)),
+           y AS (SELECT *, CASE WHEN passes + part > 0 THEN CASE WHEN fills AND passes = 0 THEN quota - 1 ELSE block END END AS t0,
+                        CASE WHEN passes + part > 1 THEN CASE WHEN fills AND passes = 1 THEN quota - 1 ELSE 256 + block END END AS t1 FROM x)
+      SELECT doc_id, size, source_size, round(target, 6) AS target, (size * ((d0.shard IS NOT NULL)::INT + (d1.shard IS NOT NULL)::INT))::BIGINT AS taken,
+             concat_ws(',', d0.shard::VARCHAR, d1.shard::VARCHAR) AS shards
+      FROM y LEFT JOIN deal d0 ON d0.rank = y.rank AND d0.turn = t0 LEFT JOIN deal d1 ON d1.rank = y.rank AND d1.turn = t1"""
 
 
 def _licenses_sql() -> str:
