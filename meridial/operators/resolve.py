@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from meridial.functions.text import clean, loose, pattern_rules
+from meridial.functions.text import PATTERNS, clean, loose
 from meridial.operators.norms import top
 
 
@@ -37,7 +37,7 @@ def classify_names(names: DataFrame, name: str, rules: list[tuple[str, list[str]
     The same labels as ``functions.text.classify`` gives, for plans in which its
     chain of conditions would be repeated: keywords are rows of a literal table.
     """
-    words = [F.struct(F.lit(i).alias("i"), F.lit(label).alias("label"), F.lit(w).alias("w")) for i, (label, keys) in enumerate(rules or pattern_rules()) for w in keys]
+    words = [F.struct(F.lit(i).alias("i"), F.lit(label).alias("label"), F.lit(w).alias("w")) for i, (label, keys) in enumerate(rules or PATTERNS) for w in keys]
     # the empty keyword, last, is in every name
     words.append(F.struct(F.lit(1 << 30).alias("i"), F.lit("unclassified").alias("label"), F.lit("").alias("w")))
     asked = names.select(F.col(name)).distinct().withColumn("_clean", F.coalesce(clean(name), F.lit("")))
@@ -45,16 +45,48 @@ def classify_names(names: DataFrame, name: str, rules: list[tuple[str, list[str]
     return hits.groupBy(name).agg(F.min(F.struct("_k.i", "_k.label")).getField("label").alias(out))
 
 
-def _scored(residue: DataFrame, catalogue: DataFrame, kind: str) -> DataFrame:
-    """Residue x candidates of the same first token; names whose token no candidate has see all of them."""
+def _characters(text: Column | str) -> Column:
+    """Each character with the number of its kind so far, so that an intersection counts the shared ones."""
+    each = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.transform(each, lambda c, i: F.concat(c, (i - F.array_position(each, c)).cast("string")))
+
+
+def _may_reach(a: str, b: str, x: str, y: str, least: float, kind: str) -> Column:
+    """Whether two texts with characters ``x`` and ``y`` can have a score of ``least``: no pair that does is lost.
+
+    A score cannot be more than the shared characters allow, in whatever order they stand.
+    """
+    shared = F.size(F.array_intersect(x, y))
+    if kind == "difflib":
+        return 2 * shared >= least * (F.length(a) + F.length(b)) - 1e-9
+    return shared >= least * F.greatest(F.length(a), F.length(b)) - 1e-9
+
+
+def alike(left: DataFrame, right: DataFrame, a: str, b: str, least: float, kind: str) -> DataFrame:
+    """Pairs of ``left`` and ``right`` whose texts ``a`` and ``b`` score ``least`` or more, with ``score``.
+
+    Texts of too different lengths cannot, so a text meets the lengths that are
+    possible for it by an equi join; what its characters rule out goes before
+    anything is scored.
+    """
+    ratio = least / (2 - least) if kind == "difflib" else least
+    low, high = F.ceil(ratio * F.length(a) - 1e-9), F.floor(F.length(a) / ratio + 1e-9)
+    asked = left.withColumn("_x", _characters(a)).withColumn("_length", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    held = right.withColumn("_y", _characters(b)).withColumn("_length", F.length(b))
+    met = asked.join(held, "_length").where(_may_reach(a, b, "_x", "_y", least, kind))
+    return met.withColumn("score", scorer(kind)(a, b)).where(F.col("score") >= least).drop("_x", "_y", "_length")
+
+
+def _scored(residue: DataFrame, catalogue: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """Residue x candidates of the same first token; names whose token no candidate has see all that may reach the threshold."""
     first = lambda c: F.split(c, " ").getItem(0)
     names = residue.withColumn("_t", first("_loose"))
     items = catalogue.select(F.col("id"), F.col("name").alias("matched_name"), F.col("loose").alias("_c"), first("loose").alias("_t"))
-    tokens = items.select("_t").distinct()
-    blocked = names.join(items, "_t")
-    lost = names.join(tokens, "_t", "left_anti").crossJoin(items.drop("_t"))
-    every = blocked.unionByName(lost.select(*blocked.columns))
-    return every.withColumn("score", scorer(kind)("_loose", "_c"))
+    blocked = names.join(items, "_t").withColumn("_x", _characters("_loose")).withColumn("_y", _characters("_c")).where(_may_reach("_loose", "_c", "_x", "_y", threshold, kind))
+    blocked = blocked.withColumn("score", scorer(kind)("_loose", "_c")).where(F.col("score") >= threshold)
+    lost = alike(names.join(items.select("_t").distinct(), "_t", "left_anti").drop("_t"), items.drop("_t"), "_loose", "_c", threshold, kind)
+    columns = ["name", "id", "matched_name", "score"]
+    return blocked.select(columns).unionByName(lost.select(columns))
 
 
 def resolve_names(names: DataFrame, catalogue: DataFrame, *, name: str = "name", threshold: float = 0.88, kind: str = "difflib", fold: bool = False) -> DataFrame:
@@ -69,7 +101,7 @@ def resolve_names(names: DataFrame, catalogue: DataFrame, *, name: str = "name",
     by_loose = top(items, ["loose"], 1, "id").select(F.col("loose").alias("_loose"), F.col("id").alias("_id2"), F.col("name").alias("_m2"))
     both = asked.join(by_exact, "_exact", "left").join(by_loose, "_loose", "left")
     residue = both.where("_id IS NULL AND _id2 IS NULL AND _loose != ''").select("name", "_loose")
-    best = top(_scored(residue, items, kind).where(F.col("score") >= threshold), ["name"], 1, F.col("score").desc(), "id").select("name", F.col("id").alias("_id3"), F.col("matched_name").alias("_m3"))
+    best = top(_scored(residue, items, threshold, kind), ["name"], 1, F.col("score").desc(), "id").select("name", F.col("id").alias("_id3"), F.col("matched_name").alias("_m3"))
     out = both.join(best, "name", "left")
     method = F.when(F.col("_id").isNotNull(), "exact").when(F.col("_id2").isNotNull(), "loose").when(F.col("_id3").isNotNull(), "fuzzy").otherwise("unmatched")
     return out.select("name", F.coalesce("_id", "_id2", "_id3").alias("id"), method.alias("method"), F.coalesce("_m", "_m2", "_m3").alias("matched_name"))
@@ -90,7 +122,7 @@ def lookup_entities(names: DataFrame, entities: DataFrame, *, min_ratio: float =
     e = entities.where("name IS NOT NULL").select("id", F.col("name").alias("entity_name"), F.lower(F.trim("name")).alias("_n"))
     hit = asked.join(e, F.contains(F.col("_n"), F.col("query"))).withColumn("tier", F.when(F.col("_n") == F.col("query"), 1).otherwise(2))
     hit = top(hit, ["query"], 1, "tier", F.length("entity_name"), "entity_name", "id").select("query", "id", "entity_name", "tier", F.lit(1.0).alias("ratio"))
-    rest = asked.join(hit, "query", "left_anti").crossJoin(e).withColumn("ratio", scorer(kind)("query", "_n")).where(F.col("ratio") >= min_ratio)
+    rest = alike(asked.join(hit, "query", "left_anti"), e, "query", "_n", min_ratio, kind).withColumnRenamed("score", "ratio")
     rest = top(rest, ["query"], 1, F.col("ratio").desc(), "entity_name", "id").select("query", "id", "entity_name", F.lit(3).alias("tier"), "ratio")
     return hit.unionByName(rest)
 

@@ -145,7 +145,7 @@ def loose_normalize_all_texts(t: Tables) -> DataFrame:
 def classify_sql(name: str) -> str:
     q = lambda s: s.replace("'", "''")
     n = _CLEAN.format(name)
-    return f"CASE WHEN coalesce({n}, '') = '' THEN 'unclassified' " + " ".join("WHEN " + " OR ".join(f"contains({n}, '{q(w)}')" for w in words) + f" THEN '{q(label)}'" for label, words in T.pattern_rules()) + " ELSE 'unclassified' END"
+    return f"CASE WHEN coalesce({n}, '') = '' THEN 'unclassified' " + " ".join("WHEN " + " OR ".join(f"contains({n}, '{q(w)}')" for w in words) + f" THEN '{q(label)}'" for label, words in T.PATTERNS) + " ELSE 'unclassified' END"
 
 
 _PART_NAMES = "CASE p_partkey % 7 WHEN 0 THEN p_name || ' squat' WHEN 1 THEN 'SINGLE ARM ' || p_name || ' Row' WHEN 2 THEN 'hex bar  deadlift' WHEN 3 THEN 'hop and pogo' WHEN 4 THEN NULL ELSE p_name END"

@@ -58,7 +58,7 @@ def test_patterns(spark):
     assert values(spark, names, T.classify("v")) == ["hip-hinge / posterior chain"] * 2 + ["horizontal pull / row", "reverse throw", "unclassified", "unclassified", "drop step", "shoulder cuff / care"]
     # a word inside another does not count when strict
     assert values(spark, ["single", "throw"], T.classify("v", strict=True)) == ["unclassified", "unclassified"]
-    assert len(T.pattern_rules()) == 39
+    assert len(T.PATTERNS) == 39
 
 
 def test_doses(spark):
