@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,22 +10,44 @@ from pyspark.sql import functions as F
 from meridial.operators.norms import top
 
 
+def _nearest(packed: DataFrame, width: int, block: Sequence[str], k: int, min_common: int, targets: DataFrame | None = None) -> DataFrame:
+    """The ``k`` nearest of each entity by arrays ``_v`` of ``width`` values (nulls: missing), within blocks.
+
+    A pair is one row that is scored where it is made: the join on the block is
+    the only shuffle of entities, and the filter on the rank leaves ``k`` rows of
+    a target before the next. AQE splits blocks that are too large for a task.
+    """
+    side = packed.select(*block, F.col("_e").alias("neighbour"), F.col("_v").alias("_b"))
+    left = packed.select(*block, F.col("_e").alias("target"), F.col("_v").alias("_a"))
+    if targets is not None:
+        left = left.join(targets.select(F.col(targets.columns[0]).alias("target")).distinct(), "target", "left_semi")
+    if width <= 128:  # written out, so that it is compiled
+        gaps = [F.get("_a", F.lit(i)) - F.get("_b", F.lit(i)) for i in range(width)]
+        total = sum((F.coalesce(g * g, F.lit(0.0)) for g in gaps), F.lit(0.0))
+        common = sum((F.when(g.isNull(), 0).otherwise(1) for g in gaps), F.lit(0))
+    else:
+        gaps = F.zip_with("_a", "_b", lambda x, y: x - y)
+        total = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0)))
+        common = F.size(F.array_compact(gaps))
+    pairs = left.join(side, list(block)).where("target != neighbour").select("target", "neighbour", total.alias("_s"), common.cast("long").alias("n_common"))
+    near = pairs.where(F.col("n_common") >= min_common).select("target", "neighbour", F.round(F.sqrt(F.col("_s") / F.col("n_common")) + 1e-9, 3).alias("distance"), "n_common")
+    return top(near, ["target"], k, "distance", "neighbour", rank="place")
+
+
 def knn_profiles(profiles: DataFrame, entity: str, block: Sequence[str], *, k: int = 10, min_common: int = 5, metric: str = "metric_key", value: str = "z", targets: DataFrame | None = None) -> DataFrame:
     """``target, neighbour, distance, n_common, place`` within blocks (age group, role).
 
     Root mean square over the metrics that both have, at least ``min_common``;
     nulls count as missing. Distances are rounded to 3 places before they are
-    ranked, then by id. Long profiles are joined on block and metric.
+    ranked, then by id. Long profiles are packed into one array an entity, in the
+    order of the catalogue of metrics (some hundred names, read by the driver).
     """
-    side = profiles.where(F.col(value).isNotNull()).select(*block, metric, F.col(entity).alias("neighbour"), F.col(value).alias("_b"))
-    left = side.select(*block, metric, F.col("neighbour").alias("target"), F.col("_b").alias("_a"))
-    if targets is not None:
-        left = left.join(targets.select(F.col(entity).alias("target")).distinct(), "target", "left_semi")
-    pairs = left.join(side, [*block, metric]).where("target != neighbour")
-    gap = F.col("_a") - F.col("_b")
-    near = pairs.groupBy("target", "neighbour").agg(F.sum(gap * gap).alias("_s"), F.count("*").alias("n_common")).where(F.col("n_common") >= min_common)
-    near = near.select("target", "neighbour", F.round(F.sqrt(F.col("_s") / F.col("n_common")) + 1e-9, 3).alias("distance"), "n_common")
-    return top(near, ["target"], k, "distance", "neighbour", rank="place")
+    rows = profiles.where(F.col(value).isNotNull())
+    catalogue = sorted(r[0] for r in rows.select(metric).distinct().where(F.col(metric).isNotNull()).collect())
+    held = rows.groupBy(*block, F.col(entity).alias("_e")).agg(F.map_from_entries(F.collect_list(F.struct(metric, F.col(value).cast("double")))).alias("_m"))
+    names = F.array(*map(F.lit, catalogue)) if catalogue else F.array().cast("array<string>")
+    packed = held.select(*block, "_e", F.transform(names, lambda m: F.try_element_at(F.col("_m"), m)).alias("_v"))
+    return _nearest(packed, len(catalogue), block, k, min_common, None if targets is None else targets.select(entity))
 
 
 def knn_dense(vectors: DataFrame, entity: str, vector: str, block: Sequence[str], *, k: int = 10) -> DataFrame:
@@ -37,33 +59,57 @@ def knn_dense(vectors: DataFrame, entity: str, vector: str, block: Sequence[str]
     return top(near, ["target"], k, "distance", "neighbour", rank="place")
 
 
-def anchor_neighbors(targets: DataFrame, target: str, anchors: DataFrame, family: str, entities: DataFrame, entity: str, name: str, distance: Column, *, k: int = 5) -> DataFrame:
+def anchor_neighbors(targets: DataFrame, target: str, anchors: DataFrame, family: str, entities: DataFrame, entity: str, name: str, distance: Callable[[Column], Column], *, k: int = 5) -> DataFrame:
     """The nearest families of each target by the entities that their anchors name.
 
     An anchor (family, anchor) names the entity with the least id whose name
-    contains it in any case. ``distance`` is over the columns of a target and of
-    ``anchor_*`` entity columns. Anchors are named in templates, so they are few and
-    Spark broadcasts them if their size allows it.
+    contains it in any case. ``distance`` takes the entity, a struct of its
+    columns, and may use the target's. Anchors are named in templates, so they
+    are few: all of them are one array, and each target ranks them in its row,
+    without a join or a shuffle of targets.
     """
     said = anchors.join(entities, F.contains(F.lower(name), F.lower("anchor")))
     found = top(said, [family, "anchor"], 1, entity)
-    named = found.select(family, *(F.col(c).alias(f"anchor_{c}") for c in entities.columns))
-    near = targets.crossJoin(named).where(F.col(target) != F.col(f"anchor_{entity}")).withColumn("distance", F.round(distance + 1e-9, 3))
+    every = found.agg(F.collect_list(F.struct(F.col(family).alias("family"), F.struct(*entities.columns).alias("entity"))).alias("a")).scalar()
+    scored = F.transform("_a", lambda a: F.struct(F.round(distance(a["entity"]) + 1e-9, 3).alias("distance"), a["family"].alias("family"), a["entity"][entity].alias("anchor")))
+    ranked = F.array_sort(F.filter(scored, lambda x: (x["anchor"] != F.col(target)) & x["distance"].isNotNull()))
     # the nearest anchor stands for its family
-    best = near.groupBy(target, family).agg(F.min(F.struct("distance", F.col(f"anchor_{entity}").alias("anchor"))).alias("_m")).select(target, family, "_m.distance", "_m.anchor")
-    return top(best, [target], k, "distance", family, rank="place")
+    kind = found.select(family).schema[0].dataType.simpleString()
+    empty = F.expr("array()").cast(f"array<struct<distance:double,family:{kind},anchor:{found.schema[entity].dataType.simpleString()}>>")
+    best = F.aggregate(ranked, empty, lambda out, x: F.when((F.size(out) >= k) | F.exists(out, lambda o: o["family"] == x["family"]), out).otherwise(F.concat(out, F.array(x.cast(f"struct<distance:double,family:{kind},anchor:{found.schema[entity].dataType.simpleString()}>")))))
+    out = targets.withColumn("_a", every).select(target, F.posexplode(best).alias("_p", "_x"))
+    return out.select(target, F.col("_x.family").alias(family), "_x.distance", "_x.anchor", (F.col("_p") + 1).alias("place"))
+
+
+def counted(prescriptions: DataFrame, entity: str, keys: Sequence[str], *, averages: Sequence[str] = ()) -> DataFrame:
+    """One row an entity and item: times, and sums and counts of ``averages``.
+
+    Pools read this instead of the prescriptions, so that what meets other
+    tables has an item of an entity once.
+    """
+    sums = [x for a in averages for x in (F.sum(a).alias(f"_sum_{a}"), F.count(a).alias(f"_n_{a}"))]
+    return prescriptions.groupBy(entity, *keys).agg(F.count("*").alias("_times"), *sums)
 
 
 def history_pool(neighbours: DataFrame, prescriptions: DataFrame, entity: str, item: Sequence[str], *, min_entities: int = 2, averages: Sequence[str] = ()) -> DataFrame:
-    """Per target, the items of its neighbours: times, distinct entities, averages; at least ``min_entities``."""
-    rows = neighbours.select("target", F.col("neighbour").alias(entity)).join(prescriptions, entity)
-    out = rows.groupBy("target", *item).agg(F.count("*").alias("times_prescribed"), F.countDistinct(entity).alias("n_entities"), *(F.avg(a).alias(f"avg_{a}") for a in averages))
+    """Per target, the items of its neighbours: times, distinct entities, averages; at least ``min_entities``.
+
+    ``prescriptions`` may be ``counted`` by entity and item already. Items are
+    counted before they meet the neighbours, so entities are rows.
+    """
+    per = prescriptions if "_times" in prescriptions.columns else counted(prescriptions, entity, item, averages=averages)
+    rows = neighbours.select("target", F.col("neighbour").alias(entity)).distinct().join(per, entity)
+    means = [(F.sum(f"_sum_{a}") / F.sum(f"_n_{a}")).alias(f"avg_{a}") for a in averages]
+    out = rows.groupBy("target", *item).agg(F.sum("_times").alias("times_prescribed"), F.count("*").alias("n_entities"), *means)
     return out.where(F.col("n_entities") >= min_entities)
 
 
 def staple_pool(prescriptions: DataFrame, entity: str, group: Sequence[str], item: str, *, min_entities: int = 10, top_n: int = 6) -> DataFrame:
-    """Per group, the items that most entities have."""
-    counts = prescriptions.groupBy(*group, item).agg(F.countDistinct(entity).alias("n_entities"), F.count("*").alias("times_prescribed")).where(F.col("n_entities") >= min_entities)
+    """Per group, the items that most entities have. ``prescriptions`` may be ``counted`` already."""
+    per = prescriptions if "_times" in prescriptions.columns else counted(prescriptions, entity, [*group, item])
+    # an entity may have an item in several slots
+    per = per.groupBy(*group, item, entity).agg(F.sum("_times").alias("_times"))
+    counts = per.groupBy(*group, item).agg(F.count("*").alias("n_entities"), F.sum("_times").alias("times_prescribed")).where(F.col("n_entities") >= min_entities)
     return top(counts, group, top_n, F.col("n_entities").desc(), item, rank="place")
 
 

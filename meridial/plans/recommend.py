@@ -56,7 +56,7 @@ def knn_dense(t: Tables) -> DataFrame:
 def anchor_neighbors(t: Tables) -> DataFrame:
     anchors = t.nation.select(F.col("n_nationkey").alias("family"), F.concat(F.lit("00"), F.col("n_nationkey").cast("string")).alias("anchor"))
     c = t.customer.select("c_custkey", "c_name", "c_acctbal")
-    return N.anchor_neighbors(c.select("c_custkey", "c_acctbal"), "c_custkey", anchors, "family", c, "c_custkey", "c_name", F.abs(F.col("c_acctbal") - F.col("anchor_c_acctbal")), k=5)
+    return N.anchor_neighbors(c.select("c_custkey", "c_acctbal"), "c_custkey", anchors, "family", c, "c_custkey", "c_name", lambda a: F.abs(F.col("c_acctbal") - a["c_acctbal"]), k=5)
 
 
 # ---- pools ----------------------------------------------------------------
@@ -140,16 +140,16 @@ SLOTS = {"ECONOMY": 3, "PROMO": 2, "SMALL": 1}
     QUALIFY place <= CASE slot {' '.join(f"WHEN '{k}' THEN {v}" for k, v in SLOTS.items())} END""".replace(f"s AS ({_STAPLES})", "c AS (SELECT c_mktsegment, p_name, count(DISTINCT c_custkey)::BIGINT AS n_entities FROM g JOIN customer USING (c_custkey) GROUP BY ALL HAVING count(DISTINCT c_custkey) >= 10), s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY n_entities DESC, p_name) <= 6)")
 )
 def batch_recommend(t: Tables) -> DataFrame:
-    pool = N.history_pool(_knn(t), _given(t).select("c_custkey", F.col("p_type").alias("slot"), F.col("p_name").alias("item")), "c_custkey", ["slot", "item"])
-    mine = staples_of(t).join(t.customer.select(F.col("c_custkey").alias("target"), "c_mktsegment"), "c_mktsegment").select("target", F.col("p_name").alias("item"), F.lit(True).alias("is_staple"))
-    pool = pool.join(mine, ["target", "item"], "left").fillna(False, ["is_staple"])
+    slots = _given(t).select("c_custkey", F.col("p_type").alias("slot"), F.col("p_name").alias("item"))
+    # both pools read the same counts
+    per = N.counted(slots, "c_custkey", ["slot", "item"])
+    pool = N.history_pool(_knn(t), per, "c_custkey", ["slot", "item"])
+    segment = t.customer.select("c_custkey", "c_mktsegment")
+    mine = N.staple_pool(per.join(segment, "c_custkey"), "c_custkey", ["c_mktsegment"], "item").select("c_mktsegment", "item", F.lit(True).alias("is_staple"))
+    pool = pool.join(segment.withColumnRenamed("c_custkey", "target"), "target").join(mine, ["c_mktsegment", "item"], "left").fillna(False, ["is_staple"])
     return N.recommend(pool, "target", SLOTS).select("target", "slot", "item", "is_staple", "n_entities", "place")
 
 
-def staples_of(t: Tables) -> DataFrame:
-    return N.staple_pool(_given(t).join(t.customer.select("c_custkey", "c_mktsegment"), "c_custkey"), "c_custkey", ["c_mktsegment"], "p_name").select("c_mktsegment", "p_name")
-
-
 # ---- names ----------------------------------------------------------------
 
 
