@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meridial.functions.rows import number
 
-#: Offsets (ms after foot strike) at which dwell is measured.
+# Offsets (ms after foot strike) at which dwell is measured.
 DWELL_MS = tuple(range(10, 121, 10))
 
 

@@ -51,8 +51,8 @@ def standardise(metrics: DataFrame, entity: str) -> DataFrame:
     imputation the deviation counts all entities.
     """
     n = metrics.agg(F.countDistinct(entity).alias("_n"))
-    each = metrics.groupBy("metric_key").agg(F.avg("value").alias("_mean"), F.sum(F.col("value") * F.col("value")).alias("_ss"), F.count("value").alias("_c"))
-    deviation = F.sqrt((F.col("_ss") - F.col("_c") * F.col("_mean") * F.col("_mean")) / F.col("_n"))
+    each = metrics.groupBy("metric_key").agg(F.avg("value").alias("_mean"), F.var_pop("value").alias("_var"), F.count("value").alias("_c"))
+    deviation = F.sqrt(F.col("_var") * F.col("_c") / F.col("_n"))
     stats = each.join(F.broadcast(n)).select("metric_key", "_mean", deviation.alias("_sd"))
     return metrics.join(stats, "metric_key").select(entity, "metric_key", ((F.col("value") - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))).alias("z"))
 

@@ -15,8 +15,10 @@ from meridial.streaming import twins as W
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share; a local one only where no shared one is named."""
+    """A new folder that all executors share; a local one only where none is named and Spark runs in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='meridial-')}/{uuid.uuid4().hex}"
 
 
