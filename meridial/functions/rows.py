@@ -97,3 +97,36 @@ def cost(model: Column | str, tokens_in: Column | str, tokens_out: Column | str,
 def transient(error: Column | str) -> Column:
     """Errors after which a call may be tried again."""
     return F.coalesce(col(error).rlike("503|UNAVAILABLE|RESOURCE_EXHAUSTED|429"), F.lit(False))
+
+
+def key_axis(key: Column | str, axis: Column | str) -> Column:
+    """``key.axis``, the name of one axis of a measurement."""
+    return F.concat(col(key), F.lit("."), col(axis))
+
+
+def not_archived(flag: Column | str) -> Column:
+    """Whether a row is not archived; an unknown flag says it is not."""
+    return ~F.coalesce(col(flag), F.lit(False))
+
+
+def intensity_level(intensity: Column | str) -> Column:
+    """``P0``, ``P1`` and so on; null if there is none."""
+    return F.concat(F.lit("P"), col(intensity).cast("int").cast("string"))
+
+
+# Prefixes of the metrics of each domain of assessment.
+DOMAINS = {
+    "movement": ["pitch_", "hit_"],
+    "mobility": ["mob_"],
+    "performance": ["proteus_", "screen_"],
+    "functional": ["mob_", "proteus_", "screen_"],
+}
+
+
+def in_domain(metric: Column | str, domain: str | None) -> Column:
+    """Whether a metric belongs to a domain; every metric does to one that is not listed."""
+    hits = [F.startswith(col(metric), F.lit(p)) for p in DOMAINS.get(domain or "", [""])]
+    out = hits[0]
+    for h in hits[1:]:
+        out = out | h
+    return out
