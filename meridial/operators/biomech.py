@@ -70,3 +70,71 @@ def plant_and_drive(df: DataFrame, keys: Sequence[str], side: str, value: str, r
     planted = F.when(right_handed, F.lit("l")).otherwise(F.lit("r"))
     mine = F.lower(F.substring(side, 1, 1))
     return df.groupBy(*keys).agg(F.avg(F.when(mine == planted, F.col(value))).alias("plant_mean"), F.avg(F.when(mine != planted, F.col(value))).alias("drive_mean"))
+
+
+# Bands of the metrics in order, the first that holds a value applies: low (included), high (not included), status.
+BANDS: dict[str, list[tuple[float | None, float | None, str]]] = {
+    "stride_pct": [(85, None, "Elite"), (80, 85, "Strength"), (75, 80, "Watch"), (None, 75, "Flag")],
+    "separation_fs": [(50, 60, "Elite"), (40, 60, "Strength"), (30, 40, "Watch"), (None, 30, "Flag"), (65, None, "Watch")],
+    "trunk_product": [(380, None, "Elite"), (300, 380, "Strength"), (200, 300, "Watch"), (None, 200, "Flag")],
+    "knee_extension": [(15, 25, "Elite"), (10, 15, "Watch"), (None, 10, "Flag"), (25, None, "Strength")],
+    "lead_grf": [(2.0, None, "Elite"), (1.7, 2.0, "Strength"), (1.3, 1.7, "Watch"), (None, 1.3, "Flag")],
+    "forward_flex": [(30, 40, "Elite"), (40, 50, "Strength"), (25, 30, "Watch"), (None, 25, "Flag"), (50, None, "Watch")],
+    "lateral_tilt": [(30, 45, "Elite"), (25, 30, "Strength"), (15, 25, "Watch"), (None, 15, "Flag")],
+    "dwell_ms": [(60, None, "Elite"), (40, 60, "Strength"), (20, 40, "Watch"), (None, 20, "Flag")],
+    "back_grf": [(1.7, None, "Elite"), (1.5, 1.7, "Strength"), (1.3, 1.5, "Watch"), (None, 1.3, "Flag")],
+    "lead_braking": [(None, -1.0, "Elite"), (-1.0, -0.8, "Strength"), (-0.8, -0.6, "Watch"), (-0.6, None, "Flag")],
+    "elbow_torque": [(80, 110, "Safe"), (110, 120, "Watch"), (120, 130, "Top of normal"), (130, None, "Caution")],
+    "stress_per_mph": [(None, 1.2, "Healthy"), (1.2, 1.35, "Watch"), (1.35, None, "Elevated")],
+    "shoulder_distraction": [(0.8, 1.1, "Game effort"), (0.5, 0.8, "Possibly sub-max"), (None, 0.5, "Likely sub-max")],
+    "pelvis_stop_ms": [(None, 140, "Elite"), (140, 180, "Typical"), (180, None, "Late")],
+    "rotation_fs": [(None, 25, "Late"), (25, 40, "Typical"), (40, 60, "Arm-early"), (60, None, "Severely arm-early")],
+    "max_rotation": [(170, 190, "Elite"), (190, 200, "Slightly above"), (None, 170, "Below")],
+}
+#: The metrics of the eight cylinders, by which a profile is called strong.
+CYLINDERS = ("stride_pct", "separation_fs", "trunk_product", "knee_extension", "forward_flex", "dwell_ms", "back_grf", "stress_per_mph")
+
+# What a report must show to fit an archetype: metric, comparison, bound. Where the profile is in
+# words only ("low", "early"), the bound is that of the status band or of the opposite profile.
+ARCHETYPES: dict[str, list[tuple[str, str, float]]] = {
+    "model arm": [("n_strong", ">=", 8), ("stress_per_mph", "<=", 1.25), ("trunk_product", ">=", 350)],
+    "sequenced thrower": [("pelvis_fs", "<", 200), ("separation_fs", "<", 50), ("amplification", "<=", 1.2)],
+    "rubber band": [("pelvis_fs", ">=", 200), ("separation_fs", ">=", 50), ("amplification", ">=", 1.4)],
+    "arm thrower": [("knee_extension", "<", 10), ("stress_per_mph", ">=", 1.35), ("hand_amplification", ">=", 1.0)],
+    "trunk-dumper": [("trunk_product", ">=", 380), ("forward_flex", ">", 50), ("amplification", "<", 1.4)],
+    "short-strider": [("stride_pct", "<", 75), ("separation_fs", ">", 65)],
+    "quiet-trunk": [("trunk_product", "<", 200), ("forward_flex", "<", 25)],
+    "sub-max capture": [("shoulder_distraction", "<", 0.5), ("velocity_sd", "<", 0.3)],
+    "developmental": [("n_flags", ">=", 3), ("pelvis_peak", ">=", 900)],
+}
+
+
+def status_of(metric: Column | str, value: Column | str, bands: Mapping[str, Sequence[tuple]] = BANDS) -> Column:
+    """The status of a value in the bands of its metric, ``Neutral`` outside all of them; null without a value.
+
+    The bands are a literal that is looked up in the row, so nothing is joined.
+    """
+    number = lambda x: F.lit(None if x is None else float(x)).cast("double")
+    rows = [x for name, of in bands.items() for x in (F.lit(name), F.array(*(F.struct(number(a).alias("low"), number(z).alias("high"), F.lit(s).alias("status")) for a, z, s in of)))]
+    value = F.col(value) if isinstance(value, str) else value
+    held = F.filter(F.try_element_at(F.create_map(*rows), F.col(metric) if isinstance(metric, str) else metric), lambda b: (F.coalesce(value >= b["low"], F.lit(True))) & (F.coalesce(value < b["high"], F.lit(True))))
+    return F.when(value.isNotNull(), F.coalesce(F.get(held, F.lit(0))["status"], F.lit("Neutral")))
+
+
+def cylinder_counts(values: Mapping[str, Column]) -> dict[str, Column]:
+    """``n_strong`` and ``n_flags``: how many of the eight cylinders are at least Strength (or Healthy), and how many are flagged (or Elevated)."""
+    statuses = [F.coalesce(status_of(F.lit(m), values[m]), F.lit("")) for m in CYLINDERS]
+    count = lambda names: sum((s.isin(*names).cast("int") for s in statuses), F.lit(0))
+    return {"n_strong": count(("Elite", "Strength", "Healthy")), "n_flags": count(("Flag", "Elevated"))}
+
+
+def archetypes_of(values: Mapping[str, Column], rules: Mapping[str, Sequence[tuple[str, str, float]]] = ARCHETYPES) -> Column:
+    """The archetypes that a report's metrics fit, in their order; a missing metric fits none."""
+    compare = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+    holds = {}
+    for name, conditions in rules.items():
+        rule = F.lit(True)
+        for metric, op, bound in conditions:
+            rule = rule & compare[op](values[metric], F.lit(float(bound)))
+        holds[name] = rule
+    return labels(holds)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridial.functions import rows as X
@@ -133,6 +133,59 @@ def archetype_rules(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.array_join(B.labels(rules), ",").alias("archetypes"))
 
 
+#: Ranges in which customers' balances are spread as values of the metrics.
+_RANGES = {
+    "stride_pct": (65, 90), "separation_fs": (20, 75), "trunk_product": (0, 480), "knee_extension": (0, 40), "lead_grf": (1, 2.4), "forward_flex": (10, 60), "lateral_tilt": (5, 50), "dwell_ms": (0, 80), "back_grf": (1, 2),
+    "lead_braking": (-1.3, -0.3), "elbow_torque": (70, 140), "stress_per_mph": (1.0, 1.5), "shoulder_distraction": (0.3, 1.2), "pelvis_stop_ms": (100, 220), "rotation_fs": (10, 80), "max_rotation": (150, 205),
+    "pelvis_fs": (0, 500), "amplification": (1.0, 1.9), "hand_amplification": (0.8, 1.2), "velocity_sd": (0, 1), "pelvis_peak": (600, 1000),
+}
+
+
+def _spread(metric: str) -> tuple[str, tuple[float, float]]:
+    """SQL of both engines for a customer's share of the range, and the range."""
+    i = list(_RANGES).index(metric) + 2
+    return f"((c_custkey * {i * 37}) % 101 + c_acctbal / 10000 / {i}) / 102", _RANGES[metric]
+
+
+def _metric_sql(metric: str) -> str:
+    share, (low, high) = _spread(metric)
+    return f"({float(low)!r}::DOUBLE + {share} * {float(high - low)!r}::DOUBLE)"
+
+
+def _metric(metric: str) -> Column:
+    share, (low, high) = _spread(metric)
+    return F.lit(float(low)) + F.expr(share) * F.lit(float(high - low))
+
+
+def _status_sql(metric: str) -> str:
+    v = _metric_sql(metric)
+    bounds = lambda a, z: " AND ".join([f"{v} >= {a}"] * (a is not None) + [f"{v} < {z}"] * (z is not None))
+    return "CASE " + " ".join(f"WHEN {bounds(a, z)} THEN '{s}'" for a, z, s in B.BANDS[metric]) + " ELSE 'Neutral' END"
+
+
+@query(f"SELECT metric, status, count(*)::BIGINT AS n FROM ({' UNION ALL '.join(f"SELECT '{m}' AS metric, {_status_sql(m)} AS status FROM customer" for m in B.BANDS)}) GROUP BY ALL")
+def cylinder_bands(t: Tables) -> DataFrame:
+    each = t.customer.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), _metric(m).alias("value")) for m in B.BANDS))).alias("x")).select("x.*")
+    return each.select("metric", B.status_of("metric", "value").alias("status")).groupBy("metric", "status").agg(F.count("*").alias("n"))
+
+
+def _count_sql(names: str) -> str:
+    return "(" + " + ".join(f"(({_status_sql(m)}) IN ({names}))::INT" for m in B.CYLINDERS) + ")"
+
+
+def _archetypes_sql() -> str:
+    value = lambda m: {"n_strong": _count_sql("'Elite', 'Strength', 'Healthy'"), "n_flags": _count_sql("'Flag', 'Elevated'")}.get(m) or _metric_sql(m)
+    cases = [f"CASE WHEN {' AND '.join(f'{value(m)} {op} {x}' for m, op, x in rules)} THEN '{name}' END" for name, rules in B.ARCHETYPES.items()]
+    return f"SELECT c_custkey, array_to_string(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL), ',') AS archetypes FROM customer"
+
+
+@query(_archetypes_sql())
+def archetype_profiles(t: Tables) -> DataFrame:
+    values = {m: F.col(m) for m in _RANGES}
+    wide = t.customer.select("c_custkey", *(_metric(m).alias(m) for m in _RANGES))
+    return wide.select("c_custkey", F.array_join(B.archetypes_of(values | B.cylinder_counts(values)), ",").alias("archetypes"))
+
+
 @query(
     f"SELECT l_suppkey, {R4('avg(l_quantity) FILTER ((lower(l_linestatus) = ' + chr(39) + 'f' + chr(39) + ') = (l_suppkey % 2 = 0))')} AS plant_mean, {R4('avg(l_quantity) FILTER ((lower(l_linestatus) = ' + chr(39) + 'f' + chr(39) + ') <> (l_suppkey % 2 = 0))')} AS drive_mean FROM lineitem GROUP BY ALL"
 )
