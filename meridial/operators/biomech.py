@@ -138,3 +138,88 @@ def archetypes_of(values: Mapping[str, Column], rules: Mapping[str, Sequence[tup
             rule = rule & compare[op](values[metric], F.lit(float(bound)))
         holds[name] = rule
     return labels(holds)
+
+
+# Names of features and of the report metrics whose means they are.
+MEASURES: dict[str, str] = {
+    "stride_pct_height": "STRIDE_LENGTH_MEAN_PERCENT",
+    "stride_length_m": "STRIDE_LENGTH",
+    "hss_fs": "Trunk Rot wrt Pelvis Rot@Footstrike",
+    "hss_mer": "Trunk Rot wrt Pelvis Rot@Max_Shoulder_Rot",
+    "hss_release": "Trunk Rot wrt Pelvis Rot@Release",
+    "sagittal_trunk_vel_mph": "MaxTrunkLinearVel_MPH_Y",
+    "trunk_forward_flex_rel": "Trunk_Angle@Release_X",
+    "lateral_tilt": "Trunk_Angle@Release_Y",
+    "rotation_z": "Trunk_Angle@Release_Z",
+    "lead_knee_fs": "Lead_Knee_Angle@Footstrike_X",
+    "lead_knee_release": "Lead_Knee_Angle@Release_X",
+    "lead_knee_mer": "Lead_Knee_Angle@Max_Shoulder_Rot_X",
+    "lead_leg_vert_grf_release": "Lead GRF_BW@Release_Z",
+    "lead_leg_vert_grf_fs": "Lead GRF_BW@Footstrike_Z",
+    "lead_leg_braking_fs": "Lead GRF_BW@Footstrike_Y",
+    "lead_leg_braking_release": "Lead GRF_BW@Release_Y",
+    "back_leg_grf_max": "Back_Leg_GRF_mag_max",
+    "hz_abd_fs": "Pitching_Shoulder_Angle@Footstrike_X",
+    "hz_abd_mer": "Pitching_Shoulder_Angle@Max_Shoulder_Rot_X",
+    "hz_abd_release": "Pitching_Shoulder_Angle@Release_X",
+    "er_fs": "Pitching_Shoulder_Angle@Footstrike_Z",
+    "max_er_mer": "Pitching_Shoulder_Angle@Max_Shoulder_Rot_Z",
+    "elbow_torque_mer_nm": "Elbow_Torque_Nm@Max_Shoulder_Rot",
+    "elbow_torque_release_nm": "Elbow_Torque_Nm@Release",
+    "max_elbow_force_bw": "Max_Elbow_Force",
+    "shoulder_distraction_n": "Shoulder_Force_Abd_N@Max_Shoulder_Abd_Force_N",
+    "shoulder_distraction_bw": "Shoulder_Force_Abd@Max_Shoulder_Abd_Force",
+    "pelvis_ang_vel_peak": "Pelvis_Ang_Vel_max",
+    "thorax_ang_vel_peak": "Thorax_Ang_Vel_max",
+    "humerus_ang_vel_peak": "Pitching_Humerus_Ang_Vel_max",
+    "shoulder_ang_vel_peak": "Pitching_Shoulder_Ang_Vel_max",
+    "elbow_ang_vel_peak": "Pitching_Elbow_Ang_Vel_max",
+    "hand_ang_vel_peak": "Pitching_Hand_Ang_Vel_max",
+    "pelvis_lin_x_mph": "MaxPelvisLinearVel_MPH_X",
+    "pelvis_lin_y_mph": "MaxPelvisLinearVel_MPH_Y",
+    "pelvis_lin_z_mph": "MaxPelvisLinearVel_MPH_Z",
+    "trunk_lin_x_mph": "MaxTrunkLinearVel_MPH_X",
+    "trunk_lin_z_mph": "MaxTrunkLinearVel_MPH_Z",
+    "pelvis_peak_time": "MaxPelvisVelTime",
+    "thorax_peak_time": "MaxThoraxVelTime",
+    "humerus_peak_time": "MaxHumerusVelTime",
+    "hand_peak_time": "MaxHandVelTime",
+    "fs_time": "FootstrikeTime",
+    "release_time": "ReleaseTime",
+    "pelv_ang_vel_mkh": "Pelvis_Ang_Vel@MaxKneeHeight_X",
+    "pelv_ang_vel_fs": "Pelvis_Ang_Vel@Footstrike_X",
+    "pelv_ang_vel_mer": "Pelvis_Ang_Vel@Max_Shoulder_Rot_X",
+    "pelv_stop_time": "PelvisRot_StopTime",
+    "back_knee_mkh": "Back_Knee_Angle@MaxKneeHeight_X",
+    "back_knee_fs": "Back_Knee_Angle@Footstrike_X",
+    "back_knee_mer": "Back_Knee_Angle@Max_Shoulder_Rot_X",
+    "back_knee_release": "Back_Knee_Angle@Release_X",
+    "velocity_mph": "velocity",
+}
+# Features derived of two others; ``ms`` is a difference of seconds in thousandths.
+DERIVED: dict[str, tuple[str, str, str]] = {
+    "product": ("sagittal_trunk_vel_mph", "*", "trunk_forward_flex_rel"),
+    "lead_knee_extension": ("lead_knee_fs", "-", "lead_knee_release"),
+    "delta_back_knee_fs_to_mer": ("back_knee_mer", "-", "back_knee_fs"),
+    "stress_per_mph": ("elbow_torque_mer_nm", "/", "velocity_mph"),
+    "amp_pelvis_to_thorax": ("thorax_ang_vel_peak", "/", "pelvis_ang_vel_peak"),
+    "amp_thorax_to_humerus": ("humerus_ang_vel_peak", "/", "thorax_ang_vel_peak"),
+    "amp_humerus_to_hand": ("hand_ang_vel_peak", "/", "humerus_ang_vel_peak"),
+    "pelvis_peak_rel_fs_ms": ("pelvis_peak_time", "ms", "fs_time"),
+    "thorax_peak_rel_fs_ms": ("thorax_peak_time", "ms", "fs_time"),
+    "humerus_peak_rel_fs_ms": ("humerus_peak_time", "ms", "fs_time"),
+    "hand_peak_rel_fs_ms": ("hand_peak_time", "ms", "fs_time"),
+    "pelv_stop_after_fs_ms": ("pelv_stop_time", "ms", "fs_time"),
+}
+
+
+def report_profile(means: DataFrame, report: str) -> DataFrame:
+    """One row a report with all ``MEASURES`` and ``DERIVED`` features; what is missing, or would divide by 0, is null.
+
+    Names of metrics hold dots and spaces, so the pivot is on the features' names.
+    """
+    feature = F.create_map(*(F.lit(x) for name, metric in MEASURES.items() for x in (metric, name)))
+    named = means.withColumn("_f", F.try_element_at(feature, "metric")).where("_f IS NOT NULL")
+    wide = named.groupBy(report).pivot("_f", list(MEASURES)).agg(F.first("value"))
+    joined = {"*": lambda a, b: a * b, "-": lambda a, b: a - b, "/": ratio, "ms": lambda a, b: (a - b) * 1000}
+    return wide.select("*", *(joined[op](F.col(a), F.col(b)).alias(name) for name, (a, op, b) in DERIVED.items()))

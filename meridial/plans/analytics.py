@@ -133,6 +133,23 @@ def archetype_rules(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.array_join(B.labels(rules), ",").alias("archetypes"))
 
 
+def _profile_sql() -> str:
+    n = len(B.MEASURES)
+    op = {"*": "{0} * {1}", "-": "{0} - {1}", "/": "{0} / nullif({1}, 0)", "ms": "({0} - {1}) * 1000"}
+    means = ", ".join(f"avg(value) FILTER (event_id % {n} = {i}) AS {name}" for i, name in enumerate(B.MEASURES))
+    named = [*(f"{R4(name)} AS {name}" for name in B.MEASURES), *(f"{R4(op[o].format(a, b))} AS {name}" for name, (a, o, b) in B.DERIVED.items())]
+    return f"WITH m AS (SELECT user_id, {means} FROM events WHERE value IS NOT NULL GROUP BY ALL) SELECT user_id, {', '.join(named)} FROM m"
+
+
+@query(_profile_sql())
+def report_profile(t: Tables) -> DataFrame:
+    metrics = F.array(*map(F.lit, B.MEASURES.values()))
+    named = t.events.where("value IS NOT NULL").select("user_id", F.get(metrics, F.col("event_id") % len(B.MEASURES)).alias("metric"), "value")
+    means = named.groupBy("user_id", "metric").agg(F.avg("value").alias("value"))
+    wide = B.report_profile(means, "user_id")
+    return wide.select("user_id", *(r4(c).alias(c) for c in wide.columns if c != "user_id"))
+
+
 #: Ranges in which customers' balances are spread as values of the metrics.
 _RANGES = {
     "stride_pct": (65, 90), "separation_fs": (20, 75), "trunk_product": (0, 480), "knee_extension": (0, 40), "lead_grf": (1, 2.4), "forward_flex": (10, 60), "lateral_tilt": (5, 50), "dwell_ms": (0, 80), "back_grf": (1, 2),
