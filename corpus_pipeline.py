@@ -20,39 +20,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridial.llm._work import cut, table
-from meridial.llm.decontaminate import find_contamination
+from meridial.llm.decontaminate import drop_contaminated
 from meridial.llm.mixture import draw
 from meridial.llm.quality import fit_quality, keep_quality
 from meridial.llm.secrets import redact_secrets
-from meridial.llm.set_join import jaccard_components
+from meridial.llm.set_join import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of quality; the network learns from the labels of this stage's input."""
+    """Documents of quality; the network learns from the labels of this stage's input.
+
+    A null or empty text is scored as one empty chunk; repeated rows score alike.
+    """
     return keep_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), least=0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component; texts without words and null ids are kept."""
-    found = jaccard_components(docs, shingle=5, num=80, den=100)
-    gone = cut(found.where("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component, whatever its doc_id; texts without words are kept."""
+    return keep_one(docs, shingle=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = cut(found.select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Documents without benchmark items, judged by their texts: null and repeated ids make no difference."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced."""
+    """All documents, their secrets replaced; null texts stay null, repeated rows stay."""
     return redact_secrets(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document, and the output shards that get them."""
+    """Words that the mix takes of each document, and the output shards that get them.
+
+    Null texts have size 0, a null source is one of its own, and rows with null
+    or repeated ids are rows of their own.
+    """
     drawn = draw(docs)
     return drawn.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 

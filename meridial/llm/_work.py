@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where none is set (tests)."""
+    """The folder that the cluster shares; a local one only where none is set and Spark runs in this process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="meridial-"))
     return _own[0]
@@ -33,13 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that ``cut`` wrote and that nothing reads any more."""
-    path = getattr(df, "_meridial_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_meridial_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
