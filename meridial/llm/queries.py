@@ -151,41 +151,28 @@ _MIXTURE_SQL = f"""
 
 
 def _licenses_sql() -> str:
-    """Places of phrases by comparing slices at every word; templates by the same weights."""
+    """Phrases and templates compared at every word of the texts, without an index."""
     from meridial.llm.licenses import PHRASES, TEMPLATES, WORD, Template
 
     every = [*(Template(label, p, p) for p, label in PHRASES.items()), *TEMPLATES]
-    vocabulary = sorted({w for t in every for w in t.words})
-    weight = lambda w: f"(SELECT ln((n + 1)::DOUBLE / (n_{w} + 1)) FROM df)"
-    counts = ", ".join(f"count(*) FILTER (list_contains(w, '{w}')) AS n_{w}" for w in vocabulary)
     listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    places = []
-    for i, t in enumerate(every):
-        phrase = t.mandatory.split()
-        # starts of the template, from 0; they may lie before the text
-        places.append(f"CASE WHEN may THEN list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(phrase) - 1}] = {listed(phrase)}), lambda i: i - 1 - {t.offset}) ELSE []::BIGINT[] END AS at{i}")
-    own = range(len(PHRASES))
-    labels, shares = [], []
-    for i, t in enumerate(every):
-        if i in own:
-            labels.append(f"CASE WHEN len(at{i}) > 0 THEN '{t.label}' END")
-            shares.append(f"CASE WHEN len(at{i}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
-            continue
-        agree = " + ".join(f"CASE WHEN s + {j} >= 0 AND w[s + {j} + 1] = '{x}' THEN w_{x} ELSE 0 END" for j, x in enumerate(t.words))
-        best = f"coalesce(list_max(list_transform(at{i}, lambda s: ({agree}) / nullif({' + '.join(f'w_{x}' for x in t.words)}, 0))), 0)"
-        shares.append(best)
-        labels.append(f"CASE WHEN {best} >= 0.6 - 1e-9 THEN '{t.label}' END")
-    joined = lambda x: f"coalesce(array_to_string(list_sort(list_distinct(list_filter([{', '.join(x)}], lambda v: v IS NOT NULL))), ','), '')"
-    rare = " OR ".join(f"contains(low, '{t.mandatory.split()[0]}')" for t in every)
-    starts = "list_concat(" * (len(PHRASES) - 1) + "at0" + "".join(f", at{i})" for i in own if i)
+    rows = ", ".join(f"({i}, '{t.label}', {listed(t.words)}, {listed(t.mandatory.split())}, {t.offset})" for i, t in enumerate(every))
     return f"""
-      WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS low FROM documents),
-           d AS (SELECT doc_id, regexp_extract_all(low, '{WORD.replace(chr(92), chr(92))}') AS w, {rare} AS may FROM low),
-           df AS (SELECT count(*) AS n, {counts} FROM d), wt AS (SELECT {', '.join(f'{weight(w)} AS w_{w}' for w in vocabulary)}),
-           p AS (SELECT doc_id, w, {', '.join(places)} FROM d)
-      SELECT doc_id, len(w)::BIGINT AS n_words, len({starts})::BIGINT AS n_base, list_min({starts})::BIGINT AS first_word, list_max({starts})::BIGINT AS last_word,
-             {joined([labels[i] for i in own])} AS base_labels, {joined(labels)} AS labels, least(1.0, round(greatest({', '.join(shares)}), 9))::DOUBLE AS score
-      FROM p, wt"""
+      WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD.replace(chr(92), chr(92))}') AS w FROM documents),
+           t(t, label, tw, must, off) AS (VALUES {rows}),
+           v AS (SELECT DISTINCT unnest(tw) AS word FROM t),
+           n AS (SELECT word, count(DISTINCT r) AS n FROM (SELECT r, unnest(w) AS word FROM d) JOIN v USING (word) GROUP BY 1),
+           tw AS (SELECT t, unnest(tw) AS word, unnest(range(len(tw))) AS j FROM t),
+           wt AS (SELECT t, list(ln(((SELECT count(*) FROM d) + 1)::DOUBLE / (coalesce(n, 0) + 1)) ORDER BY j) AS wt FROM tw LEFT JOIN n USING (word) GROUP BY t),
+           h AS (SELECT t.*, wt.wt, list_sum(wt.wt) AS total FROM t JOIN wt USING (t)),
+           x AS (SELECT r, w, unnest(range(len(w))) AS i FROM d WHERE len(list_intersect(w, (SELECT list(DISTINCT must[1]) FROM t))) > 0),
+           p AS (SELECT r, t, label, i - off AS s, CASE WHEN t < {len(PHRASES)} THEN 1.0 ELSE list_sum(list_transform(range(len(tw)), lambda j: CASE WHEN i - off + j >= 0 AND w[i - off + j + 1] = tw[j + 1] THEN wt[j + 1] ELSE 0.0 END)) / nullif(total, 0) END AS share
+                 FROM x JOIN h ON x.w[x.i + 1] = h.must[1] WHERE x.w[x.i + 1:x.i + len(h.must)] = h.must),
+           g AS (SELECT r, count(*) FILTER (t < {len(PHRASES)}) AS n_base, min(s) FILTER (t < {len(PHRASES)}) AS a, max(s) FILTER (t < {len(PHRASES)}) AS z,
+                        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (t < {len(PHRASES)}) AS base, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share >= 0.6 - 1e-9) AS labels, max(share) AS score FROM p GROUP BY 1)
+      SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
+             coalesce(base, '') AS base_labels, coalesce(labels, '') AS labels, least(1.0, round(coalesce(score, 0), 9))::DOUBLE AS score
+      FROM d LEFT JOIN g USING (r)"""
 
 
 ORACLES: dict[str, str] = {

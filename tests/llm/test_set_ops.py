@@ -10,10 +10,10 @@ from compare import duck_rows, spark_rows
 from conftest import SF
 
 from meridial.llm import queries
-from meridial.llm.decontaminate import find_contamination
+from meridial.llm.decontaminate import drop_contaminated, find_contamination
 from meridial.llm.fingerprint import OnePermutation, edited_fingerprints, fingerprints
 from meridial.llm.mixture import draw, mix, targets
-from meridial.llm.set_join import PartEnum, jaccard_components
+from meridial.llm.set_join import PartEnum, apart, cells_of, jaccard_components, keep_one, wide_sketch
 
 WORD = r"[^\x20\x09-\x0D]+"
 ODD = [None, "", "   \t\n", "one", "one two three four", "One TWO three four", "é ñ\x0bß 漢字 x", "a " * 3000, "same text here now and then again", "same text here now and then again"]
@@ -80,10 +80,10 @@ def test_components_of_an_empty_table_and_of_null_ids(spark):
     assert got == sorted([(None, 3), (7, 3), (7, 3), (3, 3), (None, None), (None, None)], key=str)
 
 
-@pytest.mark.parametrize("n2, k2", [(2, 1), (3, 1), (4, 2)])
+@pytest.mark.parametrize("n2, k2", [(2, 1), (3, 1), (4, 2), (0, 0)])
 def test_partenum_never_misses_a_pair(n2, k2):
     rng = np.random.default_rng(n2)
-    scheme = PartEnum(85, 100, n2, k2)
+    scheme = PartEnum(85, 100, lambda high: (n2, k2) if n2 else cells_of(high))
     for _ in range(300):
         n = int(rng.integers(1, rng.choice([20, 90, 900])))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
@@ -141,6 +141,79 @@ def test_bias_correction_is_unbiased():
         assert abs(np.mean(est) - share) < 0.02
 
 
+def test_wide_sketches_never_say_more_than_the_difference():
+    rng = np.random.default_rng(1)
+    for n, m in ((300, 300), (300, 900), (5000, 700), (2000, 2100)):
+        pool = np.unique(rng.integers(0, 2**63, n + m).astype(np.uint64))
+        both = pool[: min(n, m) // 2]
+        x, y = np.sort(np.concatenate([both, pool[len(both) : n]])), np.sort(np.concatenate([both, pool[n : n + m - len(both)]]))
+        found, true = apart(wide_sketch(x), wide_sketch(y)), len(np.setxor1d(x, y))
+        assert 0.2 * true < found <= true and apart(wide_sketch(x), wide_sketch(x)) == 0
+
+
+def families(rng, n: int) -> list[tuple]:
+    """Rows of families of near copies; null, repeated and unique ids."""
+    rows = []
+    for f in range(n):
+        words = [f"f{f}w{i}" for i in range(rng.choice([3, 30, 120, 700]))]
+        for _ in range(rng.choice([1, 2, 5])):
+            t = list(words)
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+            rows.append((rng.choice([None, rng.randrange(40), rng.randrange(10**6)]), " ".join(t)))
+    rows += [rng.choice(rows) for _ in range(n)] + [(None, None), (7, ""), (7, ""), (None, " ")]
+    rng.shuffle(rows)
+    return rows
+
+
+def brute_components(texts: list, k: int, num: int, den: int) -> list[int]:
+    """A representative's position for every text; texts without words stand alone."""
+    sets, up = [shingles(t, k) for t in texts], list(range(len(texts)))
+    root = lambda i: i if up[i] == i else root(up[i])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
+                up[root(i)] = root(j)
+    return [root(i) for i in range(len(texts))]
+
+
+def test_components_with_null_and_repeated_keys_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = families(rng, 40)
+    of = brute_components([t for _, t in rows], 4, 85, 100)
+    least = {}
+    for (k, _), c in zip(rows, of, strict=True):
+        least[c] = min((x for x in (least.get(c), k) if x is not None), default=None)
+    want = sorted((str(k), len(shingles(t, 4)), str(least[c])) for (k, t), c in zip(rows, of, strict=True))
+    df = spark.createDataFrame([(k, t, "n") for k, t in rows], "doc_id long, text string, n string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_components(df).collect())
+    assert got == want
+    bridge = [(1, " ".join(f"w{i}" for i in range(60))), (None, " ".join(f"w{i}" for i in range(3, 63))), (3, " ".join(f"w{i}" for i in range(6, 66)))]
+    found = jaccard_components(spark.createDataFrame(bridge, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in found} == {1}
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(4)
+    rows = families(rng, 40)
+    of = brute_components([t for _, t in rows], 5, 80, 100)
+    df = spark.createDataFrame([(k, t, "n") for k, t in rows], "doc_id int, text string, node string")
+    got = [(r["doc_id"], r["text"]) for r in keep_one(df).collect()]
+    assert keep_one(df).columns == df.columns and keep_one(df.where("false")).count() == 0
+    where = {}
+    for (k, t), c in zip(rows, of, strict=True):
+        where.setdefault((k, t), c)
+    assert sum(not shingles(t, 5) for _, t in got) == 4
+    worded = [(k, t) for k, t in got if shingles(t, 5)]
+    found = [where[x] for x in worded]
+    every = {c for (k, t), c in zip(rows, of, strict=True) if shingles(t, 5)}
+    assert len(found) == len(set(found)) and set(found) == every
+    least = {}
+    for (k, t), c in zip(rows, of, strict=True):
+        least[c] = min(least.get(c, (True, 0)), (k is None, k or 0))
+    assert all((k is None, k or 0) == least[where[(k, t)]] for k, t in worded)
+
+
 def test_contamination_equals_sql_and_both_paths_agree(spark, duck):
     want = duck_rows(duck.sql(queries.ORACLES["op9_decontaminate"]))
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
@@ -174,6 +247,18 @@ def test_short_items_are_found_inside_long_texts(spark, most):
     assert got == want and (61, 0, 1, 1) in want and (62, 0, 1, 1) not in want
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_clean_rows_stay_whatever_their_ids_and_columns(spark, most):
+    item = " ".join(f"w{i}" for i in range(14))
+    rows = [(1, "y " * 99 + item, 5, "r"), (1, "other words", 6, None), (None, item, 7, "r"), (None, None, 8, "r"), (2, "", 9, "r"), (1, "other words", 6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, hash string")
+    items = spark.createDataFrame([(3, item, 1), (None, None, 2), (3, item, 3)], "item_id long, text string, hashes int")
+    kept = drop_contaminated(docs, items, max_broadcast=most)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:2] + rows[3:], key=str)
+    found = sorted((str(r["doc_id"]), r["item_id"]) for r in find_contamination(docs, items, max_broadcast=most).collect())
+    assert found == [("1", 3), ("1", 3), ("None", 3), ("None", 3)]
+
+
 def test_mixture_equals_sql(spark, duck):
     assert spark_rows(queries.QUERIES["op3_mixture"](spark, SF)) == duck_rows(duck.sql(queries.ORACLES["op3_mixture"]))
 
@@ -204,4 +289,28 @@ def test_mixture_shards_and_edges(spark):
     assert len({(r["doc_id"], r["pass"]) for r in m}) == len(m)
     assert draw(docs.where("false")).count() == 0
     none = spark.createDataFrame([(None, None, None), (None, "a b", None), (1, "", "s")], "doc_id long, text string, source string")
-    assert sorted((r["size"], r["taken"]) for r in draw(none).collect()) == [(0, 0), (0, 0), (2, 4)]
+    assert sorted((r["size"], r["taken"]) for r in draw(none).collect()) == [(0, 0), (0, 0), (2, 2)]
+
+
+def test_null_and_repeated_keys_keep_to_the_target(spark):
+    rows = [(k, " ".join([f"w{i if k is None else 0}"] * 10), src) for src, k in (("a", None), ("b", 7)) for i in range(200)] + [(i, "v " * 10, "c") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once, again = ([(r["source"], r["doc_id"], r["taken"], tuple(r["shards"])) for r in draw(x).collect()] for x in (df, df.repartition(7, "text")))
+    assert sorted(once, key=str) == sorted(again, key=str)
+    goal = {r["source"]: r["target"] for r in draw(df).collect()}
+    for s, want in goal.items():
+        taken = sum(t for x, _, t, _ in once if x == s)
+        assert abs(taken - want) < 10, (s, taken, want)
+
+
+def test_leaves_have_equal_quotas(spark):
+    rng = random.Random(2)
+    df = frame(spark, [" ".join(["w"] * rng.randrange(1, 9)) for _ in range(700)])
+    blocks = {}
+    for r in mix(df).collect():
+        blocks.setdefault(r["shard"], set()).add((r["source"], r["pass"], r["place"][:2]))
+    # 3 sources and the null one, 256 blocks a pass; a leaf has an eighth of all drawn blocks but for rounding
+    sizes = [len(b) for b in blocks.values()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.5 * max(sizes)
+    every = [b for x in blocks.values() for b in x]
+    assert len(every) <= len(set(every)) + 4  # a block goes to one shard, but for the document that fills the gap
