@@ -65,10 +65,11 @@ def matched(text, weight, least=0.6):
     w = re.findall(WORD, (text or "").translate({c: c + 32 for c in range(65, 91)}))
     labels, best = set(), 0.0
     for t in TEMPLATES:
-        must, total = t.mandatory.split(), sum(weight[x] for x in t.words)
-        for s in range(-t.offset, len(w) - t.offset):
-            if s + t.offset >= 0 and w[s + t.offset : s + t.offset + len(must)] == must and total:
-                share = sum(weight[x] for j, x in enumerate(t.words) if 0 <= s + j < len(w) and w[s + j] == x) / total
+        words, must, off = t.words, t.mandatory.split(), t.offset
+        total = sum(weight[x] for x in words)
+        for s in range(-off, len(w) - off):
+            if s + off >= 0 and w[s + off : s + off + len(must)] == must and total:
+                share = sum(weight[x] for j, x in enumerate(words) if 0 <= s + j < len(w) and w[s + j] == x) / total
                 best = max(best, share)
                 labels |= {t.label} if share >= least - 1e-9 else set()
     base = licence_facts(text)[4]
