@@ -69,6 +69,13 @@ def weighted_recall(measures: DataFrame, keys: Sequence[str], component: str = "
     return measures.groupBy(*keys).agg(F.coalesce(F.round(F.try_divide(F.sum(w * F.coalesce(recall, F.lit(0.0))), F.nullif(total, F.lit(0.0))) + 1e-9, 3), F.lit(0.0)).alias("overall_recall"))
 
 
+def component_means(measures: DataFrame, component: str, columns: Sequence[str], *, family: str | None = None) -> DataFrame:
+    """Per component the number of runs, the means of their measures to 3 places, and how many distinct families they had."""
+    means = [F.round(F.avg(c) + 1e-9, 3).alias(f"mean_{c}") for c in columns]
+    families = [F.countDistinct(family).alias("n_families")] if family else []
+    return measures.groupBy(component).agg(F.count("*").alias("n_runs"), *means, *families)
+
+
 def pattern_recall(flags: DataFrame, keys: Sequence[str], pattern: str = "pattern") -> DataFrame:
     """Per key, the share of the actual side's patterns (unclassified left out) that the other side has."""
     per = flags.where(F.col(pattern) != "unclassified").groupBy(*keys, pattern).agg(F.max("in_actual").alias("a"), F.max("in_recommended").alias("r"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,6 +67,21 @@ def segment_blocks(rows: DataFrame, sheet: str, row_no: str, is_header: Column,
     return df.withColumn("_ended", ended).where("block > 0 AND _e = 0 AND _ended = 0").drop("_h", "_e", "_filled", "_run", "_ended")
 
 
+def stacked_levels(rows: DataFrame, keys: Sequence[str], pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """``keys, level, item, dose`` of sheet rows that hold an item and its dose in a pair of columns for every level.
+
+    One pass over the rows; pairs without an item are left out.
+    """
+    each = [F.struct(F.lit(level).alias("level"), F.col(item).cast("string").alias("item"), F.col(dose).cast("string").alias("dose")) for level, (item, dose) in pairs.items()]
+    return rows.select(*keys, F.explode(F.array(*each)).alias("x")).select(*keys, "x.*").where("item IS NOT NULL AND trim(item) != ''")
+
+
+def with_goals(summaries: DataFrame, goals: DataFrame, program: str, goal: str) -> DataFrame:
+    """``summaries`` with the sorted distinct goals of each program, an empty list without any."""
+    listed = goals.groupBy(program).agg(F.array_sort(F.collect_set(goal)).alias("goals"))
+    return summaries.join(listed, program, "left").withColumn("goals", F.coalesce("goals", F.expr("array()").cast("array<string>")))
+
+
 def index_fold(rows: DataFrame, key: str, row_no: str, description: str, made_for: str) -> DataFrame:
     """One row a key: its first description, and all it was made for in row order."""
     return rows.groupBy(key).agg(F.min_by(description, row_no).alias("description"), F.transform(F.array_sort(F.collect_list(F.struct(row_no, made_for))), lambda x: x[made_for]).alias("made_for"))

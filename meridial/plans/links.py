@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridial.functions import rows as X
-from meridial.operators import corpus, links, payload
+from meridial.operators import compare, corpus, links, payload, programs
 from meridial.operators import resolve as S
 from meridial.plans.recommend import _LONG, _long
 from meridial.plans.registry import R4, Tables, query, r4
@@ -48,6 +48,41 @@ def bridge_breakdown(t: Tables) -> DataFrame:
     return links.bridged_breakdown(t.orders, "o_orderkey", link, bridge, target, link_key="s_suppkey", bridge_key="n_nationkey", group=F.col("n_name"), component="bridge")
 
 
+_LINK = "l AS (SELECT l_orderkey, CASE WHEN l_linenumber < 4 THEN l_suppkey END AS s_suppkey FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3)"
+
+
+@query(
+    f"""WITH {_LINK}, b AS (SELECT o_orderkey, coalesce(n_name, 'unknown') AS category, count(*)::BIGINT AS n, count(DISTINCT n_nationkey)::BIGINT AS u FROM orders LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN supplier USING (s_suppkey) LEFT JOIN n ON n_nationkey = s_nationkey GROUP BY ALL),
+    a AS (SELECT o_orderkey, coalesce(p_type, 'unknown') AS category, count(*)::BIGINT AS n, count(DISTINCT p_partkey)::BIGINT AS u FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+    x AS (SELECT o_orderkey, sum(n)::BIGINT AS n_lift, sum(u)::BIGINT AS n_unique_lift FROM a GROUP BY 1), y AS (SELECT o_orderkey, sum(n)::BIGINT AS n_bridge, sum(u)::BIGINT AS n_unique_bridge FROM b GROUP BY 1),
+    g AS (SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_linestatus)), ',') AS goals FROM lineitem WHERE l_quantity > 30 GROUP BY 1)
+    SELECT x.*, n_bridge, n_unique_bridge, coalesce(goals, '') AS goals FROM x JOIN y USING (o_orderkey) LEFT JOIN g ON l_orderkey = o_orderkey"""
+)
+def component_summary(t: Tables) -> DataFrame:
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
+    lift = programs.category_breakdown(t.orders, "o_orderkey", lines, t.part.select("p_partkey", "p_type"), "p_partkey", F.col("p_type"))
+    every = programs.program_summaries(lift.unionByName(bridge_breakdown(t)), "o_orderkey", ["lift", "bridge"])
+    goals = t.lineitem.where("l_quantity > 30").select(F.col("l_orderkey").alias("o_orderkey"), "l_linestatus")
+    out = programs.with_goals(every, goals, "o_orderkey", "l_linestatus")
+    return out.select("o_orderkey", "n_lift", "n_unique_lift", "n_bridge", "n_unique_bridge", F.array_join("goals", ",").alias("goals"))
+
+
+@query(
+    "SELECT l_orderkey, level, item, dose FROM ("
+    + " UNION ALL ".join(f"SELECT l_orderkey, '{level}' AS level, {item}::VARCHAR AS item, {dose}::INT::VARCHAR AS dose FROM lineitem" for level, item, dose in (("beginner", "nullif(l_returnflag, 'N')", "l_quantity"), ("advanced", "l_linestatus", "l_linenumber"), ("college", "nullif(l_suppkey, 1)", "l_quantity"), ("pro", "CASE WHEN l_discount > 0 THEN '' END", "l_linenumber")))
+    + ") WHERE item IS NOT NULL AND item <> ''"
+)
+def sheet_levels(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_orderkey", F.nullif(F.col("l_returnflag"), F.lit("N")).alias("a"), "l_linestatus", F.nullif(F.col("l_suppkey"), F.lit(1).cast("long")).alias("c"), F.when(F.col("l_discount") > 0, "").alias("d"), F.col("l_quantity").cast("int").alias("q"), "l_linenumber")
+    return programs.stacked_levels(rows, ["l_orderkey"], {"beginner": ("a", "q"), "advanced": ("l_linestatus", "l_linenumber"), "college": ("c", "q"), "pro": ("d", "l_linenumber")})
+
+
+@query("SELECT l_returnflag, count(*)::BIGINT AS n_runs, round(avg(l_discount) + 1e-9, 3) AS mean_l_discount, round(avg(l_tax) + 1e-9, 3) AS mean_l_tax, round(avg(l_quantity) + 1e-9, 3) AS mean_l_quantity, count(DISTINCT p_brand)::BIGINT AS n_families FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+def component_means(t: Tables) -> DataFrame:
+    runs = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    return compare.component_means(runs, "l_returnflag", ["l_discount", "l_tax", "l_quantity"], family="p_brand")
+
+
 # ---- keys, flags and domains ----------------------------------------------
 
 
