@@ -92,17 +92,17 @@ def pca_2d(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH r AS (SELECT user_id, event_type AS metric, avg(value) AS value FROM events WHERE event_id % 10 <> 0 GROUP BY ALL), w AS (PIVOT r ON metric IN ('click', 'error', 'purchase', 'signup', 'view') USING first(value)),
+    f"""WITH r AS (SELECT user_id, event_type AS metric, avg(value) AS value FROM events GROUP BY ALL), w AS (PIVOT r ON metric IN ('click', 'error', 'purchase', 'signup', 'view') USING first(value)),
     v AS (SELECT user_id, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS sd, min(value) AS min, max(value) AS max, count(*)::BIGINT AS count FROM events WHERE event_type = 'purchase' GROUP BY ALL)
     SELECT user_id, {R4('click')} AS click, {R4('error')} AS error, {R4('purchase')} AS purchase, {R4('click * error')} AS product, {R4('view - signup')} AS extension, {R4('purchase / nullif(view, 0)')} AS per_view, {R4('mean')} AS velocity_mean, {R4('sd')} AS velocity_sd, count AS n_pitches FROM w JOIN v USING (user_id)"""
 )
 def report_features(t: Tables) -> DataFrame:
-    return _report_features(t, t.events.where("event_id % 10 != 0"))
+    return _report_features(t, t.events)
 
 
-@query(ORACLES["report_features"].replace(" WHERE event_id % 10 <> 0", ""))
+@query(ORACLES["report_features"])
 def report_features_all(t: Tables) -> DataFrame:
-    """``report_features`` over all events."""
+    """The former name of ``report_features`` over all events."""
     return _report_features(t, t.events)
 
 

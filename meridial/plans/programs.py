@@ -131,14 +131,15 @@ def loose_normalize(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.loose(F.concat(F.lit("  "), F.upper("p_name"), tail)).alias("name"))
 
 
-@query(f"SELECT doc_id, length({_LOOSE.format('text')})::BIGINT AS n FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, md5({_LOOSE.format('text')}) AS digest FROM documents")
 def loose_normalize_texts(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", F.length(T.loose("text")).cast("long").alias("n"))
+    """Digests of the normal forms of all documents, whatever their language."""
+    return t.documents.select("doc_id", F.md5(T.loose("text").cast("binary")).alias("digest"))
 
 
 @query(f"SELECT doc_id, length({_LOOSE.format('text')})::BIGINT AS n FROM documents")
 def loose_normalize_all_texts(t: Tables) -> DataFrame:
-    """``loose_normalize_texts`` over the documents of every language and of none."""
+    """Lengths of the normal forms of all documents."""
     return t.documents.select("doc_id", F.length(T.loose("text")).cast("long").alias("n"))
 
 
@@ -162,14 +163,16 @@ def pattern_classify(t: Tables) -> DataFrame:
     return part_names(t).select("p_partkey", T.classify("name").alias("pattern"))
 
 
-@query(f"WITH p AS (SELECT item_id, {classify_sql('text')} AS pattern FROM benchmark) SELECT pattern, count(*)::BIGINT AS n FROM p GROUP BY ALL")
+@query(f"SELECT doc_id, {classify_sql('text')} AS pattern FROM documents")
 def pattern_classify_texts(t: Tables) -> DataFrame:
-    return t.benchmark.select(T.classify("text").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    """The pattern of every document."""
+    cleaned = t.documents.select("doc_id", T.clean("text").alias("text"))
+    return cleaned.select("doc_id", T.classify("text", cleaned=True).alias("pattern"))
 
 
 @query(f"WITH p AS (SELECT doc_id, {classify_sql('text')} AS pattern FROM documents) SELECT pattern, count(*)::BIGINT AS n FROM p GROUP BY ALL")
 def pattern_classify_all_texts(t: Tables) -> DataFrame:
-    """``pattern_classify_texts`` over all documents."""
+    """How many documents have each pattern."""
     return t.documents.select(T.classify("text").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
