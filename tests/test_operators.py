@@ -2,13 +2,15 @@
 
 import datetime
 import json
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from meridial.operators import biomech, cadence, compare, corpus, facts, neighbors, norms, programs, resolve
+from meridial.operators import biomech, cadence, compare, corpus, facts, neighbors, norms, payload, programs, resolve
 from meridial.sources import tables
 
 D = datetime.date
@@ -103,8 +105,6 @@ def test_greedy_matches_are_one_to_one_and_maximal(spark, left, right):
     got = resolve.greedy_match(a, b, ["k"], threshold=0.8).collect()
     lefts, rights = [r["left_name"] for r in got], [r["right_name"] for r in got]
     assert len(set(lefts)) == len(lefts) and len(set(rights)) == len(rights)
-    from difflib import SequenceMatcher
-
     for x in set(left) - set(lefts):
         for y in set(right) - set(rights):
             assert SequenceMatcher(None, x, y).ratio() < 0.8
@@ -215,3 +215,62 @@ def test_empty_tables(spark):
     assert norms.norm_stats(none, ["modality", "metric_key"]).count() == 0
     flags = spark.createDataFrame([], "run int, item string, in_actual boolean, in_recommended boolean")
     assert compare.overlap(flags, ["run"]).count() == 0 and compare.grouped_overlap(flags, ["run"], "item").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["difflib", "levenshtein"])
+def test_no_pair_that_reaches_the_threshold_is_lost(spark, kind):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcd ", k=rng.randrange(1, 9))) for _ in range(60)]
+    left = spark.createDataFrame([(w,) for w in words[:30]], "x string")
+    right = spark.createDataFrame([(w,) for w in words[30:]], "y string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+        return row[-1]
+
+    score = (lambda a, b: SequenceMatcher(None, a, b).ratio()) if kind == "difflib" else (lambda a, b: 1 - distance(a, b) / max(len(a), len(b)))
+    want = sorted((a, b) for a in words[:30] for b in words[30:] if score(a, b) >= 0.6)
+    got = sorted((r["x"], r["y"]) for r in resolve.alike(left, right, "x", "y", 0.6, kind).collect())
+    assert got == want and want
+
+
+def test_packed_profiles_equal_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(e, e % 3, f"m{m}", rng.choice([None, round(rng.uniform(-2, 2), 2)])) for e in range(24) for m in range(7) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "entity int, grp int, metric_key string, z double")
+    by = {}
+    for e, _, m, z in rows:
+        if z is not None:
+            by.setdefault(e, {})[m] = z
+    want = {}
+    for a in by:
+        near = []
+        for b in by:
+            both = by[a].keys() & by[b].keys()
+            if a != b and a % 3 == b % 3 and len(both) >= 3:
+                near.append((round((sum((by[a][m] - by[b][m]) ** 2 for m in both) / len(both)) ** 0.5 + 1e-9, 3), b, len(both)))
+        want[a] = sorted(near)[:4]
+    got = {}
+    for r in neighbors.knn_profiles(df, "entity", ["grp"], k=4, min_common=3).orderBy("target", "place").collect():
+        got.setdefault(r["target"], []).append((r["distance"], r["neighbour"], r["n_common"]))
+    assert {a: [(pytest.approx(d), b, n) for d, b, n in x] for a, x in want.items() if x} == got
+    # more metrics than are written out
+    wide = df.unionByName(spark.createDataFrame([(e, e % 3, f"w{i}", float(i % 3)) for e in range(24) for i in range(130)], df.schema))
+    assert neighbors.knn_profiles(wide, "entity", ["grp"], k=4).count() == 24 * 4
+
+
+def test_documents_survive_the_way_there_and_back(spark):
+    items = spark.createDataFrame([(1, "lift", "s1", 2, "b", "3x5"), (1, "lift", "s1", 1, "a", None), (1, "plyo", "P1", 1, "zz", None), (2, "lift", "s1", 1, "a", "1x1")], "entity int, component string, session string, place int, name string, dose string")
+    resolved = spark.createDataFrame([("a", 7, "exact"), ("b", 8, "fuzzy")], "name string, id long, method string")
+    days = spark.createDataFrame([(1, 3, "lift", "s1")], "entity int, day int, component string, session string")
+    docs = payload.compiled(items, resolved, days, "entity")
+    got = sorted(map(tuple, payload.flattened(docs, "entity").collect()), key=str)
+    assert got == sorted([(1, "lift", "s1", 1, "a", 7, "exact", None), (1, "lift", "s1", 2, "b", 8, "fuzzy", "3x5"), (1, "plyo", "P1", 1, "zz", None, "unmatched", None), (2, "lift", "s1", 1, "a", 7, "exact", "1x1")], key=str)
+    one = json.loads({r["entity"]: r["payload"] for r in docs.collect()}[1])
+    assert one["unmatched"] == ["zz"] and one["days"] == [{"day": 3, "component": "lift", "session": "s1"}]
+    broken = spark.createDataFrame([(1, "{"), (2, None), (3, "{}")], "entity int, payload string")
+    assert payload.flattened(broken, "entity").count() == 0
