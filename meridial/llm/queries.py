@@ -91,6 +91,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of each benchmark item."""
+    from meridial.llm.ranked_search import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_token_align(spark: SparkSession, sf_dir: str, tokenizers: str = "/opt/tokenizers") -> DataFrame:
     """Tokens of a byte-level and of a sentencepiece vocabulary, aligned over all documents."""
     from meridial.llm.token_align import align
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op11_ranked_search": op11_ranked_search,
     "op12_token_align": op12_token_align,
 }
 
@@ -183,7 +191,22 @@ def _licenses_sql() -> str:
       FROM d LEFT JOIN g USING (r)"""
 
 
+def _terms_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
 ORACLES: dict[str, str] = {
+    "op11_ranked_search": f"""
+      WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms_sql("text")} AS w FROM documents),
+           c AS (SELECT count(*)::BIGINT AS texts, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+           i AS (SELECT row_number() OVER () AS i, item_id, {_terms_sql("text")} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+           q AS (SELECT i, item_id, term, count(*)::BIGINT AS times FROM (SELECT i, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+           p AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+           t AS (SELECT term, floor(1000 * ln((2 * texts + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY term, texts),
+           s AS (SELECT i, item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * texts) // terms))))::BIGINT AS score
+                 FROM p JOIN q USING (term) JOIN t USING (term), c GROUP BY ALL HAVING score > 0)
+      SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM s
+      QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) <= 10""",
     "op2_jaccard_join": f"""
       WITH RECURSIVE sh AS {_shingles_sql("documents", "doc_id", 4)}, n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
            met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
