@@ -105,6 +105,14 @@ def op12_token_align(spark: SparkSession, sf_dir: str, tokenizers: str = "/opt/t
     return align(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
 
 
+def op13_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, and terms that disclose it; the base spans as a digest."""
+    from meridial.llm.sanitise import find_private
+
+    found = find_private(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_term")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_jaccard_join": op2_jaccard_join,
@@ -118,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_ranked_search": op11_ranked_search,
     "op12_token_align": op12_token_align,
+    "op13_private": op13_private,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
