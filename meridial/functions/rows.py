@@ -20,6 +20,10 @@ def number(text: Column | str) -> Column:
     return F.when(col(text).rlike(NUMBER), F.trim(col(text)).try_cast("double"))
 
 
+#: What stands first in an array, or alone, in a JSON text.
+FIRST_OR_SOLE = r'^\s*\[?\s*"?([^",\]\[]*)"?'
+
+
 def json_map(text: Column | str) -> Column:
     """A flat JSON object as a map of its keys (dots and spaces allowed) to texts; parse once a row."""
     return F.from_json(col(text), "map<string,string>")
@@ -33,7 +37,13 @@ def has_key(metrics: Column | str, key: str) -> Column:
 def json_number(metrics: Column | str, key: str) -> Column:
     """``[n, ...]`` gives its first element, ``n`` and ``"n"`` themselves, anything else null."""
     raw = F.try_element_at(col(metrics), F.lit(key))
-    return number(F.regexp_extract(raw, r'^\s*\[?\s*"?([^",\]\[]*)"?', 1))
+    return number(F.regexp_extract(raw, FIRST_OR_SOLE, 1))
+
+
+def variant_number(document: Column | str, path: str) -> Column:
+    """As ``json_number`` for a VARIANT of any depth: ``path`` is like ``$.a.b`` or ``$["a.b"][0]``."""
+    read = lambda p: number(F.try_variant_get(col(document), p, "string"))
+    return F.coalesce(read(f"{path}[0]"), read(path))
 
 
 def scaled(value: Column | str, *, absolute: bool = False, scale: float = 1.0) -> Column:
