@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridial.operators.grams import containing
 from meridial.operators.norms import top
+from meridial.sources.scratch import written
 
 
 def _nearest(packed: DataFrame, width: int, block: Sequence[str], k: int, min_common: int, targets: DataFrame | None = None) -> DataFrame:
@@ -59,26 +61,43 @@ def knn_dense(vectors: DataFrame, entity: str, vector: str, block: Sequence[str]
     return top(near, ["target"], k, "distance", "neighbour", rank="place")
 
 
+#: Anchors that are one array; more are ranked array by array.
+ANCHORS_TOGETHER = 1000
+
+
 def anchor_neighbors(targets: DataFrame, target: str, anchors: DataFrame, family: str, entities: DataFrame, entity: str, name: str, distance: Callable[[Column], Column], *, k: int = 5) -> DataFrame:
     """The nearest families of each target by the entities that their anchors name.
 
     An anchor (family, anchor) names the entity with the least id whose name
     contains it in any case. ``distance`` takes the entity, a struct of its
     columns, and may use the target's. Anchors are named in templates, so they
-    are few: all of them are one array, and each target ranks them in its row,
-    without a join or a shuffle of targets.
+    are few: an array of up to ``ANCHORS_TOGETHER`` of them is ranked in each
+    target's row, and more of them are arrays whose first families meet in a
+    window. A distance is any expression, so each target looks at each anchor.
     """
-    said = anchors.join(entities, F.contains(F.lower(name), F.lower("anchor")))
-    found = top(said, [family, "anchor"], 1, entity)
-    every = found.agg(F.collect_list(F.struct(F.col(family).alias("family"), F.struct(*entities.columns).alias("entity"))).alias("a")).scalar()
-    scored = F.transform("_a", lambda a: F.struct(F.round(distance(a["entity"]) + 1e-9, 3).alias("distance"), a["family"].alias("family"), a["entity"][entity].alias("anchor")))
-    ranked = F.array_sort(F.filter(scored, lambda x: (x["anchor"] != F.col(target)) & x["distance"].isNotNull()))
-    # the nearest anchor stands for its family
-    kind = found.select(family).schema[0].dataType.simpleString()
-    empty = F.expr("array()").cast(f"array<struct<distance:double,family:{kind},anchor:{found.schema[entity].dataType.simpleString()}>>")
-    best = F.aggregate(ranked, empty, lambda out, x: F.when((F.size(out) >= k) | F.exists(out, lambda o: o["family"] == x["family"]), out).otherwise(F.concat(out, F.array(x.cast(f"struct<distance:double,family:{kind},anchor:{found.schema[entity].dataType.simpleString()}>")))))
-    out = targets.withColumn("_a", every).select(target, F.posexplode(best).alias("_p", "_x"))
-    return out.select(target, F.col("_x.family").alias(family), "_x.distance", "_x.anchor", (F.col("_p") + 1).alias("place"))
+    e = entities.withColumn("_low", F.lower(name))
+    said = containing(anchors.select(family, F.lower("anchor").alias("_anchor")), "_anchor", e, "_low").drop("_low")
+    found = written(top(said, [family, "_anchor"], 1, entity).select(F.col(family).alias("family"), F.struct(*entities.columns).alias("entity")))
+    kind, key = (found.schema["family"].dataType.simpleString(), found.schema["entity"].dataType[entity].dataType.simpleString())
+    blocks = max(1, -(-found.count() // ANCHORS_TOGETHER))
+    of = F.pmod(F.xxhash64("family", f"entity.{entity}"), F.lit(blocks))
+    best = None
+    for b in range(blocks):
+        every = found.where(of == b).agg(F.collect_list(F.struct("family", "entity")).alias("a")).scalar()
+        scored = F.transform("_a", lambda a: F.struct(F.round(distance(a["entity"]) + 1e-9, 3).alias("distance"), a["family"].alias("family"), a["entity"][entity].alias("anchor")))
+        ranked = F.array_sort(F.filter(scored, lambda x: (x["anchor"] != F.col(target)) & x["distance"].isNotNull()))
+        each = targets.withColumn("_a", every).select(target, F.explode(_first_of_families(ranked, k, kind, key)).alias("_x"))
+        best = each if best is None else best.unionByName(each)
+    rows = best.select(target, F.col("_x.family").alias(family), "_x.distance", "_x.anchor")
+    rows = top(rows, [target, family], 1, "distance", "anchor") if blocks > 1 else rows
+    return top(rows, [target], k, "distance", family, "anchor", rank="place")
+
+
+def _first_of_families(ranked: Column, k: int, family: str, key: str) -> Column:
+    """Of sorted (distance, family, anchor) the first of each family, until there are ``k``."""
+    kind = f"struct<distance:double,family:{family},anchor:{key}>"
+    done = lambda out, x: (F.size(out) >= k) | F.exists(out, lambda o: o["family"] == x["family"])
+    return F.aggregate(ranked, F.array().cast(f"array<{kind}>"), lambda out, x: F.when(done(out, x), out).otherwise(F.concat(out, F.array(x.cast(kind)))))
 
 
 def counted(prescriptions: DataFrame, entity: str, keys: Sequence[str], *, averages: Sequence[str] = ()) -> DataFrame:

@@ -3,32 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from meridial.functions.text import PATTERNS, clean, loose
+from meridial.operators.grams import alike, containing, edit_ratio, scorer
 from meridial.operators.norms import top
-
-
-@pandas_udf(DoubleType())
-def text_ratio(query: pd.Series, candidate: pd.Series) -> pd.Series:
-    """difflib's ratio, arguments in this order."""
-    return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(query, candidate, strict=True)], dtype="float64")
-
-
-def edit_ratio(a: Column | str, b: Column | str) -> Column:
-    """1 less the edit distance by the longer length; all in the JVM."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
-
-
-def scorer(kind: str):
-    return {"difflib": text_ratio, "levenshtein": edit_ratio}[kind]
+from meridial.sources.scratch import written
 
 
 def classify_names(names: DataFrame, name: str, rules: list[tuple[str, list[str]]] | None = None, *, out: str = "pattern") -> DataFrame:
@@ -45,48 +27,14 @@ def classify_names(names: DataFrame, name: str, rules: list[tuple[str, list[str]
     return hits.groupBy(name).agg(F.min(F.struct("_k.i", "_k.label")).getField("label").alias(out))
 
 
-def _characters(text: Column | str) -> Column:
-    """Each character with the number of its kind so far, so that an intersection counts the shared ones."""
-    each = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    return F.transform(each, lambda c, i: F.concat(c, (i - F.array_position(each, c)).cast("string")))
-
-
-def _may_reach(a: str, b: str, x: str, y: str, least: float, kind: str) -> Column:
-    """Whether two texts with characters ``x`` and ``y`` can have a score of ``least``: no pair that does is lost.
-
-    A score cannot be more than the shared characters allow, in whatever order they stand.
-    """
-    shared = F.size(F.array_intersect(x, y))
-    if kind == "difflib":
-        return 2 * shared >= least * (F.length(a) + F.length(b)) - 1e-9
-    return shared >= least * F.greatest(F.length(a), F.length(b)) - 1e-9
-
-
-def alike(left: DataFrame, right: DataFrame, a: str, b: str, least: float, kind: str) -> DataFrame:
-    """Pairs of ``left`` and ``right`` whose texts ``a`` and ``b`` score ``least`` or more, with ``score``.
-
-    Texts of too different lengths cannot, so a text meets the lengths that are
-    possible for it by an equi join; what its characters rule out goes before
-    anything is scored.
-    """
-    ratio = least / (2 - least) if kind == "difflib" else least
-    low, high = F.ceil(ratio * F.length(a) - 1e-9), F.floor(F.length(a) / ratio + 1e-9)
-    asked = left.withColumn("_x", _characters(a)).withColumn("_length", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    held = right.withColumn("_y", _characters(b)).withColumn("_length", F.length(b))
-    met = asked.join(held, "_length").where(_may_reach(a, b, "_x", "_y", least, kind))
-    return met.withColumn("score", scorer(kind)(a, b)).where(F.col("score") >= least).drop("_x", "_y", "_length")
-
-
 def _scored(residue: DataFrame, catalogue: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """Residue x candidates of the same first token; names whose token no candidate has see all that may reach the threshold."""
+    """Pairs that reach the threshold: of the same first token, or of any for names whose token no candidate has."""
     first = lambda c: F.split(c, " ").getItem(0)
-    names = residue.withColumn("_t", first("_loose"))
-    items = catalogue.select(F.col("id"), F.col("name").alias("matched_name"), F.col("loose").alias("_c"), first("loose").alias("_t"))
-    blocked = names.join(items, "_t").withColumn("_x", _characters("_loose")).withColumn("_y", _characters("_c")).where(_may_reach("_loose", "_c", "_x", "_y", threshold, kind))
-    blocked = blocked.withColumn("score", scorer(kind)("_loose", "_c")).where(F.col("score") >= threshold)
-    lost = alike(names.join(items.select("_t").distinct(), "_t", "left_anti").drop("_t"), items.drop("_t"), "_loose", "_c", threshold, kind)
-    columns = ["name", "id", "matched_name", "score"]
-    return blocked.select(columns).unionByName(lost.select(columns))
+    items = catalogue.select("id", F.col("name").alias("matched_name"), F.col("loose").alias("_c"), first("loose").alias("_t"))
+    known = items.select("_t").distinct().withColumn("_known", F.lit(True))
+    names = residue.withColumn("_first", first("_loose")).join(known.withColumnRenamed("_t", "_first"), "_first", "left")
+    met = alike(names, items, "_loose", "_c", threshold, kind).where(F.col("_known").isNull() | (F.col("_first") == F.col("_t")))
+    return met.select("name", "id", "matched_name", "score")
 
 
 def resolve_names(names: DataFrame, catalogue: DataFrame, *, name: str = "name", threshold: float = 0.88, kind: str = "difflib", fold: bool = False) -> DataFrame:
@@ -107,20 +55,43 @@ def resolve_names(names: DataFrame, catalogue: DataFrame, *, name: str = "name",
     return out.select("name", F.coalesce("_id", "_id2", "_id3").alias("id"), method.alias("method"), F.coalesce("_m", "_m2", "_m3").alias("matched_name"))
 
 
+#: Thresholds at which names look for their nearest, one after the other.
+_ROUNDS = (0.75, 0.5, 0.3, 1e-6)
+
+
 def nearest_names(names: DataFrame, catalogue: DataFrame, *, name: str = "name", top_n: int = 3, kind: str = "difflib") -> DataFrame:
-    """The ``top_n`` most similar catalogue names of each name, similarity to 3 places."""
+    """The ``top_n`` most similar catalogue names of each name, similarity to 3 places, ties by the least id.
+
+    Names look for what is alike at a high threshold first; those that found
+    fewer than ``top_n`` go on to a lower one, the last of which is one shared
+    character. What shares none is similar by 0: there the least ids are next.
+    """
     asked = names.select(F.col(name).alias("name")).distinct().withColumn("_loose", loose("name"))
     items = catalogue.select("id", F.col("name").alias("matched_name"), loose("name").alias("_c"))
-    # names that found no match, against a catalogue that is small by nature
-    every = asked.crossJoin(items).withColumn("similarity", F.round(scorer(kind)("_loose", "_c"), 3))
-    return top(every, ["name"], top_n, F.col("similarity").desc(), "id", rank="place").select("name", "id", "matched_name", "similarity", "place")
+    columns, found = ["name", "id", "matched_name", "similarity"], None
+    for least in _ROUNDS:
+        # similarities are ranked as rounded, so what rounds up to the threshold must be met too
+        met = written(alike(asked, items, "_loose", "_c", max(least - 0.0006, 1e-6), kind).select("name", "id", "matched_name", F.round("score", 3).alias("similarity"), "_loose"))
+        enough = met.where(F.col("similarity") >= least).groupBy("name").agg(F.count("*").alias("_n")).where(F.col("_n") >= top_n).select("name")
+        last = least == _ROUNDS[-1]
+        done = met if last else met.join(enough, "name", "left_semi")
+        found = done.select(columns) if found is None else found.unionByName(done.select(columns))
+        if not last:
+            asked = written(asked.join(enough, "name", "left_anti"))
+    # at most top_n - 1 of the least ids can have been found, so twice as many hold the next
+    least_ids = items.orderBy("id").limit(2 * top_n - 1).collect()
+    if least_ids:
+        rest = asked.withColumn("_i", F.explode(F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in items.columns)) for r in least_ids))))
+        rest = rest.select("name", "_i.id", "_i.matched_name", F.round(scorer(kind)(F.col("_loose"), F.col("_i._c")), 3).alias("similarity"))
+        found = found.unionByName(rest).distinct()
+    return top(found, ["name"], top_n, F.col("similarity").desc(), "id", rank="place").select("name", "id", "matched_name", "similarity", "place")
 
 
 def lookup_entities(names: DataFrame, entities: DataFrame, *, min_ratio: float = 0.7, kind: str = "difflib") -> DataFrame:
     """Each name's best entity (``id, name``): equal, else containing it (shortest, then by name), else most similar."""
     asked = names.select(F.lower(F.trim("name")).alias("query")).where("query != ''").distinct()
     e = entities.where("name IS NOT NULL").select("id", F.col("name").alias("entity_name"), F.lower(F.trim("name")).alias("_n"))
-    hit = asked.join(e, F.contains(F.col("_n"), F.col("query"))).withColumn("tier", F.when(F.col("_n") == F.col("query"), 1).otherwise(2))
+    hit = containing(asked, "query", e, "_n").withColumn("tier", F.when(F.col("_n") == F.col("query"), 1).otherwise(2))
     hit = top(hit, ["query"], 1, "tier", F.length("entity_name"), "entity_name", "id").select("query", "id", "entity_name", "tier", F.lit(1.0).alias("ratio"))
     rest = alike(asked.join(hit, "query", "left_anti"), e, "query", "_n", min_ratio, kind).withColumnRenamed("score", "ratio")
     rest = top(rest, ["query"], 1, F.col("ratio").desc(), "entity_name", "id").select("query", "id", "entity_name", F.lit(3).alias("tier"), "ratio")
@@ -133,37 +104,41 @@ def search_names(queries: DataFrame, users: DataFrame, columns: Sequence[str], *
     ``ratio`` is by edit distance to the joined names; a query is ambiguous if
     two users are within ``gap`` of the best.
     """
-    joined = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in columns)))
-    u = users.withColumn("_all", joined)
-    where = F.contains(F.col("_all"), F.col("query"))
-    for c in columns:
-        where = where | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.col("query"))
-    hits = u.join(queries, where).withColumn("ratio", edit_ratio("query", "_all"))
+    # the joined names contain whatever a column contains
+    u = users.withColumn("_all", F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in columns))))
+    hits = containing(queries, "query", u, "_all").withColumn("ratio", edit_ratio("query", "_all"))
     w = Window.partitionBy("query")
     hits = hits.withColumn("_best", F.max("ratio").over(w))
     return hits.withColumn("ambiguous", F.sum((F.col("ratio") >= F.col("_best") - gap).cast("int")).over(w) >= 2).drop("_best", "_all")
 
 
+def mutual_best(pairs: DataFrame, keys: Sequence[str], left: str, right: str, score: str = "score") -> DataFrame:
+    """One-to-one pairs, best first, ties by left, then right: what a walk down the sorted pairs keeps.
+
+    A pair that is the first of both its sides is kept by any such walk; it and
+    whatever shares a side with it leave, and the next round looks at the rest,
+    until nothing is left. Pairs are distinct; each round is a written table.
+    """
+    order = (F.col(score).desc(), F.col(left), F.col(right))
+    rest, found = written(pairs), None
+    while rest.take(1):
+        place = lambda side: F.row_number().over(Window.partitionBy(*keys, side).orderBy(*order))
+        ranked = rest.withColumn("_l", place(left)).withColumn("_r", place(right))
+        kept = written(ranked.where("_l = 1 AND _r = 1").drop("_l", "_r"))
+        found = kept if found is None else found.unionByName(kept)
+        for side in (left, right):
+            rest = rest.join(kept.select(*keys, side), [*keys, side], "left_anti")
+        rest = written(rest.select(*pairs.columns))
+    return rest if found is None else found
+
+
 def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], *, name: str = "name", threshold: float = 0.9, kind: str = "difflib") -> DataFrame:
     """One-to-one pairs ``keys, left_name, right_name, score``, best first, each side used once.
 
-    Ties go by left, then right name. Pairs are scored within a key (a run's
-    component and group, of at most some hundred names), and the pairs above the
-    threshold, far fewer, are walked in one group each.
+    Ties go by left, then right name. Pairs meet within a key (a run's component
+    and group) by what the threshold makes them share; a null key meets none.
     """
-    a = left.select(*keys, F.col(name).alias("left_name")).distinct()
-    b = right.select(*keys, F.col(name).alias("right_name")).distinct()
-    pairs = a.join(b, list(keys)).withColumn("score", scorer(kind)("left_name", "right_name")).where(F.col("score") >= threshold)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "left_name", "right_name"], ascending=[False, True, True])
-        lefts, rights, keep = set(), set(), []
-        for x, y in zip(pdf.left_name, pdf.right_name, strict=True):
-            ok = x not in lefts and y not in rights
-            keep.append(ok)
-            if ok:
-                lefts.add(x)
-                rights.add(y)
-        return pdf[keep]
-
-    return pairs.groupBy(*keys).applyInPandas(walk, pairs.schema)
+    a = left.select(*keys, F.col(name).alias("left_name")).where(F.col(name).isNotNull()).distinct()
+    b = right.select(*keys, F.col(name).alias("right_name")).where(F.col(name).isNotNull()).distinct()
+    pairs = alike(a, b, "left_name", "right_name", threshold, kind, on=keys)
+    return mutual_best(pairs.select(*keys, "left_name", "right_name", "score"), keys, "left_name", "right_name")

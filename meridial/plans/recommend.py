@@ -230,6 +230,38 @@ def greedy_match(t: Tables) -> DataFrame:
     return S.greedy_match(a, b, ["p_brand"], threshold=0.9)
 
 
+_CLEAN_AND_NOISY = f"""a AS (SELECT DISTINCT p_brand, p_name AS left_name FROM part), b AS (SELECT DISTINCT p_brand, {_NOISY} AS right_name FROM part),
+    s AS (SELECT p_brand, left_name, right_name, {_RATIO.format("left_name", "right_name")} AS score FROM a JOIN b USING (p_brand)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, left_name, right_name) AS n FROM s WHERE score >= 0.6)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CLEAN_AND_NOISY},
+    walk AS (SELECT p_brand, 0::BIGINT AS n, []::VARCHAR[] AS lefts, []::VARCHAR[] AS rights FROM (SELECT DISTINCT p_brand FROM p)
+      UNION ALL SELECT p_brand, p.n, CASE WHEN list_contains(lefts, left_name) OR list_contains(rights, right_name) THEN lefts ELSE list_append(lefts, left_name) END,
+                       CASE WHEN list_contains(lefts, left_name) OR list_contains(rights, right_name) THEN rights ELSE list_append(rights, right_name) END
+                FROM walk JOIN p USING (p_brand) WHERE p.n = walk.n + 1),
+    kept AS (SELECT p_brand, unnest(lefts) AS left_name, unnest(rights) AS right_name FROM walk QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC) = 1)
+    SELECT p_brand, left_name, right_name, {R4("score")} AS score FROM kept JOIN p USING (p_brand, left_name, right_name)"""
+)
+def greedy_match_edit(t: Tables) -> DataFrame:
+    """One-to-one by edit distance: what a walk down the sorted pairs keeps."""
+    a = t.part.select("p_brand", F.col("p_name").alias("name"))
+    b = t.part.select("p_brand", _noisy().alias("name"))
+    return S.greedy_match(a, b, ["p_brand"], threshold=0.6, kind="levenshtein").withColumn("score", r4("score"))
+
+
+@query(
+    f"""WITH {_RESOLVED}, lost AS (SELECT name, l FROM x JOIN r USING (name) WHERE method = 'unmatched'),
+    d AS (SELECT DISTINCT name, id, matched AS matched_name, round({_RATIO.format("l", "matched")}, 3) AS similarity FROM lost CROSS JOIN c)
+    SELECT *, row_number() OVER (PARTITION BY name ORDER BY similarity DESC, id)::INT AS place FROM d QUALIFY place <= 3"""
+)
+def nearest_names_edit(t: Tables) -> DataFrame:
+    """The three nearest of what nothing matches, by edit distance."""
+    lost = _resolved(t).where("method = 'unmatched'")
+    return S.nearest_names(lost, _catalogue(t), kind="levenshtein")
+
+
 # ---- comparisons ----------------------------------------------------------
 
 

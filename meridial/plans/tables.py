@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridial.operators import norms
 from meridial.plans.registry import R4, Tables, query, r4
 from meridial.sources import tables as S
+from meridial.sources.scratch import scratch
 from meridial.streaming import twins as W
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share; a local one only where none is named and Spark runs in this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='meridial-')}/{uuid.uuid4().hex}"
-
-
 def _norms(t: Tables, low: str, high: str) -> DataFrame:
     o = t.orders.where(F.col("o_orderdate").between(F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz")))
     return norms.norm_stats(o.select("o_orderpriority", "o_orderstatus", F.col("o_totalprice").alias("value")), ["o_orderpriority", "o_orderstatus"]).select("o_orderpriority", "o_orderstatus", "n_observations", r4("mean_value").alias("mean_value"))
