@@ -30,11 +30,21 @@ def norm_stats(values: DataFrame, keys: Sequence[str], *, min_obs: int = 5, prob
 def asof_sessions(sessions: DataFrame, targets: DataFrame, entity: str = "entity", modality: str = "modality") -> DataFrame:
     """Of every target (entity, as_of_date) and modality, the latest session up to the date.
 
-    An equi join on the entity and one aggregate; no look-back past that session.
+    A merge: sessions and targets stand in one order per entity and modality, and
+    the last session is carried forward to each target. There is one row a session
+    and one a target and modality of its entity, never their product; a
+    partition is read as a stream, so a frequent entity needs no memory. A
+    session on the date itself counts; a null entity or date has no session.
     """
-    dates = sessions.select(entity, modality, "session_date").distinct()
-    near = dates.join(targets, entity).where(F.col("session_date") <= F.col("as_of_date"))
-    return near.groupBy(entity, "as_of_date", modality).agg(F.max("session_date").alias("session_date"))
+    dates = sessions.select(entity, modality, "session_date").where(F.col(entity).isNotNull() & F.col("session_date").isNotNull()).distinct()
+    asked = targets.select(entity, "as_of_date").where("as_of_date IS NOT NULL").distinct().join(dates.select(entity, modality).distinct(), entity)
+    date = dates.schema["session_date"].dataType
+    marks = dates.select(entity, modality, F.col("session_date").alias("_at"), "session_date", F.lit(None).cast(asked.schema["as_of_date"].dataType).alias("as_of_date"))
+    every = marks.unionByName(asked.select(entity, modality, F.col("as_of_date").alias("_at"), F.lit(None).cast(date).alias("session_date"), "as_of_date"))
+    # a session comes before a target of its date
+    forward = Window.partitionBy(entity, modality).orderBy("_at", F.col("as_of_date").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = every.withColumn("session_date", F.last("session_date", ignorenulls=True).over(forward))
+    return carried.where("as_of_date IS NOT NULL AND session_date IS NOT NULL").select(entity, "as_of_date", modality, "session_date")
 
 
 def asof_profiles(values: DataFrame, norms: DataFrame, entities: DataFrame, targets: DataFrame, entity: str = "entity") -> DataFrame:

@@ -81,7 +81,7 @@ def _finished(stream: DataFrame, mode: str = "complete", *, each=None) -> tuple[
     spark = stream.sparkSession
     at = scratch(spark)
     if each is not None:
-        return None, at, W.run_once(stream, f"{at}/checkpoint", each=each(at))
+        return None, at, W.run_once(stream, f"{at}/checkpoint", each=each(at), mode="update" if mode == "update" else "append")
     if mode == "append":
         W.run_once(stream, f"{at}/checkpoint", path=f"{at}/out", mode=mode)
         return spark.read.schema(stream.schema).parquet(f"{at}/out"), at, 0
@@ -105,6 +105,35 @@ def stream_latest(t: Tables) -> DataFrame:
     return t.events.sparkSession.read.parquet(f"{at}/state/v{n - 1}").select("user_id", "event_type", "event_id", "value")
 
 
+@query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def stream_latest_state(t: Tables) -> DataFrame:
+    """The same by a state of one row a key: a batch writes only what changes."""
+    spark = t.events.sparkSession
+    stream = _stream(t).select("user_id", "event_type", "ts", "event_id", "value")
+    with W.stateful(spark):
+        _, at, _ = _finished(W.latest_changes(stream, ["user_id", "event_type"], ["ts", "event_id"]), "update", each=lambda at: W.append_changes(f"{at}/changes"))
+    return W.latest_of_changes(spark.read.parquet(f"{at}/changes"), ["user_id", "event_type"]).select("user_id", "event_type", "event_id", "value")
+
+
+_CLOSED = "(SELECT max(ts) - INTERVAL 2 HOUR FROM events)"
+
+
+@query(
+    f"""WITH w AS (SELECT event_type, value, unnest(range(24)) AS k, date_trunc('hour', ts) AS h FROM events)
+    SELECT (h - k * INTERVAL 1 HOUR) AS window_start, event_type, {R4('sum(value)')} AS spent, count(*)::BIGINT AS n_calls FROM w WHERE h - k * INTERVAL 1 HOUR + INTERVAL 24 HOUR <= {_CLOSED} GROUP BY ALL"""
+)
+def stream_spend_append(t: Tables) -> DataFrame:
+    """Windows that the watermark has closed, each written once."""
+    out, _, _ = _finished(W.rolling_spend(_stream(t), "event_type", "value"), "append")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", r4("spent").alias("spent"), "n_calls")
+
+
+@query(f"SELECT ts::DATE AS day, event_type, {R4('avg(value)')} AS mean, count(*)::BIGINT AS n FROM events WHERE ts::DATE + INTERVAL 1 DAY <= {_CLOSED} GROUP BY ALL")
+def stream_daily_mean_append(t: Tables) -> DataFrame:
+    out, _, _ = _finished(W.daily_means(_stream(t), ["event_type"], "value"), "append")
+    return out.select("day", "event_type", r4("mean").alias("mean"), "n")
+
+
 @query(f"SELECT ts::DATE AS day, event_type, {R4('avg(value)')} AS mean, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def stream_daily_mean(t: Tables) -> DataFrame:
     out, _, _ = _finished(W.daily_means(_stream(t), ["event_type"], "value"))

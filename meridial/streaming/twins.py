@@ -6,10 +6,14 @@ Streams are given with a ``timestamp`` event time: Spark accepts no watermark on
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from meridial.sources.tables import upserted
 
@@ -49,6 +53,87 @@ def deduplicated(events: DataFrame, keys: Sequence[str], *, ts: str = "ts", late
     return event_time(events, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+class _Latest(StatefulProcessor):
+    """The latest row of each key as a state of one value; a row that changes it is handed on.
+
+    With ``idle``, a timer forgets a key that no event names for so many milliseconds of event time.
+    """
+
+    def __init__(self, columns: list[str], order: list[str], schema: StructType, ts: str, idle: int | None):
+        self.columns, self.order, self.schema, self.ts, self.idle = columns, order, schema, ts, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.row = handle.getValueState("row", self.schema)
+        self.timer = handle.getValueState("timer", StructType([StructField("at", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at = [self.columns.index(c) for c in self.order]
+        old = self.row.get()
+        best = None if old is None else tuple(old)
+        for batch in rows:
+            for r in batch[self.columns].itertuples(index=False, name=None):
+                if best is None or tuple(r[i] for i in at) > tuple(best[i] for i in at):
+                    best = r
+        if best is None or (old is not None and tuple(old) == best):
+            return
+        # the state takes Python's own values
+        best = tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v for v in best)
+        self.row.update(best)
+        if self.idle is not None:
+            due = int(pd.Timestamp(best[self.columns.index(self.ts)]).timestamp() * 1000) + self.idle
+            if self.timer.exists():
+                self.handle.deleteTimer(self.timer.get()[0])
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
+        yield pd.DataFrame([best], columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.row.clear()
+        self.timer.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def latest_changes(events: DataFrame, keys: Sequence[str], order: Sequence[str], *, ts: str = "ts", late: str = "2 hours", idle: int | None = None) -> DataFrame:
+    """A stream of the rows that become the latest of their key, by a state of one row a key.
+
+    A batch reads and writes the states of the keys that it names and no others.
+    Needs the RocksDB state store (``stateful``). ``idle`` (milliseconds) bounds
+    the states; without it every key is kept. A row without a place in the order
+    is never the latest.
+    """
+    rows = event_time(events, ts).withWatermark(ts, late).dropna(subset=list(order))
+    mode = "None" if idle is None else "EventTime"
+    own = _Latest(rows.columns, list(order), rows.schema, ts, idle)
+    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=own, outputStructType=rows.schema, outputMode="Update", timeMode=mode)
+
+
+@contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """The session with the state store that ``latest_changes`` needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def append_changes(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes a batch's changes to ``<path>/batch=<n>``; run again, it writes the same."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def latest_of_changes(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The latest rows: of each key the change of the last batch."""
+    columns = [c for c in changes.columns if c != "batch"]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*")
+
+
 def latest_upserts(keys: Sequence[str], order: Sequence[str], state: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps the latest row of each key as a table.
 
