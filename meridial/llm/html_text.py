@@ -4,24 +4,28 @@ A page is read into blocks of text in a tree of elements. A classifier looks at
 a block's own text, links and tag, and gives it a cost of being called content
 and one of being called boilerplate; these are the capacities of its edges to
 the two terminals of a graph. Containers whose tag or name says what they hold
-(an article, a menu) are nodes as well, tied to their terminal. Smoothness edges
-join every block to the nearest such container around it, and to the blocks
-before and behind it, the more strongly the nearer they stand in the tree. The
-minimum cut is the labelling with the least total cost: a short line or a list
-of links is boilerplate by its text, but content between the paragraphs of an
-article. Nodes whose terminal edges outweigh all their smoothness edges are
-settled first (which loses nothing); the rest is solved by Dinic's algorithm.
-
-Pages are read once from start to end. Elements know their parent only, and at
-most ``DEEPEST`` are open at once (of deeper ones some are left out), so time
-and memory grow with the length of a page, however it is nested or broken.
+(an article, a menu) are nodes as well. What a tag or name is worth is a finite
+capacity: one that can only mean boilerplate (``comments``, ``nav``) outweighs
+the text that the container holds, one that often does not (``more``,
+``related-work``) is worth as much as a paragraph or two, so longer text
+outweighs it. Smoothness edges join every block to the nearest container, a
+container to the one around it, and blocks to those before and behind them, the
+more strongly the nearer they stand in the tree. The minimum cut is the labelling
+with the least total cost: a short line is content between the paragraphs of an
+article, a list of links in it is not. Nodes whose terminal edges outweigh all
+their smoothness edges are settled first (which loses nothing); the rest is
+solved by Dinic's algorithm.
+
+Pages are read once from start to end. Where the open elements of a name stand is
+kept by name, so no end tag searches for its start, and time and memory grow with
+the length of a page, however it is nested or broken.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter, deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,41 +59,52 @@ _SPACE = re.compile(r"\s*")
 #: One attribute: its name, and its value in double, single or no quotes. Every
 #: character but space and ``/`` belongs to one, so matches never start in a value.
 _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
-#: Elements open at once.
-DEEPEST = 256
-
-#: What containers of boilerplate and of content are called.
-BAD_TAGS = frozenset("nav header footer aside form menu button fieldset dialog label input legend".split())
-BAD_NAMES = re.compile(
+#: What containers of boilerplate and of content are called. These tags say so for sure, those may hold an article's text.
+SURE_TAGS = frozenset("nav header footer form menu button dialog label input".split())
+WEAK_TAGS = frozenset("aside fieldset legend".split())
+_TAIL = r"(?:[-_]?(?:area|section|list|item|items|wrap|wrapper|box|container|content|inner|outer|banner|bar|block|unit|slot|notice|form|thread|panel|left|right|top|bottom|main|primary|secondary|\d+))*"
+_LEAD = r"(?:(?:site|page|global|post|article|user|reader|the|js|google)[-_])?"
+_ANYWHERE = r"ads?|adverts?|advertisements?|advertising|adsense|sponsored|cookies?|consent|gdpr|newsletter|comments?|commentlist|replies|disqus|copyright"
+_OUTSIDE = r"nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|footer|foot|sidebar|pagination|pager|contentinfo|complementary|banner|social|subscribe|signup|login|popup|modal|overlay"
+#: Whole names that are sure anywhere, and outside of articles.
+SURE_ANYWHERE = re.compile(rf"{_LEAD}(?:{_ANYWHERE}){_TAIL}", re.I)
+SURE_OUTSIDE = re.compile(rf"{_LEAD}(?:{_ANYWHERE}|{_OUTSIDE}){_TAIL}", re.I)
+#: Names of which a part speaks for boilerplate.
+WEAK_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|foot|sidebar\w*|aside|side|rail|widget\w*|related|recommend\w*|more|popular|trending|share|sharing|social|"
     r"cookies?|consent|gdpr|notice\w*|alert\w*|popup|pop|modal|overlay|newsletter|subscri\w*|signup|login|register|search\w*|form|comments?|comment\w*|respon[ds]\w*|replies|reply|disqus|discussion|"
     r"copyright|legal|disclaimer|pagination|pager|tags?|toolbar|skip|hidden|author-bio|byline-box|contentinfo|navigation|complementary|dialog)(?:$|[\s_\-0-9])",
     re.I,
 )
-#: Names that say so even of a single paragraph or heading of an article.
-BAD_LINES = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice\w*|newsletter|subscri\w*|comments?|copyright)(?:$|[\s_\-0-9])", re.I)
-BAD_ARTICLES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|comment\w*|replies|reply|related|recommend\w*)(?:$|[\s_\-0-9])", re.I)
+BAD_ARTICLES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|replies|reply|related|recommend\w*)(?:$|[\s_\-0-9])", re.I)
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|entry|post|story|body|text|page-content|articlebody|maincontent)(?:$|[\s_\-0-9])", re.I)
 #: Names of a head: of an article it holds the title.
 HEADS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_\-0-9])", re.I)
 #: Tags of lines of text; in an article their names say little.
 LINE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figure figcaption table tbody thead tr td th caption a b i em strong span small code sub sup u s q cite abbr time mark br img".split())
+#: Lines that ask a reader for something, and words of notices.
+_REQUEST = re.compile(r"^\W*(?:please )?(?:subscribe|sign (?:up|in)\b|log in\b|follow us|share (?:this|on)\b|read more|click here|advertisement\b|we use cookies|this (?:web)?site uses cookies|accept (?:all )?cookies)", re.I)
 _NOTICE = re.compile(r"\b(?:cookies?|all rights reserved|subscribe|newsletter|sign (?:up|in)|log in|privacy policy|terms of (?:use|service)|advertisement|sponsored)\b|©", re.I)
 
-#: Edges of a block to a container that is tagged or only named as what it is.
-TAGGED, NAMED = 6.0, 5.0
-CERTAIN = 1e9
+#: Edges of a block to its container: one that is sure, and any other.
+SURE_TIE, TIE = 5.0, 1.5
+#: Edges between a container and the one around it.
+NESTED = 1.0
+#: What a name is worth: always, and for each unit of what the container's text says against it if the name is sure.
+NAME, SURE_NAME = 4.0, 1.2
 
 
 class Element:
     """An open tag: what is around it, and the nearest container that says what it holds."""
 
-    __slots__ = ("block", "depth", "good", "hidden", "link", "name", "parent", "region", "tie")
+    __slots__ = ("block", "depth", "good", "hidden", "in_good", "link", "name", "outer", "parent", "region", "sealed", "sure")
 
     def __init__(self, name: str, above: Element | None, attributes: str):
         self.name = name
-        #: ``good`` is whether the region holds content (None without a region).
-        self.region, self.good, self.tie, self.hidden, self.link = (above.region, above.good, above.tie, above.hidden, above.link) if above else (None, None, 0.0, False, False)
+        #: The nearest region, whether it holds content (None without one), whether that is sure, and the region around it.
+        self.region, self.good, self.sure, self.outer = (above.region, above.good, above.sure, above.outer) if above else (None, None, False, None)
+        #: Whether any region around holds content, and whether all within is one region (a comment's article is a comment).
+        self.in_good, self.sealed, self.hidden, self.link = (above.in_good, above.sealed, above.hidden, above.link) if above else (False, False, False, False)
         #: The tree of blocks: the nearest element around this one that is a block.
         self.parent = above.block if above else None
         self.block = self if above is None or name in BLOCK_TAGS else above.block
@@ -105,26 +120,36 @@ class Element:
                 self.hidden = True
             elif what in ("class", "id", "role", "itemprop"):
                 said.append(value)
-        self._judge(" ".join(said))
+        if not self.sealed and name not in ("html", "body"):
+            self._judge(" ".join(said))
 
     def _judge(self, said: str) -> None:
-        name = self.name
-        if self.good is False or name in ("html", "body"):
-            return  # all that boilerplate holds is boilerplate
+        name, article = self.name, self.in_good
         if name in ("article", "main"):
-            self._hold(not (said and name == "article" and BAD_ARTICLES.search(said)), TAGGED)
-        elif name in BAD_TAGS:
-            if not (name == "header" and self.good):
-                self._hold(False, TAGGED)
+            bad = bool(said and name == "article" and BAD_ARTICLES.search(said))
+            self._hold(not bad, True)
+        elif name in SURE_TAGS:
+            if not (name == "header" and article):
+                self._hold(False, True)
+        elif name in WEAK_TAGS:
+            self._hold(False, name == "aside" and not article)
         elif said:
-            bad = BAD_LINES if self.good and name in LINE_TAGS else BAD_NAMES
-            if bad.search(said) and not (self.good and HEADS.search(said)):
-                self._hold(False, TAGGED if self.good else NAMED)
-            elif not self.good and name not in LINE_TAGS and GOOD_NAMES.search(said):
-                self._hold(True, NAMED)
-
-    def _hold(self, good: bool, tie: float) -> None:
-        self.region, self.good, self.tie = self, good, tie
+            sure = any((SURE_ANYWHERE if article else SURE_OUTSIDE).fullmatch(token) for token in said.split())
+            if sure:
+                self._hold(False, True)
+            elif name in LINE_TAGS:
+                return  # a line's name says little
+            elif WEAK_NAMES.search(said):
+                if not (article and HEADS.search(said)):
+                    self._hold(False, False)
+            elif not article and GOOD_NAMES.search(said):
+                self._hold(True, False)
+
+    def _hold(self, good: bool, sure: bool) -> None:
+        self.outer, self.region, self.good, self.sure = self.region, self, good, sure
+        self.in_good |= good
+        # a page may be one form
+        self.sealed = not good and sure and self.name != "form"
 
 
 class Block:
@@ -160,7 +185,10 @@ def blocks_of(source: str) -> list[Block]:
     """The page's blocks in page order, white space collapsed, references decoded."""
     out: list[Block] = []
     stack = [Element("", None, "")]
-    open_ = Counter()
+    #: where the open elements of each name stand in the stack, and the blocks among them
+    where: defaultdict[str, list[int]] = defaultdict(list)
+    block_at: list[int] = []
+    innermost = lambda names: max((where[n][-1] for n in names if where.get(n)), default=0)
     pieces: list[str] = []
     linked, at, size = 0, 0, len(source)
 
@@ -183,10 +211,12 @@ def blocks_of(source: str) -> list[Block]:
                 linked += len(said)
 
     def close(depth: int) -> None:
-        if any(e.name in BLOCK_TAGS for e in stack[depth:]):
+        if block_at and block_at[-1] >= depth:
             flush()
+        while block_at and block_at[-1] >= depth:
+            block_at.pop()
         for e in stack[depth:]:
-            open_[e.name] -= 1
+            where[e.name].pop()
         del stack[depth:]
 
     while at < size:
@@ -217,54 +247,35 @@ def blocks_of(source: str) -> list[Block]:
         if ending:
             if name == "br":
                 say(" ")
-            elif open_[name]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].name == name:
-                        close(depth)
-                        break
-                    # an end tag of running text does not reach over blocks
-                    if name not in BLOCK_TAGS and stack[depth].name in BLOCK_TAGS:
-                        break
+            elif where.get(name):
+                depth = where[name][-1]
+                # an end tag of running text does not reach over blocks
+                if name in BLOCK_TAGS or not block_at or block_at[-1] < depth:
+                    close(depth)
             continue
         attributes = source[named.end() : end]
-        if name in _P_ENDS and open_["p"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == "p":
-                    close(depth)
-                    break
-                if stack[depth].name in BLOCK_TAGS:
-                    break
+        if name in _P_ENDS and where.get("p") and where["p"][-1] == block_at[-1]:
+            close(where["p"][-1])
         if name in _CLOSES:
             closed, until = _CLOSES[name]
-            if any(open_[c] for c in closed):
-                for depth in range(len(stack) - 1, 0, -1):
-                    if until and stack[depth].name in until:
-                        break
-                    if stack[depth].name in closed:
-                        close(depth)
-                        if name != "tr":
-                            break
-                    elif stack[depth].name in BLOCK_TAGS and not until:
-                        break
+            depth = innermost(closed)
+            if depth and (depth > innermost(until) if until else depth == block_at[-1]):
+                # a row closes the cell in it too
+                close(next((d for d in where["tr"][-1:] if name == "tr" and d > innermost(until)), depth))
         if name in BLOCK_TAGS:
             flush()
         if name in VOID_TAGS:
             if name in ("br", "img", "hr", "input"):
                 say(" ")
             continue
-        if len(stack) >= DEEPEST:
-            # the innermost element that is no region gives way
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].region is not stack[d]), len(stack) - 1)
-            if stack[depth].name in BLOCK_TAGS:
-                flush()
-            open_[stack[depth].name] -= 1
-            del stack[depth]
         if name in _RAW_TAGS:
             raw = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, at)
             at = raw.end() if raw else size
         elif not (attributes.endswith("/") and name not in BLOCK_TAGS):
+            where[name].append(len(stack))
+            if name in BLOCK_TAGS:
+                block_at.append(len(stack))
             stack.append(Element(name, stack[-1], attributes))
-            open_[name] += 1
     flush()
     return out
 
@@ -283,8 +294,10 @@ def costs(b: Block) -> tuple[float, float]:
     content += min(1.5, words / 30)
     if b.text[-1] in ".!?:;\"'”»…":
         content += 0.3
-    if words < 40 and _NOTICE.search(b.text):
-        boilerplate += 1.2
+    if words < 15 and _REQUEST.search(b.text):
+        boilerplate += 4.0
+    elif words < 40 and _NOTICE.search(b.text):
+        boilerplate += 0.8
     return content, boilerplate
 
 
@@ -401,19 +414,42 @@ def distance(a: Element, b: Element) -> int:
 def graph(blocks: list[Block]) -> tuple[list[float], list[float], list[tuple[int, int, float]]]:
     """Capacities to both terminals and the edges of the page: its blocks, then its containers."""
     source, sink = map(list, zip(*(costs(b) for b in blocks), strict=True))
-    edges, nodes = [], {}
+    edges: list[tuple[int, int, float]] = []
+    nodes: dict[Element | None, int] = {}
     # on a page that says where its content is, whatever stands outside is none
-    outside = max((b.at.tie for b in blocks if b.at.good), default=0.0)
+    says = any(b.at.in_good for b in blocks)
+    against = defaultdict(float)
+
+    def node(region: Element | None) -> int:
+        """The region's node, joined to that of the region around it; None stands for what is outside of all."""
+        if region not in nodes:
+            nodes[region] = len(source)
+            source.append(0.0)
+            sink.append(0.0)
+        return nodes[region]
+
     for i, b in enumerate(blocks):
-        tie = b.at.tie if b.at.region else outside
-        if tie:
-            if b.at.region not in nodes:
-                nodes[b.at.region] = len(source)
-                source.append(CERTAIN if b.at.good else 0.0)
-                sink.append(0.0 if b.at.good else CERTAIN)
-            edges.append((i, nodes[b.at.region], tie))
+        region = b.at.region
+        if region or says:
+            good = bool(region and b.at.good)
+            # outside of what holds the content, a name that is not sure is as good as one that is
+            sure = (region.sure if region else True) or (says and not b.at.in_good)
+            edges.append((i, node(region), SURE_TIE if sure and not good else TIE))
+            against[region] += max(0.0, (sink[i] - source[i]) if good else (source[i] - sink[i]))
         if i:
             edges.append((i - 1, i, 1.5 / (1 + distance(blocks[i - 1].at, b.at))))
+    around = list(nodes)
+    for region in around:
+        while region is not None and (region.outer is not None or (says and not region.in_good)):
+            known = region.outer in nodes
+            edges.append((nodes[region], node(region.outer), NESTED))
+            if known:
+                break
+            region = region.outer
+    for region, i in nodes.items():
+        good = bool(region and region.good)
+        sure = (region.sure if region else True) or (says and not region.in_good)
+        (source if good else sink)[i] += NAME + (SURE_NAME * against[region] if sure or good else 0.0)
     return source, sink, edges
 
 

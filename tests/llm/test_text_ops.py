@@ -15,7 +15,7 @@ from conftest import SF
 
 from meridial.llm import queries
 from meridial.llm.chat import WindowMaker, escape, format_chats, parse, read_back, unescape
-from meridial.llm.html_text import blocks_of, graph, main_text, minimum_cut
+from meridial.llm.html_text import blocks_of, costs, graph, main_text, minimum_cut
 from meridial.llm.language_model import END, draw_tables, fit, log_stirling, predictive, score
 from meridial.llm.licenses import PHRASES, TEMPLATES, WORD, posted, scan_licenses
 from meridial.llm.quality import ByteNetwork, fit_quality, keep_quality, repeats, score_quality
@@ -374,6 +374,50 @@ def test_labelled_pages_and_what_the_cut_does():
         assert main_text(page) == " ".join(texts)
 
 
+_LONG = "This is a long paragraph of an article with many words that a reader wants to read, and it goes on for a while so that nobody doubts it. "
+
+
+def _pages(long, wrap):
+    """Pages whose names mislead, with what is left of them; ``wrap`` makes the article."""
+    p = f"<p>{long}</p>"
+    nav = '<div class="navbar"><a href="/a">Home</a> <a href="/b">About us</a></div>'
+    for name in ('section class="related-work"', 'div class="more"', 'div class="share-prices"', "fieldset", 'div class="search-results"', 'div id="notice-period"', 'section class="tags-in-html"', 'div class="sidebar-of-history"', 'div class="legal-history"'):
+        yield nav + wrap(f"{p}<{name}>{p}{p}</{name.split()[0]}>{p}"), [long] * 4
+    for name in ('section id="comments"', 'div class="comment-list"', 'div class="newsletter"', 'div class="ad-slot"', 'div class="cookie-banner"', "nav", "form"):
+        yield wrap(f"{p}{p}<{name}>{p}</{name.split()[0]}>") + nav, [long] * 2
+    links = "".join(f'<li><a href="/{i}">Story number {i}</a></li>' for i in range(4))
+    yield wrap(f"{p}<ul>{links}</ul>"), [long]
+    yield wrap(f"{p}<p>Subscribe to our newsletter</p>{p}"), [long] * 2
+    yield wrap(f"<h2>Related work</h2>{p}<p>No.</p>{p}<p><a href=x>One link</a></p>{p}"), ["Related work", long, "No.", long, "One link", long]
+
+
+def test_misleading_names_in_articles_and_without():
+    """The cut decides: its labels are neither those of the text alone nor those of the nearest container."""
+    kept, said, want, neither = Counter(), 0, 0, 0
+    for wrap in (lambda x: f"<article>{x}</article>", lambda x: f"<main><div>{x}</div></main>", lambda x: f'<div class="content">{x}</div>', lambda x: f"<div>{x}</div>"):
+        for page, texts in _pages(_LONG.strip(), wrap):
+            page = f"<html><body><div class=wrap>{page}</div></body></html>"
+            got = main_text(page)
+            if "<article>" in page or "<main>" in page:
+                assert got == " ".join(texts), page
+            a, b = Counter(got.split()), Counter(" ".join(texts).split())
+            kept, said, want = kept + (a & b), said + a.total(), want + b.total()
+            blocks = blocks_of(page)
+            side = minimum_cut(*graph(blocks))
+            for block, label in zip(blocks, side, strict=False):
+                by_text, by_name = costs(block)[0] > costs(block)[1], block.at.good
+                neither += label != by_text and by_name is not None and label != by_name
+                neither += label != by_name and by_name is False and by_text
+    assert 2 * kept.total() / (said + want) >= 0.98 and neither > 0
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_deep_pages_lose_nothing(n):
+    for tag in ("div", "section", "span", "b"):
+        page = f"<body><div class=wrap><article>{f'<{tag}>' * n}{_LONG}{f'</{tag}>' * n}<p>second sentence</p></article><footer>not this</footer>"
+        assert main_text(page) == _LONG.strip() + " second sentence"
+
+
 def test_hostile_pages_are_read_in_linear_time():
     pages = ["<div>x" * 40000, "<a " * 100000, '<a x="' * 60000, "<ul><li><ul>" + "<div>" * 10000 + "<li></li>" * 20000, "<b>" * 30000 + "<div></div>" * 20000, "<!--" * 60000, "<a " + "a=1 " * 60000 + ">x", "<" * 250000, "</p " * 60000]
     begin = time.process_time()
