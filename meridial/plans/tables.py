@@ -49,6 +49,36 @@ def type_map_cast(t: Tables) -> DataFrame:
     return S.as_types(t.part, types).select(*types)
 
 
+_ODD_SQL = """CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '\\N' WHEN 3 THEN 'a "' || p_name || '", b' WHEN 4 THEN p_name || chr(10) || 'second line' WHEN 5 THEN 'NULL' ELSE p_name END"""
+
+
+@query(f"SELECT p_partkey::BIGINT AS p_partkey, {_ODD_SQL} AS p_name, try_cast(p_size AS SMALLINT) AS p_size, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice END AS p_retailprice, count(*) OVER ()::BIGINT AS n_written FROM part")
+def snapshot_copy_form(t: Tables) -> DataFrame:
+    """The parts in copy form and back: nulls, empty texts, quotes, line ends and texts that look like a null."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    odd = F.when(k % 7 == 0, F.lit(None)).when(k % 7 == 1, "").when(k % 7 == 2, r"\N").when(k % 7 == 3, F.concat(F.lit('a "'), name, F.lit('", b'))).when(k % 7 == 4, F.concat(name, F.lit("\nsecond line"))).when(k % 7 == 5, "NULL").otherwise(name)
+    path = scratch(t.part.sparkSession)
+    n = S.write_copy_form(t.part.select("p_partkey", odd.alias("p_name"), "p_size", F.when(k % 3 > 0, F.col("p_retailprice")).alias("p_retailprice")), path)
+    types = {"p_partkey": "bigint", "p_name": "varchar", "p_size": "smallint", "p_retailprice": "double"}
+    return S.read_copy_form(t.part.sparkSession, path, types).withColumn("n_written", F.lit(n).cast("long"))
+
+
+@query("SELECT p_brand, count(*)::BIGINT AS n, sum(p_partkey)::BIGINT AS keys, (SELECT count(*) FROM part)::BIGINT AS n_written FROM part GROUP BY ALL")
+def reload_swap(t: Tables) -> DataFrame:
+    """A table written, then loaded again: readers see the new version."""
+    target = scratch(t.part.sparkSession)
+    S.reloaded(t.part.select("p_partkey", F.lit("old").alias("p_brand")), target, "part")
+    n = S.reloaded(t.part.select("p_partkey", "p_brand"), target, "part")
+    now = S.current(t.part.sparkSession, target, "part")
+    return now.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("keys"), F.lit(n).cast("long").alias("n_written"))
+
+
+@query("SELECT c_custkey, c_name, (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY c_acctbal, c_custkey) AS id FROM customer")
+def append_numbered(t: Tables) -> DataFrame:
+    """Customers appended behind the suppliers, numbered by balance."""
+    return S.numbered_after(t.supplier.select(F.col("s_suppkey").alias("id")), t.customer.select("c_custkey", "c_name", "c_acctbal"), ["c_acctbal", "c_custkey"]).drop("c_acctbal")
+
+
 @query("WITH n AS (SELECT trim(CASE p_partkey % 3 WHEN 0 THEN '# ' || p_name WHEN 1 THEN ' ' || p_name || ' ' ELSE ' ' END) AS name FROM part) SELECT name, count(*)::BIGINT AS n FROM n WHERE name <> '' AND NOT starts_with(name, '#') GROUP BY ALL")
 def name_list(t: Tables) -> DataFrame:
     m = F.col("p_partkey") % 3

@@ -6,11 +6,12 @@ import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meridial.functions.text import dose, taxonomy, template_id
+from meridial.sources.scratch import written
 
 #: Operational types and what they are stored as; anything else, and arrays of named base types, is text.
 SNAPSHOT_TYPES = {
@@ -29,6 +30,19 @@ def as_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.select(*(F.col(c).cast("string").try_cast(SNAPSHOT_TYPES.get(types.get(c, ""), "string")).alias(c) for c in df.columns))
 
 
+def reloaded(df: DataFrame, target: str, table: str) -> int:
+    """Write a table anew as a version of its own, then point to it; returns its rows.
+
+    Readers (``current``) see the old or the new whole, also if the write fails.
+    The rows are counted by the write itself.
+    """
+    version, seen = uuid.uuid4().hex, Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{target}/{table}/{version}")
+    rows = seen.get["n"]
+    df.sparkSession.createDataFrame([(version, rows)], "version string, n long").coalesce(1).write.mode("overwrite").parquet(f"{target}/{table}/_current")
+    return rows
+
+
 def snapshot(reader: Callable[[str], DataFrame], tables: Sequence[str], target: str, spark: SparkSession) -> DataFrame:
     """Write each table to a new version below ``target``; returns the audit log of the run.
 
@@ -40,17 +54,47 @@ def snapshot(reader: Callable[[str], DataFrame], tables: Sequence[str], target:
     log = []
     for name in tables:
         began, rows, error = time.time(), None, None
-        version = uuid.uuid4().hex
         try:
-            reader(name).write.parquet(f"{target}/{name}/{version}")
-            rows = spark.read.parquet(f"{target}/{name}/{version}").count()
-            spark.createDataFrame([(version, rows)], "version string, n long").write.mode("overwrite").parquet(f"{target}/{name}/_current")
+            rows = reloaded(reader(name), target, name)
         except Exception as e:  # noqa: BLE001  the next table must not suffer
             error = str(e).split("\n")[0][:500]
         log.append((name, "error" if error else "success", rows, round(time.time() - began, 3), error))
     return spark.createDataFrame(log, "table_name string, status string, n_rows long, seconds double, error string")
 
 
+#: How the copy form writes null: without quotes, which every value has.
+COPY_NULL = r"\N"
+_QUOTED = r'"(?:[^"]|"")*+"'
+
+
+def write_copy_form(df: DataFrame, path: str) -> int:
+    """CSV in which every value is quoted and a null is not; returns the rows, counted by the write itself."""
+    value = lambda c: F.concat(F.lit('"'), F.replace(F.col(f"`{c}`").cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+    seen = Observation()
+    rows = df.select(F.concat_ws(",", *(F.coalesce(value(c), F.lit(COPY_NULL)) for c in df.columns)).alias("value"))
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.text(path)
+    return seen.get["n"]
+
+
+def read_copy_form(spark: SparkSession, path: str, types: Mapping[str, str], *, line_ends: bool = True) -> DataFrame:
+    r"""The table of files in copy form: ``types`` are the operational types of its columns, in order.
+
+    ``\N`` without quotes is null; the same in quotes, an empty text, quotes and
+    line ends are values. With ``line_ends`` a file is taken whole, as a record
+    may have several lines; without, lines are records and large files are split.
+    A record of fewer values has nulls, further values are left out.
+    """
+    if line_ends:
+        files = spark.read.text(path, wholetext=True)
+        records = files.select(F.explode(F.regexp_extract_all("value", F.lit(rf'(?:{_QUOTED}|[^"\n])++'), F.lit(0))).alias("value"))
+    else:
+        records = spark.read.text(path).where("value != ''")
+    fields = F.regexp_extract_all(F.concat(F.lit(","), F.regexp_replace("value", r"\r$", "")), F.lit(rf',({_QUOTED}|[^,"]*+)'), F.lit(1))
+    plain = lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).when(x != COPY_NULL, x)
+    rows = records.select(F.transform(fields, plain).alias("f"))
+    return as_types(rows.select(*(F.get("f", F.lit(i)).alias(c) for i, c in enumerate(types))), types)
+
+
 def current(spark: SparkSession, target: str, table: str) -> DataFrame:
     """The version of a snapshot that its pointer names."""
     version = spark.read.parquet(f"{target}/{table}/_current").first()["version"]
@@ -81,9 +125,19 @@ def with_ids(new: DataFrame, keys: Sequence[str], name: str = "id") -> DataFrame
 
 
 def numbered_after(old: DataFrame, new: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
-    """Ids that go on after the largest old one, in the given order (for small appends)."""
-    top = old.agg(F.coalesce(F.max(name), F.lit(0)).alias("_top"))
-    return new.withColumn("_n", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(top)).withColumn(name, F.col("_top") + F.col("_n")).drop("_n", "_top")
+    """Ids that go on after the largest old one, in the given order.
+
+    Rows are dealt by ranges of the order and numbered within each; a range goes
+    on where those before it end, so no task sees all rows. Rows that are alike
+    in the order are numbered in any one.
+    """
+    dealt = written(new.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    # one row a range
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    top = old.agg(F.coalesce(F.max(name), F.lit(0))).first()[0]
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(before), "_range").withColumn(name, F.lit(top) + F.col("_before") + own).drop("_range", "_before")
 
 
 CATALOGUE = T.StructType().add("index", T.MapType(T.StringType(), T.StructType().add("description", "string").add("made_for_athletes", T.ArrayType(T.StringType())).add("notes", "string"))).add(
