@@ -8,23 +8,65 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridial.functions.rows import zscore
+from meridial.sources.scratch import written
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
-def norm_stats(values: DataFrame, keys: Sequence[str], *, min_obs: int = 5, probs: Sequence[float] = QUANTILES, approximate: bool = False, metrics: Sequence[str] | None = None) -> DataFrame:
+def norm_stats(values: DataFrame, keys: Sequence[str], *, min_obs: int = 5, probs: Sequence[float] = QUANTILES, approximate: bool = False, spread: bool = False, metrics: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation and quantiles of ``value`` per group of ``keys``.
 
-    All quantiles come from one pass; ``approximate`` bounds their memory at
-    scale. Groups under ``min_obs`` are left out.
+    All quantiles come from one pass, which holds a group's distinct values in
+    a task; ``approximate`` bounds that, ``spread`` does without and stays exact.
+    Groups under ``min_obs`` are left out.
     """
     if metrics is not None:
         values = values.where(F.col("metric_key").isin(list(metrics)))
+    if spread:
+        sums = values.groupBy(*keys).agg(F.count("value").alias("n_observations"), F.avg("value").alias("mean_value"), F.stddev_samp("value").alias("std_value")).where(F.col("n_observations") >= min_obs)
+        q = spread_quantiles(values, keys, probs).select(*(F.col(k).alias(f"_{k}") for k in keys), "_q")
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        return _quantile_columns(sums.join(q, same), keys, probs)
     array = F.array(*(F.lit(p) for p in probs))
     q = F.percentile_approx("value", list(probs), 10_000) if approximate else F.percentile("value", array)
     out = values.groupBy(*keys).agg(F.count("value").alias("n_observations"), F.avg("value").alias("mean_value"), F.stddev_samp("value").alias("std_value"), q.alias("_q")).where(F.col("n_observations") >= min_obs)
+    return _quantile_columns(out, keys, probs)
+
+
+def _quantile_columns(rows: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
     names = [f"p{round(100 * p):02d}" for p in probs]
-    return out.select(*keys, "n_observations", "mean_value", "std_value", *(F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    return rows.select(*keys, "n_observations", "mean_value", "std_value", *(F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)))
+
+
+def spread_quantiles(values: DataFrame, keys: Sequence[str], probs: Sequence[float] = QUANTILES, value: str = "value") -> DataFrame:
+    """``keys`` and ``_q``: exact interpolated quantiles, however many values a group has.
+
+    Values are dealt by ranges of (keys, value), so a large group is many tasks'
+    and none holds it. A group's ranges are counted; the two ranks at each
+    probability are then rows of a known place in a known range. Nulls do not
+    count; null keys are a group.
+    """
+    dealt = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).repartitionByRange(*keys, "_v")
+    rows = written(dealt.withColumn("_range", F.spark_partition_id()))
+    group = F.struct(*keys) if keys else F.lit(0)
+    # one row a group and range
+    sizes = rows.groupBy(group.alias("_g"), "_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.withColumn("_all", F.sum("_n").over(Window.partitionBy("_g")))
+    at = lambda p: F.lit(float(p)) * (F.col("_all") - 1)
+    ranks = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), at(p).alias("at"), r(at(p)).cast("long").alias("rank")) for i, p in enumerate(probs) for r in (F.floor, F.ceil)))).alias("w")
+    wanted = before.select("_g", "_range", "_n", "_before", ranks).where("w.rank >= _before AND w.rank < _before + _n")
+    wanted = wanted.select("_g", "_range", (F.col("w.rank") - F.col("_before")).alias("_place"), "w").distinct()
+    place = F.row_number().over(Window.partitionBy("_g", "_range").orderBy("_v")) - 1
+    numbered = rows.select(group.alias("_g"), "_range", "_v").withColumn("_place", place)
+    met = numbered.join(wanted, (numbered["_g"].eqNullSafe(wanted["_g"])) & (numbered["_range"] == wanted["_range"]) & (numbered["_place"] == wanted["_place"])).select(numbered["_g"], "_v", "w")
+    # between the two values at a probability, or the one
+    each = met.groupBy("_g", "w.i").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.max("w.at").alias("_at"))
+    each = each.withColumn("q", F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at")))
+    out = each.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("_s")).withColumn("_q", F.transform("_s", lambda s: s["q"]))
+    return out.select(*(F.col(f"_g.{k}").alias(k) for k in keys), "_q")
 
 
 def asof_sessions(sessions: DataFrame, targets: DataFrame, entity: str = "entity", modality: str = "modality") -> DataFrame:

@@ -55,6 +55,12 @@ def norm_stats_wide(t: Tables) -> DataFrame:
     return rounded(norms.norm_stats(values.join(groups(t), "entity"), ["metric_key", "age_group"]))
 
 
+@query(f"WITH l AS (SELECT l_returnflag, l_extendedprice AS value FROM lineitem) SELECT l_returnflag, {_STATS} FROM l GROUP BY ALL HAVING count(value) >= 5")
+def norm_stats_spread(t: Tables) -> DataFrame:
+    """Three groups of all order lines: quantiles by ranges, no group in one task."""
+    return rounded(norms.norm_stats(t.lineitem.select("l_returnflag", F.col("l_extendedprice").alias("value")), ["l_returnflag"], spread=True))
+
+
 @query(f"SELECT user_id, event_type, count(*)::BIGINT AS n, {R4('avg(try_cast(json_extract_string(props, ' + chr(39) + '$.k' + chr(39) + ') AS DOUBLE))')} AS mean_k FROM events WHERE json_exists(props, '$.k') GROUP BY ALL")
 def json_metric_mean(t: Tables) -> DataFrame:
     e = t.events.withColumn("m", X.json_map("props")).where(X.has_key("m", "k"))

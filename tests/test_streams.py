@@ -82,3 +82,12 @@ def test_asof_sessions_equal_all_pairs(spark, seed):
     want = sorted({(e, d, m, max(s[2] for s in sessions if s[0] == e and s[1] == m and s[2] and s[2] <= d)) for e, d in targets if e and d for m in "xy" if any(s[0] == e and s[1] == m and s[2] and s[2] <= d for s in sessions)})
     df = norms.asof_sessions(spark.createDataFrame(sessions, "entity int, modality string, session_date date, value double"), spark.createDataFrame(targets, "entity int, as_of_date date"))
     assert sorted((r["entity"], r["as_of_date"], r["modality"], r["session_date"]) for r in df.collect()) == want
+
+
+def test_spread_quantiles_equal_percentiles(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, rng.randint(0, 5) * 1.0, rng.uniform(-3, 3)])) for _ in range(500)] + [("one", 2.5), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(5)
+    norm = lambda **kw: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in norms.norm_stats(df, ["g"], min_obs=1, **kw).collect()), key=repr)
+    assert norm(spread=True) == norm() and len(norm()) == 5
+    assert norms.spread_quantiles(df.where("false"), ["g"]).count() == 0
