@@ -33,11 +33,17 @@ def _gram_length(least: float, kind: str) -> int:
     return 1 if kind == "difflib" or least < 0.6 else 2 if least < 0.85 else 3
 
 
-def _grams(text: Column, q: int) -> Column:
-    """The grams of a text with marks before and behind it, each with the number of its kind so far; an empty text has one."""
-    padded = F.concat(F.lit("\x01" * (q - 1)), text, F.lit("\x02" * (q - 1)))
+def _with_grams(texts: DataFrame, name: str, q: int) -> DataFrame:
+    """Column ``name``: the grams of ``_text`` with marks before and behind it, each with the number of its kind so far, as hashes.
+
+    An empty text has one gram. The sorted grams are a column of their own, so
+    that they are not made again for each of them.
+    """
+    padded = F.concat(F.lit("\x01" * (q - 1)), F.col("_text"), F.lit("\x02" * (q - 1)))
     each = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.substring(padded, i, F.lit(q))))
-    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(F.transform(each, lambda g, i: F.concat(g, (i - F.array_position(each, g)).cast("string"))))
+    rows = texts.withColumn("_each", F.when(F.length("_text") == 0, F.array(F.lit(""))).otherwise(each))
+    numbered = F.transform("_each", lambda g, i: F.xxhash64(F.concat(g, (i - F.array_position("_each", g)).cast("string"))))
+    return rows.withColumn(name, numbered).drop("_each")
 
 
 def _must_share(a: Column, b: Column, least: float, kind: str, q: int) -> Column:
@@ -61,7 +67,7 @@ def _prefixes(texts: DataFrame, frequency: DataFrame, least: float, kind: str, q
     ranked = each.groupBy(*on, "_text").agg(F.array_sort(F.collect_list(F.struct("_n", "_gram"))).alias("_ranked"))
     grams = F.transform("_ranked", lambda r: r["_gram"])
     rarest = F.slice(grams, F.lit(1), F.greatest(F.size("_ranked") - F.greatest(share, F.lit(1)) + 1, F.lit(1)).cast("int"))
-    return ranked.select(*on, "_text", grams.alias("_grams"), rarest.alias("_rarest"))
+    return _with_grams(ranked.select(*on, "_text", grams.alias("_grams"), rarest.alias("_rarest")), "_chars", 1)
 
 
 def candidates(left: DataFrame, right: DataFrame, a: str, b: str, least: float, kind: str, on: Sequence[str] = ()) -> DataFrame:
@@ -72,17 +78,17 @@ def candidates(left: DataFrame, right: DataFrame, a: str, b: str, least: float,
     a pair is taken where its first common gram is. Then all grams are counted.
     """
     q = _gram_length(least, kind)
-    side = lambda df, text: df.select(*on, F.col(text).alias("_text")).where(F.col(text).isNotNull()).distinct().withColumn("_grams", _grams(F.col("_text"), q))
+    side = lambda df, text: _with_grams(df.select(*on, F.col(text).alias("_text")).where(F.col(text).isNotNull()).distinct(), "_grams", q)
     x, y = side(left, a), side(right, b)
     frequency = x.select("_grams").unionByName(y.select("_grams")).select(F.explode("_grams").alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
-    post = lambda df, name: _prefixes(df, frequency, least, kind, q, on).select(*on, F.col("_text").alias(f"_{name}"), F.col("_grams").alias(f"_{name}_grams"), F.col("_rarest").alias(f"_{name}_rarest"), F.explode("_rarest").alias("_gram"))
+    post = lambda df, name: _prefixes(df, frequency, least, kind, q, on).select(*on, F.col("_text").alias(f"_{name}"), F.col("_grams").alias(f"_{name}_grams"), F.col("_rarest").alias(f"_{name}_rarest"), F.col("_chars").alias(f"_{name}_chars"), F.explode("_rarest").alias("_gram"))
     met = post(x, "a").join(post(y, "b"), [*on, "_gram"])
     la, lb = F.length("_a"), F.length("_b")
     first = F.get(F.array_intersect("_a_rarest", "_b_rarest"), F.lit(0)) == F.col("_gram")
     enough = F.size(F.array_intersect("_a_grams", "_b_grams")) >= _must_share(la, lb, least, kind, q)
     if q > 1:
         # longer grams find pairs, single characters rule more of them out
-        enough = enough & (F.size(F.array_intersect(_grams(F.col("_a"), 1), _grams(F.col("_b"), 1))) >= _must_share(la, lb, least, kind, 1))
+        enough = enough & (F.size(F.array_intersect("_a_chars", "_b_chars")) >= _must_share(la, lb, least, kind, 1))
     # two empty texts are alike; their one gram stands for no character
     return met.where(first).where(enough | ((la == 0) & (lb == 0))).select(*on, "_a", "_b")
 
