@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridial.llm import _text
-from meridial.llm._work import cut, drop
+from meridial.llm._work import cut, drop, release
 
 U = np.uint64
 END = int(_text.mix(np.array([0xE0F], U)).view(np.int64)[0])
@@ -260,7 +260,7 @@ def fit(docs: DataFrame, *, text: str = "text", sweeps: int = 4, burn_in: int =
     inner = contexts.select("g", "c", "n1", F.col("n").alias("t"), F.expr("cast(array() as array<bigint>)").alias("tables"))
     outer = words.select("w", F.col("c").alias("size"), "n1", F.col("n").alias("c"), F.lit(1).cast("long").alias("t"), F.expr("cast(array() as array<double>)").alias("q"))
     now = Totals(many, v)
-    used = []
+    used, before = [], (contexts, words)
     for s in range(sweeps):
         asked = _attach(multi, "w", outer.select("w", F.col("size"), bare.parent(F.col("c"), F.col("t"), now).alias("base")), n, "size").drop("size")
         asked = _attach(asked, "g", inner.select("g", F.col("c").alias("size"), F.col("t").alias("others")), n, "size").drop("size")
@@ -270,15 +270,21 @@ def fit(docs: DataFrame, *, text: str = "text", sweeps: int = 4, burn_in: int =
         total = (F.col("n1") + F.coalesce("more", F.lit(0))).alias("t")
         inner = inner.drop("t").join(tables("g"), "g", "left").select("g", "c", "n1", total, "tables")
         inner = cut(inner.withColumn("tables", F.array_append("tables", F.col("t"))) if keep else inner)
+        written = [drawn, inner]
         seats = outer.drop("c").join(tables("w"), "w", "left").select("w", "size", "n1", total.alias("c"), "t", "q")
         seats = seats.withColumns({"g": F.lit(0).cast("long"), "t": F.least("t", "c"), "others": F.lit(now.parent_tables).cast("long"), "base": F.lit(1 / (v + 1))})
-        outer = cut(seats.mapInArrow(_draws(bare, 50021 + s, True), seats.drop("others", "base").schema)).drop("g")
+        outer = cut(seats.mapInArrow(_draws(bare, 50021 + s, True), seats.drop("others", "base").schema))
+        written.append(outer)
+        outer = outer.drop("g")
         now = Totals(*outer.agg(F.sum("c"), F.sum("t")).first(), at=len(used))
         if keep:
             outer = outer.withColumn("q", F.array_append("q", bare.parent(F.col("c"), F.col("t"), now)))
             used.append(now)
         multi = drawn.withColumn("sum", F.col("sum") + F.col("t")) if keep else drawn
-    drop(words)
+        # a sweep reads what the last one wrote, and nothing older
+        drop(*before)
+        before = written
+        release(docs.sparkSession)
     contexts = inner.select("g", "c", "tables")
     for h in used:
         h.contexts = contexts
