@@ -37,18 +37,19 @@ def user_backref(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT l_orderkey, CASE WHEN l_linenumber < 4 THEN l_suppkey END AS s_suppkey FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3)
+    """WITH l AS (SELECT l_orderkey, CASE WHEN l_linenumber < 4 AND l_returnflag = 'R' THEN l_suppkey END AS s_suppkey FROM lineitem), n AS (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3)
     SELECT o_orderkey, 'bridge' AS component, coalesce(n_name, 'unknown') AS category, count(*)::BIGINT AS n, count(DISTINCT n_nationkey)::BIGINT AS unique_count
     FROM orders LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN supplier USING (s_suppkey) LEFT JOIN n ON n_nationkey = s_nationkey GROUP BY ALL"""
 )
 def bridge_breakdown(t: Tables) -> DataFrame:
-    link = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_linenumber") < 4, F.col("l_suppkey")).alias("s_suppkey"))
+    held = (F.col("l_linenumber") < 4) & (F.col("l_returnflag") == "R")
+    link = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.when(held, F.col("l_suppkey")).alias("s_suppkey"))
     bridge = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
     target = t.nation.where("n_regionkey < 3").select("n_nationkey", "n_name")
     return links.bridged_breakdown(t.orders, "o_orderkey", link, bridge, target, link_key="s_suppkey", bridge_key="n_nationkey", group=F.col("n_name"), component="bridge")
 
 
-_LINK = "l AS (SELECT l_orderkey, CASE WHEN l_linenumber < 4 THEN l_suppkey END AS s_suppkey FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3)"
+_LINK = "l AS (SELECT l_orderkey, CASE WHEN l_linenumber < 4 AND l_returnflag = 'R' THEN l_suppkey END AS s_suppkey FROM lineitem), n AS (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3)"
 
 
 @query(
