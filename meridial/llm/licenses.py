@@ -177,8 +177,10 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     none = F.expr("array()").cast("array<struct<t:int,start:int>>")
     # a file without the rarest word of any mandatory phrase is not looked up
     found = base.withColumn("places", F.when(F.exists(words, lambda w: w.isin(sorted(anchors))), F.array_sort(proposed)).otherwise(none))
-    # two posted words agree where a place stands twice in the sorted list
-    twice = F.array_distinct(F.filter(F.col("places"), lambda x, i: x == F.get("places", i + 1)))
+    # two posted words agree where a place stands twice in the sorted list; a template of one word has one
+    short = [i for i, t in enumerate(every) if len(t.words) == 1]
+    agreed = lambda x, i: (x == F.get("places", i + 1)) | x["t"].isin(short) if short else x == F.get("places", i + 1)
+    twice = F.array_distinct(F.filter(F.col("places"), agreed))
     first = lambda c: c["start"] + F.get(offsets, c["t"])
     stands = lambda c: (first(c) >= 0) & (F.slice(words, F.greatest(first(c) + 1, F.lit(1)), F.size(F.get(musts, c["t"]))) == F.get(musts, c["t"]))
     found = found.withColumn("places", F.filter(twice, stands))

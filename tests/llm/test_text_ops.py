@@ -49,6 +49,12 @@ def licence_facts(text):
     return len(w), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits}))
 
 
+def test_phrases_of_one_word(spark):
+    texts = ["WTFPL, v2; wtfpl", "the mit license", None, "wtf pl"]
+    rows = {r["doc_id"]: r for r in scan_licenses(docs(spark, texts), phrases={"wtfpl": "wtfpl", "mit license": "mit"}).collect()}
+    assert [(rows[i]["n_base"], rows[i]["first_word"], rows[i]["last_word"], rows[i]["base_labels"]) for i in range(4)] == [(2, 0, 2, "wtfpl"), (1, 1, 1, "mit"), (0, None, None, ""), (0, None, None, "")]
+
+
 def test_licences_equal_brute_force(spark):
     texts = ODD + LICENCES
     rows = {r["doc_id"]: r for r in scan_licenses(docs(spark, texts)).collect()}
