@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from meridial.sources.scratch import written
+
 
 @pandas_udf(DoubleType())
 def text_ratio(query: pd.Series, candidate: pd.Series) -> pd.Series:
@@ -79,8 +81,10 @@ def candidates(left: DataFrame, right: DataFrame, a: str, b: str, least: float,
     """
     q = _gram_length(least, kind)
     side = lambda df, text: _with_grams(df.select(*on, F.col(text).alias("_text")).where(F.col(text).isNotNull()).distinct(), "_grams", q)
-    x, y = side(left, a), side(right, b)
+    # each side is read three times, and may be a long plan
+    x, y = written(side(left, a)), written(side(right, b))
     frequency = x.select("_grams").unionByName(y.select("_grams")).select(F.explode("_grams").alias("_gram")).groupBy("_gram").agg(F.count("*").alias("_n"))
+    frequency = written(frequency)
     post = lambda df, name: _prefixes(df, frequency, least, kind, q, on).select(*on, F.col("_text").alias(f"_{name}"), F.col("_grams").alias(f"_{name}_grams"), F.col("_rarest").alias(f"_{name}_rarest"), F.col("_chars").alias(f"_{name}_chars"), F.explode("_rarest").alias("_gram"))
     met = post(x, "a").join(post(y, "b"), [*on, "_gram"])
     la, lb = F.length("_a"), F.length("_b")
