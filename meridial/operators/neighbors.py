@@ -12,6 +12,20 @@ from meridial.operators.norms import top
 from meridial.sources.scratch import written
 
 
+def scored(pairs: DataFrame, width: int, min_common: int) -> DataFrame:
+    """``target, neighbour, distance, n_common`` of rows with two arrays ``_a`` and ``_b``; nulls are missing."""
+    if width <= 128:  # written out, so that it is compiled
+        gaps = [F.get("_a", F.lit(i)) - F.get("_b", F.lit(i)) for i in range(width)]
+        total = sum((F.coalesce(g * g, F.lit(0.0)) for g in gaps), F.lit(0.0))
+        common = sum((F.when(g.isNull(), 0).otherwise(1) for g in gaps), F.lit(0))
+    else:
+        gaps = F.zip_with("_a", "_b", lambda x, y: x - y)
+        total = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0)))
+        common = F.size(F.array_compact(gaps))
+    sums = pairs.select("target", "neighbour", total.alias("_s"), common.cast("long").alias("n_common")).where(F.col("n_common") >= min_common)
+    return sums.select("target", "neighbour", F.round(F.sqrt(F.try_divide("_s", "n_common")) + 1e-9, 3).alias("distance"), "n_common")
+
+
 def _nearest(packed: DataFrame, width: int, block: Sequence[str], k: int, min_common: int, targets: DataFrame | None = None) -> DataFrame:
     """The ``k`` nearest of each entity by arrays ``_v`` of ``width`` values (nulls: missing), within blocks.
 
@@ -23,19 +37,20 @@ def _nearest(packed: DataFrame, width: int, block: Sequence[str], k: int, min_co
     left = packed.select(*block, F.col("_e").alias("target"), F.col("_v").alias("_a"))
     if targets is not None:
         left = left.join(targets.select(F.col(targets.columns[0]).alias("target")).distinct(), "target", "left_semi")
-    if width <= 128:  # written out, so that it is compiled
-        gaps = [F.get("_a", F.lit(i)) - F.get("_b", F.lit(i)) for i in range(width)]
-        total = sum((F.coalesce(g * g, F.lit(0.0)) for g in gaps), F.lit(0.0))
-        common = sum((F.when(g.isNull(), 0).otherwise(1) for g in gaps), F.lit(0))
-    else:
-        gaps = F.zip_with("_a", "_b", lambda x, y: x - y)
-        total = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0)))
-        common = F.size(F.array_compact(gaps))
-    pairs = left.join(side, list(block)).where("target != neighbour").select("target", "neighbour", total.alias("_s"), common.cast("long").alias("n_common"))
-    near = pairs.where(F.col("n_common") >= min_common).select("target", "neighbour", F.round(F.sqrt(F.col("_s") / F.col("n_common")) + 1e-9, 3).alias("distance"), "n_common")
+    pairs = left.join(side, list(block)).where("target != neighbour")
+    near = scored(pairs.select("target", "neighbour", "_a", "_b"), width, min_common)
     return top(near, ["target"], k, "distance", "neighbour", rank="place")
 
 
+def packed_profiles(profiles: DataFrame, entity: str, block: Sequence[str], *, metric: str = "metric_key", value: str = "z") -> tuple[DataFrame, int]:
+    """Long profiles as one array ``_v`` an entity ``_e``, in the order of the catalogue of metrics, and its length."""
+    rows = profiles.where(F.col(value).isNotNull())
+    catalogue = sorted(r[0] for r in rows.select(metric).distinct().where(F.col(metric).isNotNull()).collect())
+    held = rows.groupBy(*block, F.col(entity).alias("_e")).agg(F.map_from_entries(F.collect_list(F.struct(metric, F.col(value).cast("double")))).alias("_m"))
+    names = F.array(*map(F.lit, catalogue)) if catalogue else F.array().cast("array<string>")
+    return held.select(*block, "_e", F.transform(names, lambda m: F.try_element_at(F.col("_m"), m)).alias("_v")), len(catalogue)
+
+
 def knn_profiles(profiles: DataFrame, entity: str, block: Sequence[str], *, k: int = 10, min_common: int = 5, metric: str = "metric_key", value: str = "z", targets: DataFrame | None = None) -> DataFrame:
     """``target, neighbour, distance, n_common, place`` within blocks (age group, role).
 
@@ -44,12 +59,8 @@ def knn_profiles(profiles: DataFrame, entity: str, block: Sequence[str], *, k: i
     ranked, then by id. Long profiles are packed into one array an entity, in the
     order of the catalogue of metrics (some hundred names, read by the driver).
     """
-    rows = profiles.where(F.col(value).isNotNull())
-    catalogue = sorted(r[0] for r in rows.select(metric).distinct().where(F.col(metric).isNotNull()).collect())
-    held = rows.groupBy(*block, F.col(entity).alias("_e")).agg(F.map_from_entries(F.collect_list(F.struct(metric, F.col(value).cast("double")))).alias("_m"))
-    names = F.array(*map(F.lit, catalogue)) if catalogue else F.array().cast("array<string>")
-    packed = held.select(*block, "_e", F.transform(names, lambda m: F.try_element_at(F.col("_m"), m)).alias("_v"))
-    return _nearest(packed, len(catalogue), block, k, min_common, None if targets is None else targets.select(entity))
+    packed, width = packed_profiles(profiles, entity, block, metric=metric, value=value)
+    return _nearest(packed, width, block, k, min_common, None if targets is None else targets.select(entity))
 
 
 def knn_dense(vectors: DataFrame, entity: str, vector: str, block: Sequence[str], *, k: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from meridial.functions import text as T
 from meridial.operators import compare as C
 from meridial.operators import neighbors as N
 from meridial.operators import resolve as S
+from meridial.operators import tiles
 from meridial.operators.norms import top
 from meridial.plans.programs import classify_sql
 from meridial.plans.registry import R4, Tables, query, r4
@@ -47,6 +48,20 @@ def knn_dense(t: Tables) -> DataFrame:
     return N.knn_dense(t.embeddings, "vec_id", "embedding", ["label"], k=5)
 
 
+@query(f"WITH {_KNN.replace('a.c_nationkey = b.c_nationkey AND ', '')} SELECT * FROM k")
+def knn_sparse_tiled(t: Tables) -> DataFrame:
+    return tiles.knn_tiled(_long(t), "c_custkey", ["c_mktsegment"], k=10, min_common=3)
+
+
+@query(
+    """WITH d AS (SELECT a.vec_id AS target, b.vec_id AS neighbour, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)) / len(a.embedding)) + 1e-9, 3) AS distance
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+    SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, neighbour)::INT AS place FROM d QUALIFY place <= 5"""
+)
+def knn_dense_tiled(t: Tables) -> DataFrame:
+    return tiles.knn_dense_tiled(t.embeddings, "vec_id", "embedding", width=64, k=5)
+
+
 @query(
     f"""WITH a AS (SELECT n_nationkey AS family, '00' || n_nationkey AS anchor FROM nation), s AS (SELECT family, anchor, c_custkey, c_acctbal FROM a JOIN customer ON contains(lower(c_name), lower(anchor)) QUALIFY row_number() OVER (PARTITION BY family, anchor ORDER BY c_custkey) = 1),
     d AS (SELECT c.c_custkey, family, round(abs(c.c_acctbal - s.c_acctbal) + 1e-9, 3) AS distance, s.c_custkey AS anchor FROM customer c JOIN s ON c.c_custkey <> s.c_custkey),

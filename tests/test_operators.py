@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from meridial.operators import biomech, cadence, compare, corpus, facts, neighbors, norms, payload, programs, resolve
+from meridial.operators import biomech, cadence, compare, corpus, facts, neighbors, norms, payload, programs, resolve, tiles
 from meridial.sources import tables
 
 D = datetime.date
@@ -274,3 +274,47 @@ def test_documents_survive_the_way_there_and_back(spark):
     assert one["unmatched"] == ["zz"] and one["days"] == [{"day": 3, "component": "lift", "session": "s1"}]
     broken = spark.createDataFrame([(1, "{"), (2, None), (3, "{}")], "entity int, payload string")
     assert payload.flattened(broken, "entity").count() == 0
+
+
+def _all_pairs(rows, k, least):
+    """``rows``: {entity: (block, {metric: value})}."""
+    out = []
+    for a, (g, va) in rows.items():
+        near = []
+        for b, (h, vb) in rows.items():
+            both = va.keys() & vb.keys()
+            if a != b and g is not None and g == h and len(both) >= least:
+                near.append((round((sum((va[m] - vb[m]) ** 2 for m in both) / len(both)) ** 0.5 + 1e-9, 3), b, len(both)))
+        out += [(a, b, d, n, i) for i, (d, b, n) in enumerate(sorted(near)[:k], 1)]
+    return sorted(out)
+
+
+def test_tiles_lose_no_neighbour(spark):
+    rng = random.Random(7)
+    rows = {}
+    for e in range(700):
+        at = rng.choice([-9.0, 0.0, 4.0, 11.0])
+        # gaps, equal profiles, a block of one, entities without a block
+        held = {f"m{i}": round(at + rng.random() * (0 if e % 9 == 0 else 2), 3) for i in range(8) if rng.random() < 0.85}
+        rows[e] = ("one" if e == 1 else None if e % 50 == 3 else "small" if e % 20 == 4 else "big", held)
+    long = spark.createDataFrame([(e, g, m, v) for e, (g, held) in rows.items() for m, v in held.items()], "entity int, grp string, metric_key string, z double")
+    for least in (1, 5, 8):
+        got = sorted((r["target"], r["neighbour"], r["distance"], r["n_common"], r["place"]) for r in tiles.knn_tiled(long, "entity", ["grp"], k=6, min_common=least).collect())
+        want = _all_pairs(rows, 6, least)
+        assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in want]
+        assert [x[2] for x in got] == pytest.approx([x[2] for x in want])
+    assert tiles.knn_tiled(long.where("false"), "entity", ["grp"]).count() == 0
+
+
+def test_tiles_score_a_share_of_pairs_that_falls(spark):
+    rng = random.Random(3)
+    shares = []
+    for n in (1200, 4800):
+        centres = [[rng.gauss(0, 20) for _ in range(6)] for _ in range(24)]
+        rows = [(i, [c + rng.gauss(0, 1) for c in centres[i % 24]]) for i in range(n)]
+        packed = spark.createDataFrame(rows, "_e int, _v array<double>")
+        first, more = tiles.tiled_pairs(packed, 6, [], 5, 1, 32)
+        placed = tiles.placed_in_tiles(packed, [], 32)
+        own = placed.groupBy("_cell").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
+        shares.append((own + more.count()) / (n * (n - 1)))
+    assert shares[1] < shares[0] < 0.9 and shares[1] < 0.35, shares
