@@ -55,11 +55,11 @@ def knn_sparse_tiled(t: Tables) -> DataFrame:
 
 @query(
     """WITH d AS (SELECT a.vec_id AS target, b.vec_id AS neighbour, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)) / len(a.embedding)) + 1e-9, 3) AS distance
-      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+      FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
     SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, neighbour)::INT AS place FROM d QUALIFY place <= 5"""
 )
 def knn_dense_tiled(t: Tables) -> DataFrame:
-    return tiles.knn_dense_tiled(t.embeddings, "vec_id", "embedding", width=64, k=5)
+    return tiles.knn_dense_tiled(t.embeddings, "vec_id", "embedding", ["label"], width=64, k=5)
 
 
 @query(
