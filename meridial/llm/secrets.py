@@ -91,17 +91,41 @@ def word_share(value: str) -> float:
     return (words + numbers) / max(1, letters)
 
 
+#: Segments of a name: letters of one case or humps, and digits only behind them.
+_SEGMENT = re.compile(r"(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z]+)*|[A-Z]{2,})[0-9]{0,4}")
+_BETWEEN = re.compile(r"[+/_.=~-]+")
+
+
+def in_segments(value: str) -> bool:
+    """Whether ``value`` is put together like a name: two parts or more, of 3 to 14 letters on average, no digits amid letters.
+
+    Random characters of any usual alphabet hardly ever are: their case changes
+    every other letter, and digits stand between them. Codes in three groups or more
+    of equal length (``abcd-efgh-ijkl-mnop``) are not taken for names.
+    """
+    segments = [x for x in _BETWEEN.split(value) if x]
+    if len(segments) > 2 and len(set(map(len, segments))) == 1:
+        return False
+    if not all(_SEGMENT.fullmatch(x) or (x.isdigit() and len(x) <= 4) for x in segments):
+        return False
+    parts = [p for p in _PART.findall(value) if p.isalpha()]
+    return len(parts) > 1 and 3 <= sum(map(len, parts)) / len(parts) and max(map(len, parts)) <= 14
+
+
 class NoveltyScanner:
     """Finds secrets in one text at a time.
 
     A candidate stands within ``reach`` characters behind a sensitive word. It
     is reported if its marginal compressed size is ``least_ratio`` of the
     entropy of its own characters, were they drawn alike, or more, and less than
-    ``most_words`` of it is like words. Without letters it needs 16 digits in a row.
+    ``most_words`` of it is like words, or ``most_in_segments`` if it is put together
+    like a name: acronyms and names of products are no words. Without letters it
+    needs 16 digits in a row.
     """
 
-    def __init__(self, reach: int = 64, around: int = 512, least_ratio: float = 0.8, most_words: float = 0.6, identifiers: str = IDENTIFIERS):
+    def __init__(self, reach: int = 64, around: int = 512, least_ratio: float = 0.8, most_words: float = 0.6, most_in_segments: float = 0.35, identifiers: str = IDENTIFIERS):
         self.reach, self.around, self.least_ratio, self.most_words = reach, around, least_ratio, most_words
+        self.most_in_segments = most_in_segments
         self._dictionary = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self._compressor = zstandard.ZstdCompressor(level=9, dict_data=self._dictionary, write_content_size=False, write_checksum=False)
 
@@ -116,7 +140,7 @@ class NoveltyScanner:
         """Whether the candidate is incompressible."""
         if not (re.search(r"[A-Za-z]", candidate) or re.search(r"[0-9]{16}", candidate)) or _UUID.fullmatch(candidate):
             return False
-        if word_share(candidate) >= self.most_words:
+        if word_share(candidate) >= (self.most_in_segments if in_segments(candidate) else self.most_words):
             return False
         own = len(candidate) * math.log2(len(set(candidate))) / 8
         return self.marginal_bytes(before, candidate, after) >= self.least_ratio * own > 0
