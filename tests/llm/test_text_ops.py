@@ -223,16 +223,17 @@ def test_keys_are_found_and_names_are_not(spark):
         assert not reported(name)
 
 
-#: Names of products and acronyms; no rule or list of the scanner was made on them.
-UNSEEN = (
+#: Names of products and acronyms. The share of words that names in segments need was chosen on a list that holds most of them,
+#: so this keeps what was reached and is no held-out measure; README states one.
+TECHNICAL = (
     "mysql kubernetes nginx sqs vpc handler postgres redis lambda gateway ingress webhook tenant shard daemon kafka broker grafana prometheus terraform ansible consul docker github gitlab jenkins canary "
     "middleware mutex socket subnet firewall exporter avro protobuf grpc yaml xml jwt oauth saml ldap sso mfa otp rsa hmac ssl tls dns tcp udp cdn rds iam ssm gcp azure blob "
     "schluessel dienst zugang benutzer verwaltung klucz usluga zamowienie uzytkownik haslo biblioteka wydanie"
 ).split()
 
 
-def test_unseen_names_are_not_secrets_and_codes_in_groups_are(spark):
-    """Under 5 % of names of unseen words a form, and at least 90 % of codes in groups and of keys that look like a form."""
+def test_technical_names_are_not_secrets_and_codes_in_groups_are(spark):
+    """Under 5 % of names of technical words a form, and at least 90 % of codes in groups and of keys that look like a form."""
     rng, s = random.Random(4), NoveltyScanner()
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 600").orderBy("doc_id").limit(60).collect()]
 
@@ -247,7 +248,7 @@ def test_unseen_names_are_not_secrets_and_codes_in_groups_are(spark):
 
     forms = {"snake": "_".join, "dotted": ".".join, "path": "/".join, "kebab": "-".join, "camel": lambda w: w[0] + "".join(x.title() for x in w[1:])}
     for form, join in forms.items():
-        names = [n for n in (join(rng.choices(UNSEEN, k=rng.choice([2, 3, 4, 5]))) for _ in range(600)) if len(n) >= 16]
+        names = [n for n in (join(rng.choices(TECHNICAL, k=rng.choice([2, 3, 4, 5]))) for _ in range(600)) if len(n) >= 16]
         assert share(names) < 0.05, form
     lower = "abcdefghijklmnopqrstuvwxyz"
     made = lambda letters, n, groups, join: [join.join("".join(rng.choices(letters, k=n)) for _ in range(groups)) for _ in range(200)]
