@@ -19,7 +19,8 @@ is left out by neither.
 Equal sets are one node. Sets that share a signature are not paired with each
 other: each is compared with one centre, components of those links are formed,
 and so on with other centres ``STARS`` times; then only members outside the last
-centre's component are compared with members of other components. Parity sketches, whose distance never exceeds the true one,
+centre's component are compared with members of other components, once for all
+signatures of one centre where these have mostly the same members. Parity sketches, whose distance never exceeds the true one,
 discard pairs without reading the sets: first 512 bits, then for sets of more
 than 256 elements a sketch of 4 to 8 bits an element. What is left is verified
 exactly.
@@ -47,6 +48,8 @@ SKETCH = [f"s{i}" for i in range(8)]
 MAX_BROADCAST_KEYS = 500_000
 #: Rounds in which the members of a signature are compared with one of them.
 STARS = 3
+#: Pairs of members that one task meets of one group.
+PIECE = 1 << 20
 #: Spare parts, as a share of those that are needed.
 SPARE = 0.3
 #: Sets of more elements have a second sketch that grows with them.
@@ -280,18 +283,37 @@ def jaccard_links(docs: DataFrame, nodes: DataFrame, *, key: str, text: str, shi
         before, found = found, cut(connected_components(links if found is None else links.unionByName(_as_links(found))))
         drop(pairs, links, *([before] if before else []))
     # what no star has compared: members outside the last centre's component against all others
-    member = cut(_placed(groups, found).where("NOT done").join(info, "id"))
-    outside = member.where("component != central")
-    mixed = member.join(outside.select("sig").distinct(), "sig", "left_semi")
-    different = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.central")) | (F.col("a.id") < F.col("b.id")))
-    rest = outside.alias("a").join(mixed.alias("b"), (F.col("a.sig") == F.col("b.sig")) & different & _near(num, den))
-    rest = cut(rest.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())
-    drop(groups, member)
+    placed = cut(_placed(groups, found).where("NOT done").withColumn("out", F.count_if(F.col("component") != F.col("central")).over(alike)).where("out > 0"))
+    drop(groups)
+    rest = cut(unmet(placed, info, num, den).distinct())
+    drop(placed)
     more = _verified(rest, nodes, docs, key, text, shingle, num, den)
     drop(rest)
     return _as_links(found).unionByName(more)
 
 
+def unmet(placed: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``a < b`` of members that may be linked and that no star has joined.
+
+    ``placed``: sig, id, component, the signature's centre, the centre's component (central) and how many members of
+    the signature lie outside it (out). Signatures of near copies have mostly the same members, and the same centre:
+    where that makes fewer pairs, members meet by their centre, so once instead of in every signature that they
+    share. The outside members of a large group are dealt over several tasks.
+    """
+    outside = F.col("component") != F.col("central")
+    cost = placed.groupBy("centre").agg(F.sum("out").alias("apart"), F.countDistinct("id").alias("members"), F.countDistinct(F.when(outside, F.col("id"))).alias("outer"))
+    together = cost.select("centre", (F.col("members") * F.col("outer") <= F.col("apart")).alias("together"))
+    member = placed.join(together, "centre").select("together", F.when(F.col("together"), F.col("centre")).otherwise(F.col("sig")).alias("key"), "id", "component", "central").distinct()
+    met = Window.partitionBy("together", "key")
+    pieces = F.ceil(F.count("*").over(met) * F.count_if(outside).over(met) / PIECE)
+    member = cut(member.withColumn("pieces", pieces).join(info, "id"))
+    a = member.where(outside).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces"))).alias("a")
+    b = member.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).alias("b")
+    alike = reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("together", "key", "piece")])
+    different = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.central")) | (F.col("a.id") < F.col("b.id")))
+    return a.join(b, alike & different & _near(num, den)).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+
+
 def _as_links(found: DataFrame) -> DataFrame:
     """Components as links of every node to its component's name."""
     return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -302,7 +324,7 @@ def _placed(groups: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
         return groups.withColumn("component", F.col("id"))
     alike = Window.partitionBy("sig")
-    kept = ["sig", "id", "done", *(c for c in ("central",) if c in groups.columns)]
+    kept = ["sig", "id", "done", *(c for c in ("centre", "central") if c in groups.columns)]
     member = groups.select(kept).join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     if "central" in kept:  # a centre's component may have grown
         member = member.join(found.select(F.col("node").alias("central"), F.col("component").alias("now")), "central", "left").withColumn("central", F.coalesce("now", "central")).drop("now")

@@ -9,7 +9,7 @@ import pytest
 from compare import duck_rows, spark_rows
 from conftest import SF
 
-from meridial.llm import queries
+from meridial.llm import queries, set_join
 from meridial.llm.decontaminate import drop_contaminated, find_contamination
 from meridial.llm.fingerprint import OnePermutation, edited_fingerprints, fingerprints
 from meridial.llm.mixture import draw, mix, targets
@@ -314,3 +314,31 @@ def test_leaves_have_equal_quotas(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.5 * max(sizes)
     every = [b for x in blocks.values() for b in x]
     assert len(every) <= len(set(every)) + 4  # a block goes to one shard, but for the document that fills the gap
+
+
+def test_near_copies_meet_once_and_not_in_every_signature_they_share(spark, monkeypatch):
+    monkeypatch.setattr(set_join, "PIECE", 100)
+    # 40 signatures of one family of 30 under centre 0, and 5 signatures of centre 100 that share no member; none is linked
+    family = [(s, i, i, 0, 0, 30) for s in range(40) for i in range(1, 31)]
+    apart_ones = [(1000 + s, 200 + 10 * s + i, 200 + 10 * s + i, 100, 100, 6) for s in range(5) for i in range(6)]
+    placed = spark.createDataFrame(family + apart_ones, "sig long, id long, component long, centre long, central long, out long")
+    ids = sorted({r[1] for r in family + apart_ones})
+    info = spark.createDataFrame([(i, 50, *([7] * 8)) for i in ids], "id long, n long, " + ", ".join(f"s{i} long" for i in range(8)))
+    got = sorted(map(tuple, set_join.unmet(placed, info, 85, 100).collect()))
+    want = [(i, j) for i in range(1, 31) for j in range(i + 1, 31)]
+    want += [(200 + 10 * s + i, 200 + 10 * s + j) for s in range(5) for i in range(6) for j in range(i + 1, 6)]
+    assert got == want
+
+
+def test_a_family_of_near_copies_equals_brute_force(spark):
+    # copies of one text, about as far from each other as the threshold allows
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(t))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(frame(spark, texts)).collect()}
+    assert got == components(texts, 4, 85, 100)
