@@ -27,10 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/meridial-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._meridial_path = path
     return out

@@ -69,7 +69,7 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from meridial.llm.language_model import fit, held_out, score
 
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs.where(~held_out("doc_id"))))
+    scored = score(docs, fit(docs.where(~held_out("doc_id"))), last=True)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -572,6 +572,48 @@ def test_every_preceding_word_is_a_context(spark):
     assert a > b + 60
 
 
+def test_shards_agree_with_sweeps_over_all_pairs(spark):
+    import pyarrow as pa
+    from meridial.llm import language_model as lm
+
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(vocabulary[: rng.choice([5, 60])], k=rng.randrange(80))) for _ in range(40)]
+    df = docs(spark, texts)
+    model = fit(df)
+    # rows are shards, whatever the number of pairs
+    assert model.counted.count() == 2 * model.shards and model.known.count() == model.shards
+    tokens = [np.concatenate([t for t, _ in lm._tokens(pa.array([x]))]) for x in texts]
+    counts = {}
+    for t in tokens:
+        for pair in zip([END, *t[:-1].tolist()], t.tolist(), strict=True):
+            counts[pair] = counts.get(pair, 0) + 1
+    g, w = (np.array(x, np.int64) for x in zip(*counts, strict=True))
+    c = np.array(list(counts.values()))
+    words, iw = np.unique(w, return_inverse=True)
+    ig, many, t, v = np.searchsorted(words, g), c > 1, np.ones(len(c), np.int64), len(words)
+    add = lambda i: np.bincount(i, t, v).astype(np.int64)
+    inner, outer, tables, now = add(ig), add(iw), np.ones(v, np.int64), lm.Totals(len(c), v)
+    used, total = [], 0 * t
+    for s in range(4):
+        base = model.parent(outer, tables, now)
+        t[many] = draw_tables(w[many], g[many], c[many], t[many], inner[ig][many], base[iw][many], model.d, 1.0, log_stirling(model.d), 101 + s)
+        inner, outer = add(ig), add(iw)
+        args = (np.full(v, now.parent_tables), np.full(v, 1 / (v + 1)), model.d_parent, 1.0, log_stirling(model.d_parent))
+        tables = draw_tables(words, 0 * words, outer, np.minimum(tables, outer), *args, 50021 + s)
+        now = lm.Totals(int(outer.sum()), int(tables.sum()))
+        if s >= 2:
+            used.append((inner, model.parent(outer, tables, now)))
+            total = total + t
+    assert {(r["g"], r["w"]): (r["c"], r["t"]) for r in model.pairs.collect()} == {p: (n, m / 2) for p, n, m in zip(counts, c, total, strict=True)}
+    assert {r["w"]: r["q"] for r in model.words.collect()} == {x: pytest.approx([q[i] for _, q in used]) for i, x in enumerate(words)}
+    size = np.bincount(ig, c, v)
+    p = {pair: (n - m / 2 * model.d + sum((k[i] * model.d + 1) * q[j] for k, q in used) / 2) / (size[i] + 1) for pair, n, m, i, j in zip(counts, c, total, ig, iw, strict=True)}
+    got = {r["doc_id"]: r["score"] for r in score(df, model).collect()}
+    for i, x in enumerate(tokens):
+        assert got[i] == pytest.approx(sum(math.log10(p[pair]) for pair in zip([END, *x[:-1].tolist()], x.tolist(), strict=True)))
+
+
 # ---- quality --------------------------------------------------------------
 
 
