@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridial.operators.grams import containing
+from meridial.operators.nearest import nearest
 from meridial.operators.norms import top
 from meridial.sources.scratch import written
 
@@ -26,20 +27,9 @@ def scored(pairs: DataFrame, width: int, min_common: int) -> DataFrame:
     return sums.select("target", "neighbour", F.round(F.sqrt(F.try_divide("_s", "n_common")) + 1e-9, 3).alias("distance"), "n_common")
 
 
-def _nearest(packed: DataFrame, width: int, block: Sequence[str], k: int, min_common: int, targets: DataFrame | None = None) -> DataFrame:
-    """The ``k`` nearest of each entity by arrays ``_v`` of ``width`` values (nulls: missing), within blocks.
-
-    A pair is one row that is scored where it is made: the join on the block is
-    the only shuffle of entities, and the filter on the rank leaves ``k`` rows of
-    a target before the next. AQE splits blocks that are too large for a task.
-    """
-    side = packed.select(*block, F.col("_e").alias("neighbour"), F.col("_v").alias("_b"))
-    left = packed.select(*block, F.col("_e").alias("target"), F.col("_v").alias("_a"))
-    if targets is not None:
-        left = left.join(targets.select(F.col(targets.columns[0]).alias("target")).distinct(), "target", "left_semi")
-    pairs = left.join(side, list(block)).where("target != neighbour")
-    near = scored(pairs.select("target", "neighbour", "_a", "_b"), width, min_common)
-    return top(near, ["target"], k, "distance", "neighbour", rank="place")
+def ranked(near: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of each target with ``place``; a pair without a distance comes last."""
+    return top(near, ["target"], k, F.col("distance").asc_nulls_last(), "neighbour", rank="place")
 
 
 def packed_profiles(profiles: DataFrame, entity: str, block: Sequence[str], *, metric: str = "metric_key", value: str = "z") -> tuple[DataFrame, int]:
@@ -59,17 +49,18 @@ def knn_profiles(profiles: DataFrame, entity: str, block: Sequence[str], *, k: i
     ranked, then by id. Long profiles are packed into one array an entity, in the
     order of the catalogue of metrics (some hundred names, read by the driver).
     """
-    packed, width = packed_profiles(profiles, entity, block, metric=metric, value=value)
-    return _nearest(packed, width, block, k, min_common, None if targets is None else targets.select(entity))
+    packed, _ = packed_profiles(profiles, entity, block, metric=metric, value=value)
+    return ranked(nearest(packed, block, k, min_common, targets=None if targets is None else targets.select(entity)), k)
 
 
 def knn_dense(vectors: DataFrame, entity: str, vector: str, block: Sequence[str], *, k: int = 10) -> DataFrame:
-    """As ``knn_profiles`` for arrays without gaps, within blocks."""
-    a = vectors.select(*block, F.col(entity).alias("target"), F.transform(vector, lambda x: x.cast("double")).alias("_a"))
-    b = vectors.select(*block, F.col(entity).alias("neighbour"), F.transform(vector, lambda x: x.cast("double")).alias("_b"))
-    squares = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = a.join(b, list(block)).where("target != neighbour").select("target", "neighbour", F.round(F.sqrt(squares / F.size("_a")) + 1e-9, 3).alias("distance"))
-    return top(near, ["target"], k, "distance", "neighbour", rank="place")
+    """As ``knn_profiles`` for arrays, within blocks: the mean is over the target's length.
+
+    Of arrays with nulls or of different lengths what both have is compared; a
+    pair with nothing in common has a null distance and comes last.
+    """
+    packed = vectors.select(*block, F.col(entity).alias("_e"), F.col(vector).alias("_v"))
+    return ranked(nearest(packed, block, k, 0, by_length=True), k).drop("n_common")
 
 
 #: Anchors that are one array; more are ranked array by array.
