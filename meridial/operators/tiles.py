@@ -16,7 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridial.operators.neighbors import packed_profiles, scored
+from meridial.operators.nearest import nearest
+from meridial.operators.neighbors import packed_profiles, ranked, scored
 from meridial.operators.norms import top
 from meridial.sources.scratch import written
 
@@ -100,19 +101,16 @@ def tiled_pairs(packed: DataFrame, width: int, block: Sequence[str], k: int, min
 
 
 def knn_tiled(profiles: DataFrame, entity: str, block: Sequence[str] = (), *, k: int = 10, min_common: int = 5, metric: str = "metric_key", value: str = "z", pivots: int = 32) -> DataFrame:
-    """As ``neighbors.knn_profiles``, for blocks (or one block of all) too large for all pairs.
+    """As ``neighbors.knn_profiles``, for blocks (or one block of all) of any size, whose tiles meet in tasks (``nearest``).
 
-    ``pivots`` a block, at most; it changes the work only. Entities whose block is
-    null have no neighbours, equal profiles are neighbours at 0, ties go by id. An
-    entity that has fewer than ``k`` neighbours in its cell asks all tiles of the block.
+    Entities whose block is null have no neighbours, equal profiles are
+    neighbours at 0, ties go by id. ``pivots`` a group changes the work only.
     """
-    packed, width = packed_profiles(profiles, entity, block, metric=metric, value=value)
-    first, more = tiled_pairs(packed, width, block, k, min_common, pivots)
-    return top(first.unionByName(scored(more, width, min_common)), ["target"], k, "distance", "neighbour", rank="place")
+    packed, _ = packed_profiles(profiles, entity, block, metric=metric, value=value)
+    return ranked(nearest(packed, block, k, min_common, pivots=pivots), k)
 
 
 def knn_dense_tiled(vectors: DataFrame, entity: str, vector: str, block: Sequence[str] = (), *, width: int, k: int = 10, pivots: int = 32) -> DataFrame:
     """As ``knn_tiled`` for arrays of ``width`` values; null or shorter arrays have what they have."""
-    packed = vectors.where(F.col(vector).isNotNull()).select(*block, F.col(entity).alias("_e"), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get(vector, i).cast("double")).alias("_v"))
-    first, more = tiled_pairs(packed, width, block, k, 1, pivots)
-    return top(first.unionByName(scored(more, width, 1)), ["target"], k, "distance", "neighbour", rank="place").drop("n_common")
+    packed = vectors.where(F.col(vector).isNotNull()).select(*block, F.col(entity).alias("_e"), F.slice(vector, 1, width).alias("_v"))
+    return ranked(nearest(packed, block, k, 1, pivots=pivots), k).drop("n_common")
