@@ -75,7 +75,7 @@ def test_groups_and_buffers_lose_no_neighbour(spark, monkeypatch):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["knn_dense", "knn_dense_tiled", "knn_sparse_tiled"])
+@pytest.mark.parametrize("name", ["knn_dense", "knn_dense_tiled", "knn_sparse_tiled", "knn_sparse"])
 def test_no_row_a_pair(spark, name):
     """What is left to Spark's windows is k rows of a target: no join within blocks."""
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
