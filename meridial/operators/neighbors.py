@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meridial.operators.grams import containing
 from meridial.operators.nearest import nearest
 from meridial.operators.norms import top
-from meridial.sources.scratch import written
+from meridial.sources.scratch import release, written
 
 
 def scored(pairs: DataFrame, width: int, min_common: int) -> DataFrame:
@@ -112,17 +112,58 @@ def counted(prescriptions: DataFrame, entity: str, keys: Sequence[str], *, avera
     return prescriptions.groupBy(entity, *keys).agg(F.count("*").alias("_times"), *sums)
 
 
+def _narrow(most: int | None) -> str:
+    """The smallest type of whole numbers up to ``most``."""
+    return next(t for t, bits in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 63)) if (most or 0) < 1 << bits)
+
+
+def packed_items(per: DataFrame, entity: str, item: Sequence[str], averages: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``counted`` rows as one row an entity, and the items by code (``*item, _code``).
+
+    Items are codes, and all whole numbers have the smallest type that holds
+    them, so that a neighbour's items travel as a few bytes each: ``_codes``,
+    ``_more`` (times less 1), and of each average ``_sums_a`` and ``_nulls_a``.
+    """
+    names = written(per.select(*item).distinct().withColumn("_code", F.monotonically_increasing_id()))
+    sums = {a: F.coalesce(F.col(f"_sum_{a}").cast("double"), F.lit(0.0)) for a in averages}
+    ends = [F.max("_times"), *(x for a in averages for x in (F.max(F.col("_times") - F.col(f"_n_{a}")), F.max(F.when((sums[a] == F.floor(sums[a])) & (F.abs(sums[a]) < 2**53), F.abs(sums[a])).otherwise(F.lit(2.0**62)))))]
+    most, last = per.agg(*ends).first(), names.agg(F.max("_code")).first()[0]
+    names = names.withColumn("_code", F.col("_code").cast(_narrow(last)))
+    columns = [(F.col("_times") - 1).cast(_narrow(most[0])).alias("_more")]
+    for i, a in enumerate(averages):
+        whole = most[2 + 2 * i] is not None and most[2 + 2 * i] < 2.0**53
+        columns += [sums[a].cast(_narrow(int(most[2 + 2 * i]))).alias(f"_sums_{a}") if whole else sums[a].alias(f"_sums_{a}"), (F.col("_times") - F.col(f"_n_{a}")).cast(_narrow(most[1 + 2 * i])).alias(f"_nulls_{a}")]
+    known = names.select(*(F.col(c).alias(f"_item_{c}") for c in item), "_code")
+    same = F.lit(True)
+    for c in item:
+        same = same & F.col(c).eqNullSafe(F.col(f"_item_{c}"))
+    coded = per.where(F.col(entity).isNotNull()).join(known, same).select(entity, "_code", *columns)
+    lists = [F.collect_list(c).alias("_codes" if c == "_code" else c) for c in coded.columns[1:]]
+    return written(coded.groupBy(entity).agg(*lists)), names
+
+
 def history_pool(neighbours: DataFrame, prescriptions: DataFrame, entity: str, item: Sequence[str], *, min_entities: int = 2, averages: Sequence[str] = ()) -> DataFrame:
     """Per target, the items of its neighbours: times, distinct entities, averages; at least ``min_entities``.
 
-    ``prescriptions`` may be ``counted`` by entity and item already. Items are
-    counted before they meet the neighbours, so entities are rows.
+    ``prescriptions`` may be ``counted`` by entity and item already, best as a
+    written table. Each neighbour brings its items packed in one row, which is
+    dealt by target and unpacked where it is added up: the only shuffle that
+    grows with targets times neighbours carries a few bytes an item.
     """
-    per = prescriptions if "_times" in prescriptions.columns else counted(prescriptions, entity, item, averages=averages)
-    rows = neighbours.select("target", F.col("neighbour").alias(entity)).distinct().join(per, entity)
-    means = [(F.sum(f"_sum_{a}") / F.sum(f"_n_{a}")).alias(f"avg_{a}") for a in averages]
-    out = rows.groupBy("target", *item).agg(F.sum("_times").alias("times_prescribed"), F.count("*").alias("n_entities"), *means)
-    return out.where(F.col("n_entities") >= min_entities)
+    spark = prescriptions.sparkSession
+    per = prescriptions if "_times" in prescriptions.columns else written(counted(prescriptions, entity, item, averages=averages))
+    release(spark)
+    packed, names = packed_items(per, entity, item, averages)
+    near = written(neighbours.select("target", F.col("neighbour").alias(entity)).distinct())
+    release(spark)
+    entities, slots = packed.count(), spark.sparkContext.defaultParallelism
+    parts = 1 + max(entities // 8_000, min(2 * slots, entities // 200))
+    arrays = [c for c in packed.columns if c != entity]
+    dealt = near.join(packed, entity).select("target", *arrays).repartition(parts, "target").select("target", F.posexplode("_codes").alias("_at", "_code"), *arrays[1:])
+    of = lambda c: F.get(c, F.col("_at"))
+    means = [F.try_divide(F.sum(of(f"_sums_{a}")), F.sum(of("_more") + F.lit(1) - of(f"_nulls_{a}"))).alias(f"avg_{a}") for a in averages]
+    out = dealt.groupBy("target", "_code").agg(F.sum(of("_more") + F.lit(1)).alias("times_prescribed"), F.count("*").alias("n_entities"), *means)
+    return out.where(F.col("n_entities") >= min_entities).join(names, "_code").select("target", *item, "times_prescribed", "n_entities", *(f"avg_{a}" for a in averages))
 
 
 def staple_pool(prescriptions: DataFrame, entity: str, group: Sequence[str], item: str, *, min_entities: int = 10, top_n: int = 6) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,3 +22,13 @@ def written(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done.
+
+    It does so when the driver collects garbage, which a driver with little to
+    do hardly ever needs.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
