@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridial.operators.neighbors import counted, history_pool, lead_one
 from meridial.operators.norms import top
-from meridial.sources.scratch import written
+from meridial.sources.scratch import release, written
 
 # The component that each category of prescriptions belongs to, and the role that a component is for.
 COMPONENTS = {"prep": "prep", "me": "prep", "bp": "bulletproofing", "hit": "hitting", "plyo": "plyo"}
@@ -52,37 +52,39 @@ def slotted(prescriptions: DataFrame) -> DataFrame:
     return rows.where(F.col("component").isNotNull() & F.col("level").isNotNull() & F.col("item").isNotNull() & ~umbrella)
 
 
-def pools(neighbours: DataFrame, prescriptions: DataFrame, entities: DataFrame, *, min_entities: int = 2, staples: Sequence[str] = PITCHER_STAPLES) -> DataFrame:
-    """``target, component, level, item, weight``, prevalence, mean dose, ``is_me`` and ``is_staple``.
+def pools(neighbours: DataFrame, prescriptions: DataFrame, entities: DataFrame, *, min_entities: int = 2, staples: Sequence[str] = PITCHER_STAPLES, averages: Sequence[str] = ("n_sets", "avg_reps")) -> DataFrame:
+    """``target, component, level, item, weight``, prevalence, mean dose (``averages``), ``is_me`` and ``is_staple``.
 
     ``entities`` has entity, is_pitcher and is_hitter. A component with a gate
     is only for entities of its role. Pitchers have the staples that the corpus
     knows in their bulletproofing pool, with the corpus's prevalence where no
-    neighbour has them.
+    neighbour has them. What neighbours had is written once.
     """
     given = slotted(prescriptions)
     # what all pools read: an item of an entity once a slot
-    per = written(counted(given.withColumn("_me", (F.col("category") == "me").cast("int")), "entity", _ITEM, averages=["n_sets", "avg_reps", "_me"]))
+    per = written(counted(given.withColumn("_me", (F.col("category") == "me").cast("int")), "entity", _ITEM, averages=[*averages, "_me"]))
     roles = entities.select(F.col("entity").alias("target"), F.coalesce("is_pitcher", F.lit(False)).alias("_p"), F.coalesce("is_hitter", F.lit(False)).alias("_h"))
     allowed = F.lit(True)
     for component, role in GATES.items():
         allowed = allowed & ((F.col("component") != component) | F.col("_p" if role == "pitcher" else "_h"))
-    history = history_pool(neighbours, per, "entity", _ITEM, min_entities=min_entities, averages=["n_sets", "avg_reps"]).join(roles, "target").where(allowed)
+    # written, as it is the one large table here and all steps after it read it
+    history = written(history_pool(neighbours, per, "entity", _ITEM, min_entities=min_entities, averages=averages).join(roles, "target").where(allowed))
+    release(per.sparkSession)
     # the curated list is short, so it is named in the plan
     listed = [s.strip().lower() for s in staples]
     own = per.where(F.col("component") == "bulletproofing").where(F.col("item").isin(list(staples)))
     mean = lambda c: (F.sum(f"_sum_{c}") / F.sum(f"_n_{c}")).alias(f"avg_{c}")
-    floor = own.groupBy(*_ITEM).agg(F.sum("_times").alias("times_prescribed"), F.countDistinct("entity").alias("n_entities"), mean("n_sets"), mean("avg_reps"))
+    floor = own.groupBy(*_ITEM).agg(F.sum("_times").alias("times_prescribed"), F.countDistinct("entity").alias("n_entities"), *map(mean, averages))
     pitchers = roles.where("_p").withColumn("item", F.explode(F.array(*map(F.lit, staples)).cast("array<string>")))
-    floor = pitchers.join(floor, "item").select(history.columns)
-    both = history.withColumn("_from", F.lit(1)).unionByName(floor.withColumn("_from", F.lit(2)))
+    floor = pitchers.join(floor, "item").select(history.columns).withColumn("_said", _said("item"))
     # of an item that both have, the neighbours' row stays
-    both = both.withColumn("_said", _said("item"))
-    kept = both.withColumn("_first", F.min("_from").over(Window.partitionBy("target", "component", "_said"))).where(F.col("_from") == F.col("_first"))
+    had = history.where(F.col("component") == "bulletproofing").select("target", "component", _said("item").alias("_said")).where(F.col("_said").isin(listed))
+    both = history.withColumn("_said", _said("item")).unionByName(floor.join(had, ["target", "component", "_said"], "left_anti"))
     staple = F.col("_p") & (F.col("component") == "bulletproofing") & F.col("_said").isin(listed)
-    me = per.where("_sum__me > 0").select(F.lit("prep").alias("component"), _said("item").alias("_said"), F.lit(True).alias("is_me")).distinct()
-    out = kept.withColumn("is_staple", staple).join(me, ["component", "_said"], "left").fillna(False, ["is_me"])
-    return out.drop("_from", "_first", "_said", "_p", "_h")
+    # one row an item, written so that its size is known
+    me = written(per.where("_sum__me > 0").select(F.lit("prep").alias("component"), _said("item").alias("_said"), F.lit(True).alias("is_me")).distinct())
+    out = both.withColumn("is_staple", staple).join(me, ["component", "_said"], "left").fillna(False, ["is_me"])
+    return out.drop("_said", "_p", "_h")
 
 
 def picked(pool: DataFrame, takes: dict[str, int] | None = None) -> DataFrame:
@@ -108,10 +110,14 @@ def recommended(pool: DataFrame, entities: DataFrame, picks: DataFrame | None =
     throw comes first and no other stays; movement enhancement ends a prep block.
     A pitcher has the mobility cap as a component of its own.
     """
-    facts = ["target", *_ITEM, "is_staple", "is_me", "n_entities", "times_prescribed"]
+    known, facts = ["target", *_SLOT, "item"], ["is_staple", "is_me", "n_entities", "times_prescribed"]
     chosen = picked(pool, takes) if picks is None else picks
-    good, dropped = validated(chosen, pool)
-    good = good.select("target", *_ITEM, "place").join(pool.select(facts), ["target", *_ITEM])
+    # the pool is shuffled once, for what is valid and what is not
+    held = pool.select(*known, F.col("weight").alias("_weight"), *(F.col(c).alias(f"_{c}") for c in facts), F.lit(True).alias("_known"))
+    met = written(chosen.join(held, known, "left"))
+    release(pool.sparkSession)
+    dropped = met.where(F.col("_known").isNull()).select(*chosen.columns)
+    good = met.where(F.col("weight") == F.col("_weight")).select("target", *_ITEM, "place", *(F.col(f"_{c}").alias(c) for c in facts))
     ordered = good.withColumn("place", F.col("place") + F.when(F.col("is_me"), 1_000_000).otherwise(0))
     throws = (F.col("component") == "plyo") & F.col("item").rlike(reverse)
     # in ounces

@@ -57,7 +57,7 @@ _CAP = ", ".join(f"({i}, '{n}', '{d}')" for i, (n, d) in enumerate(R.MOBILITY_CA
 def recommend_complete(t: Tables) -> DataFrame:
     """Pools by component and level, gates, staples, cap and validation; each customer also picks what no pool has."""
     people = _entities(t)
-    pool = R.pools(_knn(t), _prescriptions(t), people, staples=_STAPLES)
+    pool = R.pools(_knn(t), _prescriptions(t), people, staples=_STAPLES, averages=())
     wrong = people.select(F.col("entity").alias("target"), F.lit("prep").alias("component"), F.lit("").alias("level"), F.lit("no such item").alias("item"), F.lit("").alias("weight"), F.lit(1).alias("place"))
     columns = wrong.columns
     good, dropped = R.recommended(pool, people, R.picked(pool, _TAKES).select(columns).unionByName(wrong), reverse=_REVERSE)

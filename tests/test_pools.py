@@ -6,7 +6,9 @@ import pytest
 from conftest import SF
 
 from meridial import plans
-from meridial.operators import neighbors
+from meridial.operators import neighbors, recommender
+from meridial.plans import complete, recommend
+from meridial.plans.registry import Tables
 
 
 def test_packed_items_are_added_up_exactly(spark):
@@ -29,3 +31,11 @@ def test_items_are_unpacked_where_they_are_added_up(spark, name):
     """No shuffle above the unpacking: the rows of targets times neighbours times items stay in their task."""
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" in plan and plan.index("Generate") < re.search(r"(?<!Broadcast)Exchange", plan).start()
+
+
+def test_the_floor_costs_no_shuffle_of_the_pool(spark):
+    """A pool that neighbours filled is read as it was written: no window over it, and its large side is joined in place."""
+    t = Tables(spark, SF)
+    pool = recommender.pools(recommend._knn(t), complete._prescriptions(t), complete._entities(t), staples=complete._STAPLES)
+    plan = pool._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "avg_n_sets" in pool.columns
