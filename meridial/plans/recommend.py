@@ -13,6 +13,7 @@ from meridial.operators import tiles
 from meridial.operators.norms import top
 from meridial.plans.programs import classify_sql
 from meridial.plans.registry import R4, Tables, query, r4
+from meridial.sources.scratch import written
 
 # ---- neighbours -----------------------------------------------------------
 
@@ -157,10 +158,11 @@ SLOTS = {"ECONOMY": 3, "PROMO": 2, "SMALL": 1}
 def batch_recommend(t: Tables) -> DataFrame:
     slots = _given(t).select("c_custkey", F.col("p_type").alias("slot"), F.col("p_name").alias("item"))
     # both pools read the same counts
-    per = N.counted(slots, "c_custkey", ["slot", "item"])
-    pool = N.history_pool(_knn(t), per, "c_custkey", ["slot", "item"])
+    per = written(N.counted(slots, "c_custkey", ["slot", "item"]))
     segment = t.customer.select("c_custkey", "c_mktsegment")
-    mine = N.staple_pool(per.join(segment, "c_custkey"), "c_custkey", ["c_mktsegment"], "item").select("c_mktsegment", "item", F.lit(True).alias("is_staple"))
+    # some rows a segment, written so that their size is known
+    mine = written(N.staple_pool(per.join(segment, "c_custkey"), "c_custkey", ["c_mktsegment"], "item").select("c_mktsegment", "item", F.lit(True).alias("is_staple")))
+    pool = N.history_pool(_knn(t), per, "c_custkey", ["slot", "item"])
     pool = pool.join(segment.withColumnRenamed("c_custkey", "target"), "target").join(mine, ["c_mktsegment", "item"], "left").fillna(False, ["is_staple"])
     return N.recommend(pool, "target", SLOTS).select("target", "slot", "item", "is_staple", "n_entities", "place")
 
