@@ -322,6 +322,25 @@ def values_by_catalogue(sources: dict[str, DataFrame], definitions: Iterable[Def
 
 
 def norms_by_catalogue(sources: dict[str, DataFrame], people: DataFrame, definitions: Iterable[Definition] = CATALOGUE, *, entity: str = "entity", approximate: bool = False) -> DataFrame:
-    """Norms of every metric and age group: ``people`` has ``entity`` and ``age_group``."""
-    values = values_by_catalogue(sources, definitions, entity=entity)
-    return norms.norm_stats(values.join(people.select(entity, "age_group"), entity), ["modality", "metric_key", "age_group"], approximate=approximate)
+    """Norms of every metric and age group: ``people`` has ``entity`` and ``age_group``.
+
+    A session's values stay in one row until its group is known; then equal
+    values of a metric and group are counted, and all statistics come of counts.
+    """
+    if approximate:
+        values = values_by_catalogue(sources, definitions, entity=entity)
+        return norms.norm_stats(values.join(people.select(entity, "age_group"), entity), ["modality", "metric_key", "age_group"], approximate=True)
+    definitions = [d for d in definitions if d.source in sources]
+    every, order = None, []
+    for name in dict.fromkeys(d.source for d in definitions):
+        mine = [d for d in definitions if d.source == name]
+        # the outer form, of which Spark infers no filter on the array that it would copy to the source
+        for wide, metrics in facts.wide_values(parsed(sources[name], mine), compiled(mine), entity):
+            held = wide.join(people.select(entity, "age_group"), entity).select("age_group", F.posexplode_outer("_v").alias("_i", "value")).where("value IS NOT NULL")
+            held = held.select((F.col("_i") + F.lit(len(order))).alias("_m"), "age_group", "value")
+            order += [(m.modality, m.key) for m in metrics]
+            every = held if every is None else every.unionByName(held)
+    counts = every.groupBy("_m", "age_group", "value").agg(F.count("*").alias("_n"))
+    said = lambda i: F.get(F.array(*(F.lit(o[i]) for o in order)), F.col("_m"))
+    out = norms.counted_stats(counts, ["_m", "age_group"])
+    return out.select(said(0).alias("modality"), said(1).alias("metric_key"), *out.columns[1:])

@@ -60,6 +60,25 @@ def session_values(sources: dict[str, DataFrame], spec: Sequence[Metric], entity
     return means.unionByName(every.where("per_record").select(*keys, "value"))
 
 
+def wide_values(source: DataFrame, metrics: Sequence[Metric], entity: str = "entity", date: str = "session_date") -> list[tuple[DataFrame, list[Metric]]]:
+    """``entity, _v``: a row a session, or a record, with the metrics' values in an array, and which metrics they are.
+
+    Records are dealt by entity once, all values of one in a row, so that
+    sessions are averaged and entities joined where they lie.
+    """
+    out = []
+    for each in (False, True):
+        mine = [m for m in metrics if m.per_record is each]
+        if mine:
+            values = F.array(*((m.value if m.where is None else F.when(m.where, m.value)).cast("double") for m in mine))
+            rows = source.select(entity, date, values.alias("_v")).repartition(entity)
+            if not each:
+                rows = rows.groupBy(entity, date).agg(*(F.avg(F.get("_v", F.lit(i))).alias(f"_{i}") for i in range(len(mine))))
+                rows = rows.select(entity, F.array(*(f"_{i}" for i in range(len(mine)))).alias("_v"))
+            out.append((rows.select(entity, "_v"), mine))
+    return out
+
+
 def discover(long: DataFrame, metric: str, entity: str, order: str) -> DataFrame:
     """Of every metric: rows, entities, least and largest order."""
     return long.groupBy(metric).agg(F.count("*").alias("n_rows"), F.countDistinct(entity).alias("n_entities"), F.min(order).alias("min_order"), F.max(order).alias("max_order"))

@@ -35,6 +35,17 @@ def norm_stats(values: DataFrame, keys: Sequence[str], *, min_obs: int = 5, prob
     return _quantile_columns(out, keys, probs)
 
 
+def counted_stats(counts: DataFrame, keys: Sequence[str], *, min_obs: int = 5, probs: Sequence[float] = QUANTILES) -> DataFrame:
+    """As ``norm_stats`` of rows ``*keys, value, _n``: each value once a group with its number."""
+    group = Window.partitionBy(*keys)
+    known = counts.withColumn("_of", F.sum("_n").over(group)).withColumn("_mean", F.sum(F.col("value") * F.col("_n")).over(group) / F.col("_of")).where(F.col("_of") >= min_obs)
+    # squares of gaps from the mean, so that a small deviation of large values is kept
+    squares = F.sum((F.col("value") - F.col("_mean")) * (F.col("value") - F.col("_mean")) * F.col("_n"))
+    q = F.percentile("value", F.array(*(F.lit(p) for p in probs)), F.col("_n")).alias("_q")
+    out = known.groupBy(*keys).agg(F.first("_of").alias("n_observations"), F.first("_mean").alias("mean_value"), squares.alias("_s"), q)
+    return _quantile_columns(out.withColumn("std_value", F.sqrt(F.try_divide("_s", F.col("n_observations") - 1))), keys, probs)
+
+
 def _quantile_columns(rows: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
     names = [f"p{round(100 * p):02d}" for p in probs]
     return rows.select(*keys, "n_observations", "mean_value", "std_value", *(F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)))

@@ -52,7 +52,8 @@ _SHAPES = ('"%k": [%v]', '"%k": [%v, 7]', '"%k": %v', '"%k": "%v"', '"%k": null'
 def _entry(i: int, key: str) -> Column:
     value = F.concat(F.when((F.col("o_orderkey") + i) % 2 == 0, "-").otherwise(""), ((F.col("o_orderkey") * (i + 3)) % 991).cast("string"))
     parts = [_filled(shape.replace("%k", key), value) for shape in _SHAPES]
-    return F.get(F.array(*parts), ((F.col("o_orderkey") + i) % 8).cast("int"))
+    # only the one that is meant is made
+    return F.elt(((F.col("o_orderkey") + i) % 8 + 1).cast("int"), *parts, F.lit(None).cast("string"))
 
 
 def _filled(shape: str, value: Column) -> Column:

@@ -131,3 +131,15 @@ def test_catalogue_reads_a_source_once_and_only_its_keys(spark):
     assert got == {("hit_vertical_attack_angle_at_contact", "2020-01-01"): 5.5, ("hit_horizontal_attack_angle_at_contact", "2020-01-01"): 7.0}
     plan = plans.QUERIES["catalogue_pitching_json"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("orders.parquet") == 1
+
+
+def test_catalogue_norms_shuffle_rows_of_sessions(spark):
+    """A session's values travel in one row: nothing is unpacked below the shuffle by entity; large values keep a small deviation."""
+    trials = spark.createDataFrame([(e, "2020-01-01", f'{{"PLANE.Vertical_attack_angle": {1e9 + e % 3}}}') for e in range(9)] + [(0, "2020-01-01", "{}")], "entity int, session_date string, metrics string")
+    people = spark.createDataFrame([(e, None if e == 8 else "PRO") for e in range(9)], "entity int, age_group string")
+    out = catalogue.norms_by_catalogue({"hitting_trials": trials}, people)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Generate") < plan.rindex("Exchange hashpartitioning(entity")
+    got = out.collect()
+    assert [(r["metric_key"], r["age_group"], r["n_observations"], r["p50"]) for r in got] == [("hit_vertical_attack_angle_at_contact", "PRO", 8, 1e9 + 1)]
+    assert got[0]["std_value"] == pytest.approx(0.834523, abs=1e-5)
