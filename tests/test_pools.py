@@ -39,3 +39,9 @@ def test_the_floor_costs_no_shuffle_of_the_pool(spark):
     pool = recommender.pools(recommend._knn(t), complete._prescriptions(t), complete._entities(t), staples=complete._STAPLES)
     plan = pool._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "avg_n_sets" in pool.columns
+
+
+def test_a_batch_reads_its_counts_and_staples_as_tables(spark):
+    """Neither is joined from the order lines again, and no shuffle of the pool is below its windows."""
+    plan = plans.QUERIES["batch_recommend"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and plan.index("Window") < plan.index("Generate")
